@@ -19,6 +19,9 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkfold import store
+from inkfold.operators.skew import salted_join
+
 # Letters and marks of other scripts drawn like Latin ones, as source and target.
 LOOKALIKES = {
     "Cyrillic small letters": ("аеорсухѕіјһԁԛԝӏ", "aeopcyxsijhdqwl"),
@@ -147,7 +150,7 @@ def consistent(rows: DataFrame, key: str, text: str, out: str = "consistent") ->
     cut = F.regexp_extract_all(F.col(text), F.lit(CLUSTERS), F.lit(0))
     found = rows.filter(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias("_key"), F.explode(F.filter(F.array_distinct(cut), lambda c: c.rlike(r"[^\x00-\x7f]"))).alias("cluster"))
     forms = consistent_clusters(found.select("cluster").distinct()).filter("form <> cluster")
-    changed = found.join(forms, "cluster").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("cluster", "form"))).alias("_forms"))
+    changed = salted_join(found, forms, "cluster", F.col("_key")).groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("cluster", "form"))).alias("_forms"))
     joined = rows.join(changed, F.col(key).eqNullSafe(F.col("_key")), "left")
     rebuilt = F.array_join(F.transform(cut, lambda c: F.coalesce(F.try_element_at(F.col("_forms"), c), c)), "")
     form = F.regexp_replace(F.when(F.col("_forms").isNull(), F.col(text)).otherwise(rebuilt), "\r\n?", "\n")
@@ -171,8 +174,6 @@ def alike_pairs(forms: DataFrame, key: str, text: str, form: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from inkfold import store
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     hashed = consistent(docs, "doc_id", "text", "form").filter("text IS NOT NULL")
     return alike_pairs(store.written(hashed, "forms"), "doc_id", "text", "form")
