@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from inkfold.llm import cutoffs, families, lookalike, nearcopy, overlap, packing, terms, tokens
+from inkfold.llm import cutoffs, defects, families, lookalike, nearcopy, overlap, packing, terms, tokens
 
-_MODULES = (cutoffs, terms, nearcopy, families, overlap, tokens, packing, lookalike)
+_MODULES = (defects, cutoffs, terms, nearcopy, families, overlap, tokens, packing, lookalike)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
