@@ -149,15 +149,28 @@ def minima(offsets: np.ndarray, tokens: np.ndarray, segments: int) -> np.ndarray
     return out
 
 
+def parities(offsets: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """128 bits of each set, as two numbers: each token turns one bit. A bit that differs between two sets is a token that
+    only one of them has, so the differing bits never outnumber the tokens not shared."""
+    full = np.flatnonzero(np.diff(offsets))
+    out = np.zeros((len(offsets) - 1, 2), np.uint64)
+    if len(full):
+        at = mix(tokens.astype(np.uint64) ^ _MIX[2]) >> np.uint64(57)
+        bit = np.uint64(1) << (at & np.uint64(63))
+        for k in range(2):
+            out[full, k] = np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == k, bit, np.uint64(0)), offsets[full])
+    return out.view(np.int64)
+
+
 def drawings(rows: DataFrame, output: str, keep: list[str], segments: int = 0) -> DataFrame:
-    """The columns ``keep``, ``n`` (commands), ``print`` (16 bytes, equal for equal multisets) and ``tokens``; with
-    ``segments`` also ``code``, a similarity-hash code of so many 32-bit segments.
+    """The columns ``keep``, ``n`` (commands), ``print`` (16 bytes, equal for equal multisets), ``p0`` and ``p1`` (parity
+    bits) and ``tokens``; with ``segments`` also ``code``, a similarity-hash code of so many 32-bit segments.
 
     Rows whose text is null or has no command are left out. Text is read as a whole, however long.
     """
     kept = rows.select(*keep, output)
     fields = [f"`{c}` {t}" for c, t in kept.select(*keep).dtypes]
-    schema = ", ".join([*fields, "n int", "print binary", "tokens array<bigint>", *["code array<int>"] * bool(segments)])
+    schema = ", ".join([*fields, "n int", "print binary", "p0 bigint", "p1 bigint", "tokens array<bigint>", *["code array<int>"] * bool(segments)])
     width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +189,11 @@ def drawings(rows: DataFrame, output: str, keep: list[str], segments: int = 0) -
                 take = pa.array(full + part.start)
                 columns = [batch.column(k).take(take) for k in range(width)]
                 bounds = np.concatenate((offsets[full], [len(token)])).astype(np.int32)
-                columns += [pa.array(n[full].astype(np.int32)), pa.Array.from_buffers(pa.binary(16), len(full), [None, pa.py_buffer(prints)]).cast(pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(token))]
+                parity = parities(offsets, token)[full]
+                columns += [pa.array(n[full].astype(np.int32)), pa.Array.from_buffers(pa.binary(16), len(full), [None, pa.py_buffer(prints)]).cast(pa.binary()), pa.array(parity[:, 0].copy()), pa.array(parity[:, 1].copy()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(token))]
                 if segments:
                     codes = minima(offsets, token, segments)[full]
                     columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * segments), pa.array(codes.reshape(-1))))
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n", "print", "tokens", *["code"] * bool(segments)])
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n", "print", "p0", "p1", "tokens", *["code"] * bool(segments)])
 
     return kept.mapInArrow(run, schema)

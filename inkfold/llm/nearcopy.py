@@ -3,7 +3,8 @@
 Two drawings of a and b commands are near copies if they share at least T = ceil(share * max(a, b)). Equal drawings are
 one class and are searched once. A drawing's inverted lists are taken in one order, likely short ones first:
 the ``n - T + k`` first lists are merged, sorted by token in the shuffle, which stands for the heap, and give with each
-partner the number of lists that both are in; a pair in fewer than k can't reach T. The other, long lists are never
+partner the number of lists that both are in; a pair in fewer than k can't reach T, nor can one whose 128 parity
+bits differ in more places than the tokens that may be missing (what is dropped by that is never a near copy). The other, long lists are never
 read through: each candidate's sorted tokens are probed for them. A list longer than ``long_list`` among the first ones
 is set aside, too, and the drawing takes its next list instead; only a drawing that runs out of lists gets its long ones back.
 """
@@ -27,30 +28,31 @@ def required(n: Column, share: float = SHARE) -> Column:
 
 
 def postings(sets: DataFrame, share: float = SHARE, merged: int = MERGED, long_list: int = LONG_LIST, name: str = "lists") -> DataFrame:
-    """``(token, row, n, length)``: the lists to merge that hold at least two drawings. ``sets``: ``(row, n, tokens)``."""
+    """``(token, row, n, p0, p1)``: the lists that are merged. ``sets``: ``(row, n, p0, p1, tokens)``."""
     need = required(F.col("n"), share)
     first = F.col("n") - need + F.least(F.lit(merged), need)
-    length = F.count("*").over(Window.partitionBy("token"))
-    listed = sets.select("row", "n", F.explode(F.slice("tokens", F.lit(1), first)).alias("token"))
-    listed = store.written(listed.withColumn("length", length).filter("length > 1"), name)
-    long_ = listed.filter(F.col("length") > long_list).select("token").distinct()
+    carried = ["row", "n", "p0", "p1"]
+    listed = sets.select(*carried, F.explode(F.slice("tokens", F.lit(1), first)).alias("token"))
+    long_ = listed.groupBy("token").agg(F.count("*").alias("length")).filter(F.col("length") > long_list).select("token")
     long_ = store.written(long_, name)
     if long_.isEmpty():
         return listed
-    hit = listed.filter(F.col("length") > long_list).select("row").distinct()
-    every = sets.join(hit, "row", "left_semi").select("row", "n", F.explode("tokens").alias("token"))
-    marked = every.join(long_.withColumn("late", F.lit(True)), "token", "left").select("row", "n", "token", F.coalesce("late", F.lit(False)).alias("late"))
+    hit = store.written(listed.join(long_, "token", "left_semi").select("row").distinct(), name)
+    every = sets.join(hit, "row", "left_semi").select(*carried, F.explode("tokens").alias("token"))
+    marked = every.join(long_.withColumn("late", F.lit(True)), "token", "left").withColumn("late", F.coalesce("late", F.lit(False)))
     place = F.row_number().over(Window.partitionBy("row").orderBy("late", "token"))
-    again = marked.withColumn("place", place).filter(F.col("place") <= first).select("row", "n", "token")
-    rest = sets.join(hit, "row", "left_anti").select("row", "n", F.explode(F.slice("tokens", F.lit(1), first)).alias("token"))
-    return store.written(rest.unionByName(again).withColumn("length", length).filter("length > 1"), name)
+    again = marked.withColumn("place", place).filter(F.col("place") <= first).select(*carried, "token")
+    rest = sets.join(hit, "row", "left_anti").select(*carried, F.explode(F.slice("tokens", F.lit(1), first)).alias("token"))
+    return store.written(rest.unionByName(again), name)
 
 
 def candidates(lists: DataFrame, share: float = SHARE, merged: int = MERGED) -> DataFrame:
-    """``(a, b)``, a < b: pairs of drawings that share enough of the merged lists and whose sizes allow the overlap."""
-    x = lists.select("token", F.col("row").alias("a"), F.col("n").alias("na"))
-    y = lists.select("token", F.col("row").alias("b"), F.col("n").alias("nb"))
-    fits = F.least("na", "nb") >= required(F.greatest("na", "nb"), share)
+    """``(a, b)``, a < b: pairs of drawings that share enough of the merged lists and whose sizes and parity bits allow the overlap."""
+    x = lists.select("token", F.col("row").alias("a"), F.col("n").alias("na"), F.col("p0").alias("a0"), F.col("p1").alias("a1"))
+    y = lists.select("token", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("p0").alias("b0"), F.col("p1").alias("b1"))
+    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    need = required(F.greatest("na", "nb"), share)
+    fits = (F.least("na", "nb") >= need) & (apart <= F.col("na") + F.col("nb") - 2 * need)
     met = x.join(y, "token").filter((F.col("a") < F.col("b")) & fits)
     least = F.least(F.lit(merged), required(F.col("na"), share), required(F.col("nb"), share))
     return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("a", "b")
@@ -82,7 +84,7 @@ def near_copies(rows: DataFrame, row: str, output: str, share: float = SHARE, me
         raise ValueError("share must be above 0 and at most 1")
     drawn = store.written(drawings(rows.select(F.col(row).alias("row"), F.col(output).alias("output")), "output", ["row"]), "drawings")
     members = store.written(classes(drawn, "row"), "members")
-    sets = drawn.join(members.filter("row = rep").select("row"), "row", "left_semi").select("row", "n", "tokens")
+    sets = drawn.join(members.filter("row = rep").select("row"), "row", "left_semi").select("row", "n", "p0", "p1", "tokens")
     pairs = store.written(candidates(postings(sets, share, merged, long_list), share, merged), "pairs")
     return members, probed(pairs, sets, share)
 
