@@ -28,3 +28,17 @@ def dense_rank_by(rows: DataFrame, key: str, order: list[Column], out: str = "ra
     inside = F.row_number().over(Window.partitionBy(key, "_cell").orderBy(*order)) - 1
     joined = celled.withColumn("_in", inside).join(starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_cell") == F.col("_c")))
     return joined.withColumn(out, F.col("_start") + F.col("_in")).drop("_k", "_c", "_n", "_in", "_start", "_cell")
+
+
+#: Rows of one number each that a filtering side may have to be sent to all tasks (about 50 MB in their memory).
+BROADCAST_KEYS = 1_000_000
+
+
+def filtered_by(big: DataFrame, keys: DataFrame, key: str, *, present: bool = True, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows of ``big`` whose ``key`` is (or, with ``present`` off, isn't) among ``keys``, whose only column it is.
+
+    The keys are counted first: up to ``limit`` they are broadcast, so that wide rows aren't shuffled; beyond it both
+    sides are shuffled. Either way the result is the same.
+    """
+    few = keys.limit(limit + 1).count() <= limit
+    return big.join(F.broadcast(keys) if few else keys, key, "left_semi" if present else "left_anti")
