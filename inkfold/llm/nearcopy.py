@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from inkfold import store
 from inkfold.llm.drawing import drawings
+from inkfold.operators.skew import filtered_by
 
 SHARE = 0.75
 MERGED = 2
@@ -27,6 +28,14 @@ def required(n: Column, share: float = SHARE) -> Column:
     return F.ceil(n * F.lit(f"{share}").cast("decimal(6,4)")).cast("int")
 
 
+def may_agree(a: tuple[str, str, str], b: tuple[str, str, str], share: float = SHARE) -> Column:
+    """Whether sizes and parity bits of two drawings (names of their ``n``, ``p0``, ``p1``) allow them to be near copies."""
+    (na, a0, a1), (nb, b0, b1) = a, b
+    apart = F.bit_count(F.col(a0).bitwiseXOR(F.col(b0))) + F.bit_count(F.col(a1).bitwiseXOR(F.col(b1)))
+    need = required(F.greatest(na, nb), share)
+    return (F.least(na, nb) >= need) & (apart <= F.col(na) + F.col(nb) - 2 * need)
+
+
 def postings(sets: DataFrame, share: float = SHARE, merged: int = MERGED, long_list: int = LONG_LIST, name: str = "lists") -> DataFrame:
     """``(token, row, n, p0, p1)``: the lists that are merged. ``sets``: ``(row, n, p0, p1, tokens)``."""
     need = required(F.col("n"), share)
@@ -50,18 +59,15 @@ def candidates(lists: DataFrame, share: float = SHARE, merged: int = MERGED) ->
     """``(a, b)``, a < b: pairs of drawings that share enough of the merged lists and whose sizes and parity bits allow the overlap."""
     x = lists.select("token", F.col("row").alias("a"), F.col("n").alias("na"), F.col("p0").alias("a0"), F.col("p1").alias("a1"))
     y = lists.select("token", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("p0").alias("b0"), F.col("p1").alias("b1"))
-    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    need = required(F.greatest("na", "nb"), share)
-    fits = (F.least("na", "nb") >= need) & (apart <= F.col("na") + F.col("nb") - 2 * need)
-    met = x.join(y, "token").filter((F.col("a") < F.col("b")) & fits)
+    met = x.join(y, "token").filter((F.col("a") < F.col("b")) & may_agree(("na", "a0", "a1"), ("nb", "b0", "b1"), share))
     least = F.least(F.lit(merged), required(F.col("na"), share), required(F.col("nb"), share))
     return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("a", "b")
 
 
 def probed(pairs: DataFrame, sets: DataFrame, share: float = SHARE) -> DataFrame:
     """``(a, b, overlap)`` of the pairs that are near copies, by probing all of their lists."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    some = sets.join(wanted, "row", "left_semi").select("row", "n", "tokens")
+    wanted = store.written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "wanted")
+    some = filtered_by(sets.select("row", "n", "tokens"), wanted, "row")
     left = pairs.join(some.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
     both = left.join(some.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
     overlap = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("overlap"))
@@ -84,7 +90,7 @@ def near_copies(rows: DataFrame, row: str, output: str, share: float = SHARE, me
         raise ValueError("share must be above 0 and at most 1")
     drawn = store.written(drawings(rows.select(F.col(row).alias("row"), F.col(output).alias("output")), "output", ["row"]), "drawings")
     members = store.written(classes(drawn, "row"), "members")
-    sets = drawn.join(members.filter("row = rep").select("row"), "row", "left_semi").select("row", "n", "p0", "p1", "tokens")
+    sets = filtered_by(drawn.select("row", "n", "p0", "p1", "tokens"), members.filter("row <> rep").select("row"), "row", present=False)
     pairs = store.written(candidates(postings(sets, share, merged, long_list), share, merged), "pairs")
     return members, probed(pairs, sets, share)
 
