@@ -138,13 +138,23 @@ def _chunks(texts: list[str | None]) -> Iterator[slice]:
 
 def minima(offsets: np.ndarray, tokens: np.ndarray, segments: int) -> np.ndarray:
     """The similarity-hash code of each set, as ``segments`` segments of 32 bits: of each of so many random orders of all
-    tokens, bits of the set's least token. Two sets agree in a segment as often as their overlap over their union."""
+    tokens, bits of the set's least token. Two sets agree in a segment as often as their overlap over their union.
+
+    Commands of fewer than two numbers (such as closing a path) are in most drawings and would make unlike ones agree: they
+    count only in a drawing that has no others."""
     rows = len(offsets) - 1
     out = np.zeros((rows, segments), np.int32)
     full = np.flatnonzero(np.diff(offsets))
     if len(full):
+        marks = tokens.astype(np.uint64)
+        plain = marks >> np.uint64(60) > 5
+        bare = np.zeros(rows, bool)
+        bare[full] = np.logical_and.reduceat(plain, offsets[full])
+        left = plain & ~np.repeat(bare, np.diff(offsets))
         for s in range(segments):
-            least = np.minimum.reduceat(mix(tokens.astype(np.uint64) + np.uint64((s + 1) * int(_MIX[2]) % 2**64)), offsets[full])
+            code = mix(marks + np.uint64((s + 1) * int(_MIX[2]) % 2**64))
+            code[left] = np.iinfo(np.uint64).max
+            least = np.minimum.reduceat(code, offsets[full])
             out[full, s] = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return out
 

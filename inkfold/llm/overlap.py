@@ -1,7 +1,7 @@
 """Problem 6: records of evaluation splits that repeat a training record, exactly or almost.
 
 Each drawing gets a similarity-hash code of 384 bits in 12 segments. Two codes within the Hamming radius agree in at
-least one whole segment but for rare cases (below 1 in 10,000 at the least overlap that counts), so codes are joined across
+least one whole segment but for rare cases (below 1 in 1,000 at the least overlap that counts), so codes are joined across
 the splits by segment and wanted text, pairs beyond the radius are dropped, and what is left is verified on
 the drawings themselves. The bits come from least values under random orders, not from signs of sums: at an overlap
 of three quarters sign codes differ in a quarter of all bits, and no segment of useful length would agree.
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from inkfold import store
 from inkfold.llm.drawing import drawings
-from inkfold.llm.nearcopy import SHARE, required
+from inkfold.llm.nearcopy import SHARE, may_agree, required
+from inkfold.operators.skew import filtered_by
 
 SEGMENTS = 12
 #: Of 384 bits; codes of unrelated drawings differ in half of them, those of near copies in about 80.
@@ -46,17 +47,17 @@ def cross_split(rows: DataFrame, row: str, split: str, instruction: str, output:
     same = ["text", "train", "print"]
     reps = drawn.groupBy(*same).agg(F.min("row").alias("rep"))
     members = store.written(drawn.select("row", *same).join(reps, same).select("row", "train", "rep"), "sides")
-    sets = drawn.join(members.filter("row = rep").select("row"), "row", "left_semi")
-    blocks = sets.select("row", "train", "text", "n", "code", F.posexplode("code").alias("segment", "block"))
-    side = lambda train, a, n, c: blocks.filter(F.col("train") if train else ~F.col("train")).select("text", "segment", "block", F.col("row").alias(a), F.col("n").alias(n), F.col("code").alias(c))
-    met = side(False, "a", "na", "ca").join(side(True, "b", "nb", "cb"), ["text", "segment", "block"])
-    near = met.filter((F.least("na", "nb") >= required(F.greatest("na", "nb"), share)) & (hamming(F.col("ca"), F.col("cb")) <= radius))
-    pairs = store.written(near.select("a", "b").distinct(), "near")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    some = sets.join(ends, "row", "left_semi").select("row", "n", "tokens")
-    left = pairs.join(some.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
-    both = left.join(some.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
-    links = both.filter(F.size(F.array_intersect("ta", "tb")) >= required(F.greatest("na", "nb"), share)).select("a", "b")
+    sets = filtered_by(drawn.drop("print"), members.filter("row <> rep").select("row"), "row", present=False)
+    blocks = sets.select("row", "train", "text", "n", "p0", "p1", F.posexplode("code").alias("segment", "block"))
+    blocks = blocks.select("train", F.xxhash64("text", "segment", "block").alias("key"), "row", "n", "p0", "p1")
+    side = lambda train, s: blocks.filter(F.col("train") if train else ~F.col("train")).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "p0", "p1")])
+    met = side(False, "a").join(side(True, "b"), "key").filter(may_agree(("n_a", "p0_a", "p1_a"), ("n_b", "p0_b", "p1_b"), share))
+    pairs = store.written(met.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct(), "near")
+    ends = store.written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends")
+    some = filtered_by(sets.select("row", "text", "n", "code", "tokens"), ends, "row")
+    end = lambda s: some.select(F.col("row").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("text", "n", "code", "tokens")])
+    both = pairs.join(end("a"), "a").join(end("b"), "b").filter((F.col("text_a") == F.col("text_b")) & (hamming(F.col("code_a"), F.col("code_b")) <= radius))
+    links = both.filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= required(F.greatest("n_a", "n_b"), share)).select("a", "b")
     return members, links
 
 
