@@ -105,7 +105,7 @@ def encode(rows: DataFrame, key: str, text: str, out: str = "ids", name: str = "
     known = salted_join(rare, coded, "word", F.col("_key")).groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "code"))).alias("_codes"))
     joined = rows.join(known, F.col(key).eqNullSafe(F.col("_key")), "left")
     ids = F.flatten(F.transform(words_of(F.col(text)), lambda w: _let(ids_of(w), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(F.try_element_at(F.col("_codes"), w)))))
-    return joined.withColumn("_ids", F.coalesce(ids, F.array().cast("array<int>"))).drop("_key", "_codes").withColumn(out, F.col("_ids")).drop("_ids")
+    return joined.withColumn("_new_ids", F.coalesce(ids, F.array().cast("array<int>"))).drop("_key", "_codes").withColumn(out, F.col("_new_ids")).drop("_new_ids")
 
 
 @cache
