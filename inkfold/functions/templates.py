@@ -73,10 +73,12 @@ def image_instruction(text: Column, images: Column, wording: Wording = WORDING)
     return F.concat(text, F.repeat(F.lit(wording.image), F.size(images)))
 
 
-def sft_record(instruction_: Column, output: Column, metadata: Column, content: Column, wording: Wording = WORDING) -> Column:
-    """``<instruction, system, output, metadata>``: metadata is the font's struct as JSON, with the content as it was asked for."""
-    named = F.to_json(F.struct(metadata.alias("font"), content.alias("content_str")))
-    return F.struct(instruction_.alias("instruction"), F.lit(wording.system).alias("system"), output.alias("output"), named.alias("metadata"))
+def sft_record(instruction_: Column, output: Column, metadata: list[Column], content: Column, wording: Wording = WORDING) -> Column:
+    """``<instruction, system, output, metadata>``: metadata is a JSON object of the font's fields, of what was asked and answered
+    (``sft_instruction``, ``sft_system``, ``sft_output``) and of the content as it was asked for. Null fields are left out."""
+    system = F.lit(wording.system)
+    named = F.to_json(F.struct(*metadata, instruction_.alias("sft_instruction"), system.alias("sft_system"), output.alias("sft_output"), content.alias("content_str")))
+    return F.struct(instruction_.alias("instruction"), system.alias("system"), output.alias("output"), named.alias("metadata"))
 
 
 def ocr_task(image: Column, metadata: Column, wording: Wording = WORDING) -> Column:
