@@ -17,7 +17,12 @@ def value_frequency(rows: DataFrame, fields: list[str]) -> DataFrame:
     All fields are counted in one pass: a row is exploded to its values, which are summed before the shuffle.
     """
     kinds = dict(rows.dtypes)
-    listed = [F.transform(c if kinds[f].startswith("array") else F.array(c), lambda v, f=f: F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"))) for f in fields for c in [F.col(f)]]
+
+    def entries(field: str) -> Column:
+        values = F.col(field) if kinds[field].startswith("array") else F.array(field)
+        return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), v.cast("string").alias("value")))
+
+    listed = [entries(f) for f in fields]
     empty = F.array().cast("array<struct<field: string, value: string>>")
     every = F.concat(*[F.coalesce(x, empty) for x in listed])
     return rows.select(F.explode(every).alias("x")).filter("x.value IS NOT NULL").groupBy("x.field", "x.value").agg(F.count("*").alias("n"))

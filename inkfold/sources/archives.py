@@ -77,7 +77,7 @@ def verified_members(members: DataFrame, wanted: DataFrame, item: str, member: s
 
 def suffix_table(listing: DataFrame, suffixes: list[str]) -> DataFrame:
     """One row an archive: how many members of each suffix it has, 0 for none."""
-    return listing.groupBy("path").pivot("suffix", suffixes).agg(F.count("*")).na.fill(0, suffixes)
+    return listing.groupBy("path").pivot("suffix", suffixes).agg(F.count(F.lit(1))).na.fill(0, suffixes)
 
 
 def arrays(files: DataFrame) -> DataFrame:
