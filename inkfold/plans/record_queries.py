@@ -277,15 +277,15 @@ def rows_by_position(spark, d):
 
 _SPLIT_SQL = """g AS (SELECT DISTINCT font_family_dir_name AS f FROM font_meta WHERE font_family_dir_name IS NOT NULL),
 r AS (SELECT f, row_number() OVER (ORDER BY md5('42|' || f), f) AS r FROM g),
-i AS (SELECT f, row_number() OVER (ORDER BY md5('43|' || f), f) AS k FROM r WHERE r > 12),
-v AS (SELECT f, row_number() OVER (ORDER BY md5('44|' || f), f) AS k FROM r WHERE r > 12),
-s AS (SELECT f, CASE WHEN r <= 12 THEN 'ood_test' ELSE 'train' END AS split FROM r UNION ALL SELECT f, 'ind_test' FROM i WHERE k <= 12 UNION ALL SELECT f, 'dev' FROM v WHERE k <= 4)"""
+i AS (SELECT f, row_number() OVER (ORDER BY md5('43|' || f), f) AS k FROM r WHERE r > 5),
+v AS (SELECT f, row_number() OVER (ORDER BY md5('44|' || f), f) AS k FROM r WHERE r > 5),
+s AS (SELECT f, CASE WHEN r <= 5 THEN 'ood_test' ELSE 'train' END AS split FROM r UNION ALL SELECT f, 'ind_test' FROM i WHERE k <= 5 UNION ALL SELECT f, 'dev' FROM v WHERE k <= 2)"""
 
 
 def _splits(spark, d):
     fonts = table(spark, d, "font_meta")
     groups = fonts.filter("font_family_dir_name IS NOT NULL").select("font_family_dir_name").distinct()
-    return fonts, splits.drawn(groups, "font_family_dir_name", 12, 12, 4)
+    return fonts, splits.drawn(groups, "font_family_dir_name", 5, 5, 2)
 
 
 @query(f"WITH {_SPLIT_SQL} SELECT m.identifier, s.split FROM font_meta m JOIN s ON s.f = m.font_family_dir_name")
