@@ -7,12 +7,14 @@ temporary folder is made and removed at exit.
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 
@@ -64,6 +66,27 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at(path))) if fs.exists(at(path)) else []
 
 
+def _save(df: DataFrame, path: str, partition_by: Iterable[str]) -> None:
+    """Parquet with its schema beside it, so that a table without rows (partitioned: without files) can be read."""
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    fs, at = _fs(df.sparkSession, path)
+    out = fs.create(at(f"{path}/_schema.json"), True)
+    try:
+        out.write(bytearray(df.schema.json().encode()))
+    finally:
+        out.close()
+
+
+def _load(spark: SparkSession, path: str) -> DataFrame:
+    fs, at = _fs(spark, path)
+    source = fs.open(at(f"{path}/_schema.json"))
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+    return spark.read.schema(T.StructType.fromJson(json.loads(text))).parquet(path)
+
+
 class VersionedTable:
     """A Parquet table that is replaced as a whole: readers see the last version that was written to its end."""
 
@@ -76,16 +99,16 @@ class VersionedTable:
     def read(self) -> DataFrame | None:
         """The newest version, or None before the first."""
         found = self.versions()
-        return self.spark.read.parquet(f"{self.path}/{found[-1]}") if found else None
+        return _load(self.spark, f"{self.path}/{found[-1]}") if found else None
 
     def write(self, df: DataFrame, partition_by: Iterable[str] = ()) -> DataFrame:
         found = self.versions()
         number = int(found[-1][1:]) + 1 if found else 1
         path = f"{self.path}/v{number:08d}"
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        _save(df, path, partition_by)
         for old in found[: max(0, len(found) + 1 - self.keep)]:
             remove(self.spark, f"{self.path}/{old}")
-        return self.spark.read.parquet(path)
+        return _load(self.spark, path)
 
 
 class DeltaLog:
@@ -100,12 +123,11 @@ class DeltaLog:
     def append(self, df: DataFrame, partition_by: Iterable[str] = ()) -> None:
         found = self.batches()
         number = int(found[-1][1:]) + 1 if found else 1
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/b{number:08d}")
+        _save(df, f"{self.path}/b{number:08d}", partition_by)
 
     def read(self) -> DataFrame | None:
         """All batches together, or None before the first."""
-        paths = [f"{self.path}/{b}" for b in self.batches()]
-        frames = [self.spark.read.parquet(p) for p in paths]
+        frames = [_load(self.spark, f"{self.path}/{b}") for b in self.batches()]
         out = frames[0] if frames else None
         for frame in frames[1:]:
             out = out.unionByName(frame)
@@ -115,7 +137,7 @@ class DeltaLog:
         """Put one batch in place of all: the new one is whole before the old ones go."""
         found = self.batches()
         path = f"{self.path}/b{int(found[-1][1:]) + 1 if found else 1:08d}"
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}.new")
+        _save(df, f"{path}.new", partition_by)
         for old in found:
             remove(self.spark, f"{self.path}/{old}")
         fs, at = _fs(self.spark, path)
