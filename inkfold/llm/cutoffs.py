@@ -95,8 +95,8 @@ class SourceCutoffs:
 def keep_fraction(records: DataFrame, fraction: float = 0.9) -> DataFrame:
     """The records (``source, score`` and others) at or below their source's cutoff; null sources and scores are left out."""
     tree = node_counts(records.filter(F.col("source").isNotNull() & F.col("score").isNotNull()).select("source", F.col("score").cast("bigint").alias("score"), F.lit(1).cast("bigint").alias("n")))
-    limit = descend(tree, fraction).select(F.col("source").alias("_s"), "cutoff")
-    return records.join(limit, (F.col("source") == F.col("_s")) & (F.col("score") <= F.col("cutoff")), "left_semi")
+    limit = descend(tree, fraction).select(F.col("source").alias("_inkfold_source"), F.col("cutoff").alias("_inkfold_cutoff"))
+    return records.join(limit, (F.col("source") == F.col("_inkfold_source")) & (F.col("score") <= F.col("_inkfold_cutoff")), "left_semi")
 
 
 def renderings(font_meta: DataFrame, pangram: DataFrame) -> DataFrame:

@@ -263,7 +263,7 @@ def judge(prompt: str, words: str, paths: int, asked: int | None, cut: bool, lab
     if asked is None and label and bare(words) == bare(label):
         return None
     if not paths:
-        if not _LETTER.search(words) and (not reading or _FRAMES.fullmatch(words)):
+        if not _LETTER.search(words) and (not reading or len(words) > 1 and _FRAMES.fullmatch(words)):
             return "empty"
         if words.strip(" \t\r\n\"'`.()[]{}<>").casefold() in NOTHING:
             return "empty"

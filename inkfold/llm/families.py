@@ -153,8 +153,8 @@ class FamilySplits:
 
     def assign(self, rows: DataFrame, family: str = "font_family_dir_name") -> DataFrame:
         """``rows`` with their family's ``split``; null for rows without a family or of one never ingested."""
-        have = self.members.read().select(F.col("node").alias("_family"), F.col("split").alias("_split"))
-        return rows.join(have, F.col(family) == F.col("_family"), "left").drop("_family").withColumn("split", F.col("_split")).drop("_split")
+        have = self.members.read().select(F.col("node").alias("_inkfold_family"), F.col("split").alias("_inkfold_split"))
+        return rows.join(have, F.col(family) == F.col("_inkfold_family"), "left").drop("_inkfold_family").withColumn("split", F.col("_inkfold_split")).drop("_inkfold_split")
 
 
 def family_pairs(members: DataFrame) -> DataFrame:

@@ -46,10 +46,10 @@ def _set(*ranges: tuple[int, int]) -> str:
     return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
 
 
-_JAMO = ((0x1100, 0x11FF), (0xA960, 0xA97C), (0xD7B0, 0xD7FB))
-_HANG = _set(*INVISIBLE) + r"\p{M}\x{ff9e}\x{ff9f}"
-#: A plain run ends before a character to which something is attached; conjoining jamo hang together.
-CLUSTERS = rf"(?s)[\x00-\x7f]+(?![{_HANG}])|[{_set(*_JAMO)}]+[{_HANG}]*|.[{_HANG}]*"
+#: What belongs to the character before it: marks, invisible characters, half-width sound marks, conjoining vowels and trailing consonants.
+_HANG = _set(*INVISIBLE, (0x1160, 0x11FF), (0xD7B0, 0xD7FB)) + r"\p{M}\x{ff9e}\x{ff9f}"
+#: A plain run ends before a character to which something is attached.
+CLUSTERS = rf"(?s)[\x00-\x7f]+(?![{_HANG}])|.[{_HANG}]*"
 _PICTURE = f"^[{_set(*PICTURES)}]"
 
 
@@ -148,13 +148,13 @@ def consistent(rows: DataFrame, key: str, text: str, out: str = "consistent") ->
     All columns are kept; ``out`` replaces a column of that name.
     """
     cut = F.regexp_extract_all(F.col(text), F.lit(CLUSTERS), F.lit(0))
-    found = rows.filter(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias("_key"), F.explode(F.filter(F.array_distinct(cut), lambda c: c.rlike(r"[^\x00-\x7f]"))).alias("cluster"))
+    found = rows.filter(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias("_inkfold_key"), F.explode(F.filter(F.array_distinct(cut), lambda c: c.rlike(r"[^\x00-\x7f]"))).alias("cluster"))
     forms = consistent_clusters(found.select("cluster").distinct()).filter("form <> cluster")
-    changed = salted_join(found, forms, "cluster", F.col("_key")).groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("cluster", "form"))).alias("_forms"))
-    joined = rows.join(changed, F.col(key).eqNullSafe(F.col("_key")), "left")
-    rebuilt = F.array_join(F.transform(cut, lambda c: F.coalesce(F.try_element_at(F.col("_forms"), c), c)), "")
-    form = F.regexp_replace(F.when(F.col("_forms").isNull(), F.col(text)).otherwise(rebuilt), "\r\n?", "\n")
-    return joined.withColumn("_form", form).drop("_key", "_forms").withColumn(out, F.col("_form")).drop("_form")
+    changed = salted_join(found, forms, "cluster", F.col("_inkfold_key")).groupBy("_inkfold_key").agg(F.map_from_entries(F.collect_set(F.struct("cluster", "form"))).alias("_inkfold_forms"))
+    joined = rows.join(changed, F.col(key).eqNullSafe(F.col("_inkfold_key")), "left")
+    rebuilt = F.array_join(F.transform(cut, lambda c: F.coalesce(F.try_element_at(F.col("_inkfold_forms"), c), c)), "")
+    form = F.regexp_replace(F.when(F.col("_inkfold_forms").isNull(), F.col(text)).otherwise(rebuilt), "\r\n?", "\n")
+    return joined.withColumn("_inkfold_form", form).drop("_inkfold_key", "_inkfold_forms").withColumn(out, F.col("_inkfold_form")).drop("_inkfold_form")
 
 
 def alike_pairs(forms: DataFrame, key: str, text: str, form: str) -> DataFrame:

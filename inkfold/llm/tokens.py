@@ -98,14 +98,14 @@ def encode(rows: DataFrame, key: str, text: str, out: str = "ids", name: str = "
     are encoded right, too. Special tokens' strings in a text are ordinary text.
     """
     ids_of = lambda w: rank_of(F.hex(w), name, folder)
-    rare = rows.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.explode(F.filter(F.array_distinct(words_of(F.col(text))), lambda w: ids_of(w).isNull())).alias("word"))
+    rare = rows.filter(F.col(text).isNotNull()).select(F.col(key).alias("_inkfold_key"), F.explode(F.filter(F.array_distinct(words_of(F.col(text))), lambda w: ids_of(w).isNull())).alias("word"))
     rare = store.written(rare, "words")
     coded = rare.select("word").distinct().select("word", F.transform(merged(F.hex("word"), name, folder), lambda p: rank_of(p, name, folder)).alias("code"))
     coded = store.written(coded, "codes")
-    known = salted_join(rare, coded, "word", F.col("_key")).groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "code"))).alias("_codes"))
-    joined = rows.join(known, F.col(key).eqNullSafe(F.col("_key")), "left")
-    ids = F.flatten(F.transform(words_of(F.col(text)), lambda w: _let(ids_of(w), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(F.try_element_at(F.col("_codes"), w)))))
-    return joined.withColumn("_new_ids", F.coalesce(ids, F.array().cast("array<int>"))).drop("_key", "_codes").withColumn(out, F.col("_new_ids")).drop("_new_ids")
+    known = salted_join(rare, coded, "word", F.col("_inkfold_key")).groupBy("_inkfold_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "code"))).alias("_inkfold_codes"))
+    joined = rows.join(known, F.col(key).eqNullSafe(F.col("_inkfold_key")), "left")
+    ids = F.flatten(F.transform(words_of(F.col(text)), lambda w: _let(ids_of(w), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(F.try_element_at(F.col("_inkfold_codes"), w)))))
+    return joined.withColumn("_inkfold_ids", F.coalesce(ids, F.array().cast("array<int>"))).drop("_inkfold_key", "_inkfold_codes").withColumn(out, F.col("_inkfold_ids")).drop("_inkfold_ids")
 
 
 @cache
