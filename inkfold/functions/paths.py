@@ -40,21 +40,33 @@ class Bezier:
         d = len(self.points) - 1
         return Bezier(tuple(d * (b - a) for a, b in zip(self.points, self.points[1:], strict=False))).at(t)
 
-    def turns(self) -> np.ndarray:
-        """Parameters inside (0, 1) where x or y has an extremum."""
-        d = [b - a for a, b in zip(self.points, self.points[1:], strict=False)]
-        found = []
-        for axis in (np.real, np.imag):
-            v = [float(axis(z)) for z in d]
-            if len(v) == 2:
-                poly = [v[1] - v[0], v[0]]
-            elif len(v) == 3:
-                poly = [v[0] - 2 * v[1] + v[2], 2 * (v[1] - v[0]), v[0]]
+    def extent(self) -> list[complex]:
+        """Points among which are those of least and greatest x and y: the ends and where a coordinate turns."""
+        p = self.points
+        out = [p[0], p[-1]]
+        if len(p) == 2:
+            return out
+        for axis in ("real", "imag"):
+            v = [getattr(z, axis) for z in p]
+            d = [y - x for x, y in zip(v, v[1:], strict=False)]
+            if len(d) == 2:
+                bend = d[0] - d[1]
+                roots = [d[0] / bend] if bend else []
             else:
-                continue
-            roots = np.roots(np.trim_zeros(poly, "f")) if any(poly) else []
-            found += [r.real for r in roots if abs(r.imag) < 1e-9 and 0 < r.real < 1]
-        return np.array(found)
+                a, b, c = d[0] - 2 * d[1] + d[2], 2 * (d[1] - d[0]), d[0]
+                if abs(a) < 1e-12:
+                    roots = [-c / b] if b else []
+                else:
+                    under = b * b - 4 * a * c
+                    roots = [(-b + s * under**0.5) / (2 * a) for s in (1, -1)] if under >= 0 else []
+            out += [self.point(t) for t in roots if 0 < t < 1]
+        return out
+
+    def point(self, t: float) -> complex:
+        level = list(self.points)
+        while len(level) > 1:
+            level = [x + (y - x) * t for x, y in zip(level, level[1:], strict=False)]
+        return level[0]
 
     def mapped(self, f) -> Bezier:
         return Bezier(tuple(f(z) for z in self.points))
@@ -98,11 +110,11 @@ class Arc:
         angle = a + span * np.asarray(t, float)
         return span * turn * (-r.real * np.sin(angle) + 1j * r.imag * np.cos(angle))
 
-    def turns(self) -> np.ndarray:
+    def extent(self) -> list[complex]:
         _, a, span, r, turn = self._centre()
         base = [np.arctan2(-r.imag * turn.imag, r.real * turn.real), np.arctan2(r.imag * turn.real, r.real * turn.imag)]
         t = np.array([(x + k * np.pi - a) / span for x in base for k in range(-4, 5)]) if span else np.zeros(0)
-        return t[(t > 0) & (t < 1)]
+        return [self.start, self.end, *self.at(t[(t > 0) & (t < 1)])]
 
     def mapped(self, f) -> Arc:
         origin = f(0j)
@@ -218,12 +230,12 @@ def written(steps: list[Step], relative: bool = True, digits: int = 10) -> str:
 
 def box(steps: list[Step]) -> tuple[float, float, float, float] | None:
     """``(xmin, ymin, width, height)`` of what is drawn; None for nothing."""
-    z = [s.segment.at(np.concatenate(([0.0, 1.0], s.segment.turns()))) for s in steps if s.segment is not None]
+    z = [p for s in steps if s.segment is not None for p in s.segment.extent()]
     if not z:
         return None
-    all_ = np.concatenate(z)
-    x, y = all_.real.min(), all_.imag.min()
-    return float(x), float(y), float(all_.real.max() - x), float(all_.imag.max() - y)
+    xs, ys = [p.real for p in z], [p.imag for p in z]
+    x, y = min(xs), min(ys)
+    return float(x), float(y), float(max(xs) - x), float(max(ys) - y)
 
 
 @cache
@@ -234,6 +246,8 @@ def _gauss(n: int = 24) -> tuple[np.ndarray, np.ndarray]:
 
 def length(segment: Segment, upto: float = 1.0, parts: int = 4) -> float:
     """Arc length from 0 to ``upto`` by Gauss-Legendre quadrature over equal parts."""
+    if isinstance(segment, Bezier) and len(segment.points) == 2:
+        return abs(segment.points[1] - segment.points[0]) * upto
     x, w = _gauss()
     edges = np.linspace(0, upto, parts + 1)
     t = (edges[:-1, None] + x * upto / parts).ravel()

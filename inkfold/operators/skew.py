@@ -42,3 +42,12 @@ def filtered_by(big: DataFrame, keys: DataFrame, key: str, *, present: bool = Tr
     """
     few = keys.limit(limit + 1).count() <= limit
     return big.join(F.broadcast(keys) if few else keys, key, "left_semi" if present else "left_anti")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer parts than the cluster has cores, dealt out to all of them; any larger one as it is.
+
+    For work in Python that costs far more than moving its rows: files of one row group are one task otherwise.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -141,11 +141,9 @@ def decontaminate_exact(spark, d):
     return joins.decontaminated(sft.filter("split <> 'train'"), sft.filter("split = 'train'"), key, key).select("row_idx", "split")
 
 
-@query("""WITH p AS (SELECT DISTINCT label FROM prediction WHERE length(label) BETWEEN 30 AND 400 AND label NOT LIKE '<%')
-SELECT DISTINCT doc_id, text FROM documents, p WHERE contains(text, label)""")
+@query(r"""SELECT doc_id, text FROM documents WHERE EXISTS (SELECT 1 FROM tag_dim WHERE tags <> '' AND contains(text, tags) AND regexp_matches(' ' || text || ' ', '[^\p{L}\p{M}\p{N}_]' || regexp_escape(tags) || '[^\p{L}\p{M}\p{N}_]'))""")
 def decontaminate_contains(spark, d):
-    passages = table(spark, d, "prediction").filter("length(label) BETWEEN 30 AND 400 AND NOT label LIKE '<%'").select("label")
-    return joins.holding_passage(table(spark, d, "documents").select("doc_id", "text"), "text", passages, "label")
+    return joins.holding_passage(table(spark, d, "documents").select("doc_id", "text"), "text", table(spark, d, "tag_dim"), "tags")
 
 
 _OCR = "json_valid(metadata) AND (CASE WHEN json_valid(metadata) THEN metadata END)->>'$.task' = 'ocr'"

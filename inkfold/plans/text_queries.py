@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkfold.functions import hashing, numbers, svg, templates, text, tokenize
 from inkfold.operators import dedup
+from inkfold.operators.skew import spread
 from inkfold.plans.catalogue import query, table
 
 
@@ -125,26 +126,26 @@ def tag_word_split(spark, d):
 
 @query()
 def svg_minify(spark, d):
-    return table(spark, d, "pangram").select("filename", svg.minify_column(F.col("svg"), 1).alias("svg"))
+    return spread(table(spark, d, "pangram").select("filename", "svg")).select("filename", svg.minify_column(F.col("svg"), 1).alias("svg"))
 
 
 @query()
 def svg_bbox(spark, d):
-    return table(spark, d, "pangram").select("filename", svg.box_column(F.col("svg")).alias("box"))
+    return spread(table(spark, d, "pangram").select("filename", "svg")).select("filename", svg.box_column(F.col("svg")).alias("box"))
 
 
 @query()
 def svg_bake(spark, d):
     moved = F.replace(F.replace(F.col("svg"), F.lit("<path "), F.lit('<path transform="translate(3 4) scale(2 -2)" ')), F.lit("<svg "), F.lit('<svg xmlns="http://www.w3.org/2000/svg" '))
-    return table(spark, d, "pangram").select("filename", svg.bake_column(moved).alias("svg"))
+    return spread(table(spark, d, "pangram").select("filename", "svg")).select("filename", svg.bake_column(moved).alias("svg"))
 
 
 @query()
 def svg_encode_decode(spark, d):
-    drawn = table(spark, d, "sft").select("row_idx", svg.decode_column(F.col("output")).alias("document"))
+    drawn = spread(table(spark, d, "sft").select("row_idx", "output")).select("row_idx", svg.decode_column(F.col("output")).alias("document"))
     return drawn.select("row_idx", svg.encode_column(F.col("document")).alias("lines"), svg.survives_coding(F.col("document")).alias("sound"))
 
 
 @query()
 def arc_length_sampling(spark, d):
-    return table(spark, d, "pangram").select("filename", F.size(svg.points_column(F.col("svg"), 64)).alias("points"))
+    return spread(table(spark, d, "pangram").select("filename", "svg")).select("filename", F.size(svg.points_column(F.col("svg"), 64)).alias("points"))

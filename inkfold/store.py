@@ -33,7 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/inkfold/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/inkfold-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application wrote to its scratch folder. Frames that still read them fail afterwards."""
+    remove(spark, f"{shared_dir(spark)}/inkfold-{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
