@@ -33,7 +33,7 @@ def metadata_terms(rows: DataFrame, metadata: str = "metadata") -> DataFrame:
     Null, empty, cut-off and non-object metadata give no row; absent and null fields give no terms.
     """
     text = F.col(metadata)
-    parsed = F.from_json(text, "tags STRING, category STRING, content_str STRING, _broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    parsed = F.from_json(text, "tags STRING, category STRING, content_str STRING, _broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "allowSingleQuotes": "false"})
     whole = rows.filter(text.rlike(r"(?s)^\s*\{.*\}\s*$")).select(parsed.alias("j")).filter(F.col("j").isNotNull() & F.col("j._broken").isNull())
 
     def of(field: str) -> Column:
