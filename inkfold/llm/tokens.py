@@ -98,8 +98,10 @@ def encode(rows: DataFrame, key: str, text: str, out: str = "ids", name: str = "
     are encoded right, too. Special tokens' strings in a text are ordinary text.
     """
     ids_of = lambda w: rank_of(F.hex(w), name, folder)
-    rare = rows.filter(F.col(text).isNotNull()).select(F.col(key).alias("_inkfold_key"), F.explode(F.filter(F.array_distinct(words_of(F.col(text))), lambda w: ids_of(w).isNull())).alias("word"))
-    rare = store.written(rare, "words")
+    missed = F.filter(F.array_distinct(words_of(F.col(text))), lambda w: ids_of(w).isNull())
+    # stored as arrays first: exploding the expression itself would put it, with the whole rank map, into the plan several times
+    rare = store.written(rows.filter(F.col(text).isNotNull()).select(F.col(key).alias("_inkfold_key"), missed.alias("words")), "words")
+    rare = rare.select("_inkfold_key", F.explode("words").alias("word"))
     coded = rare.select("word").distinct().select("word", F.transform(merged(F.hex("word"), name, folder), lambda p: rank_of(p, name, folder)).alias("code"))
     coded = store.written(coded, "codes")
     known = salted_join(rare, coded, "word", F.col("_inkfold_key")).groupBy("_inkfold_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "code"))).alias("_inkfold_codes"))
