@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from inkfold import store
 from inkfold.llm.drawing import drawings
-from inkfold.operators.skew import filtered_by
+from inkfold.operators.skew import filtered_by, spread
 
 SHARE = 0.75
 MERGED = 2
@@ -112,7 +112,7 @@ def grouped(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sft = spark.read.parquet(f"{sf_dir}/sft.parquet").select("row_idx", "output")
+    sft = spread(spark.read.parquet(f"{sf_dir}/sft.parquet").select("row_idx", "output"))
     return expanded(*near_copies(sft, "row_idx", "output"))
 
 
