@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkfold import store
 from inkfold.llm.drawing import drawings
 from inkfold.llm.nearcopy import SHARE, may_agree, required
-from inkfold.operators.skew import filtered_by
+from inkfold.operators.skew import filtered_by, spread
 
 SEGMENTS = 12
 #: Of 384 bits; codes of unrelated drawings differ in half of them, those of near copies in about 80.
@@ -81,7 +81,7 @@ _COLUMNS = ("row_idx", "split", "instruction", "output")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sft = spark.read.parquet(f"{sf_dir}/sft.parquet").select(*_COLUMNS)
+    sft = spread(spark.read.parquet(f"{sf_dir}/sft.parquet").select(*_COLUMNS))
     pairs = cross_pairs(*cross_split(sft, "row_idx", "split", "instruction", "output"))
     return pairs.select(F.least("eval", "train").alias("row_a"), F.greatest("eval", "train").alias("row_b"))
 
