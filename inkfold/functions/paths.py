@@ -7,8 +7,9 @@ quadratics and cubics share all code, arcs have their own.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -137,8 +138,9 @@ class Step:
     end: complex
 
 
-def parse(data: str, strict: bool = False) -> list[Step]:
-    """The steps of path data. What can't be read ends the path, or raises if ``strict``."""
+@lru_cache(maxsize=4096)
+def parse(data: str, strict: bool = False) -> tuple[Step, ...]:
+    """The steps of path data. What can't be read ends the path, or raises if ``strict``. Drawings repeat their letters, so recent paths are kept."""
     steps: list[Step] = []
     here = first = 0j
     tail: complex | None = None  # last control point, for smooth curves
@@ -200,10 +202,10 @@ def parse(data: str, strict: bool = False) -> list[Step]:
                 segment, end = Bezier((here, first)), first
             steps.append(Step(kind, segment, end))
             here, tail, before = end, control, kind
-    return steps
+    return tuple(steps)
 
 
-def written(steps: list[Step], relative: bool = True, digits: int = 10) -> str:
+def written(steps: Sequence[Step], relative: bool = True, digits: int = 10) -> str:
     """Path data of the steps, each with its full command."""
     out, here, first = [], 0j, 0j
 
@@ -228,7 +230,7 @@ def written(steps: list[Step], relative: bool = True, digits: int = 10) -> str:
     return "".join(out)
 
 
-def box(steps: list[Step]) -> tuple[float, float, float, float] | None:
+def box(steps: Sequence[Step]) -> tuple[float, float, float, float] | None:
     """``(xmin, ymin, width, height)`` of what is drawn; None for nothing."""
     z = [p for s in steps if s.segment is not None for p in s.segment.extent()]
     if not z:
@@ -254,7 +256,7 @@ def length(segment: Segment, upto: float = 1.0, parts: int = 4) -> float:
     return float((np.abs(segment.speed(t)) * np.tile(w, parts)).sum() * upto / parts)
 
 
-def sampled(steps: list[Step], n: int) -> np.ndarray:
+def sampled(steps: Sequence[Step], n: int) -> np.ndarray:
     """``n`` points at equal arc length along all that is drawn, first and last included; ``(n, 2)``.
 
     A path without length gives its only point ``n`` times; one that draws nothing an empty array.
@@ -283,7 +285,7 @@ def sampled(steps: list[Step], n: int) -> np.ndarray:
     return np.stack((z.real, z.imag), 1)
 
 
-def moved(steps: list[Step], matrix: np.ndarray) -> list[Step]:
+def moved(steps: Sequence[Step], matrix: np.ndarray) -> list[Step]:
     """The steps under an affine map (3 x 3)."""
     f = lambda z: complex(matrix[0, 0] * z.real + matrix[0, 1] * z.imag + matrix[0, 2], matrix[1, 0] * z.real + matrix[1, 1] * z.imag + matrix[1, 2])
     return [Step(s.letter, s.segment.mapped(f) if s.segment else None, f(s.end)) for s in steps]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -61,7 +61,7 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def _steps(element: ET.Element) -> list[paths.Step]:
+def _steps(element: ET.Element) -> Sequence[paths.Step]:
     steps = paths.parse(element.get("d", ""))
     return paths.moved(steps, paths.transform_matrix(element.get("transform"))) if element.get("transform") else steps
 
@@ -277,3 +277,23 @@ def survives_coding(svg: Column) -> Column:
         return encode(decode(once)) == once
 
     return F.coalesce(_column(check, "boolean")(svg), F.lit(False))
+
+
+def coded_column(svg: Column) -> Column:
+    """``<lines, sound>``: the encoding of a document and whether it survives decoding; nulls for documents that can't be read."""
+
+    def code(text: str) -> dict:
+        lines = encode(text)
+        return {"lines": lines, "sound": encode(decode(lines)) == lines}
+
+    @F.pandas_udf("struct<lines: string, sound: boolean>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        def one(text: str | None) -> dict:
+            try:
+                return code(text) if text is not None else {"lines": None, "sound": None}
+            except (ValueError, ET.ParseError, KeyError, IndexError, ZeroDivisionError):
+                return {"lines": None, "sound": None}
+
+        return pd.DataFrame([one(t) for t in texts], columns=["lines", "sound"])
+
+    return run(svg)

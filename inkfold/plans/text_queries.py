@@ -142,8 +142,8 @@ def svg_bake(spark, d):
 
 @query()
 def svg_encode_decode(spark, d):
-    drawn = spread(table(spark, d, "sft").select("row_idx", "output")).select("row_idx", svg.decode_column(F.col("output")).alias("document"))
-    return drawn.select("row_idx", svg.encode_column(F.col("document")).alias("lines"), svg.survives_coding(F.col("document")).alias("sound"))
+    drawn = spread(table(spark, d, "sft").select("row_idx", "output"))
+    return drawn.select("row_idx", svg.coded_column(svg.decode_column(F.col("output"))).alias("c")).select("row_idx", "c.lines", "c.sound")
 
 
 @query()

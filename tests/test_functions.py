@@ -150,3 +150,5 @@ def test_broken_documents_give_null(spark):
     got = values(spark, svg.box_column(F.col("x")), [DRAWN, "<svg", None])
     assert got[0] == pytest.approx([0, -5, 10, 10]) and got[1:] == [None, None]
     assert values(spark, svg.survives_coding(F.col("x")), [DRAWN, "<svg", None]) == [True, False, False]
+    coded = values(spark, svg.coded_column(F.col("x")), [DRAWN, "<svg", None])
+    assert coded[0].sound and coded[0].lines == svg.encode(DRAWN) and [c.lines for c in coded[1:]] == [None, None]
