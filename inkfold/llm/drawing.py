@@ -136,18 +136,24 @@ def _chunks(texts: list[str | None]) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
+def short(marks: np.ndarray) -> np.ndarray:
+    """Whether tokens are of commands with fewer than two numbers."""
+    return marks >> np.uint64(60) > 5
+
+
 def minima(offsets: np.ndarray, tokens: np.ndarray, segments: int) -> np.ndarray:
     """The similarity-hash code of each set, as ``segments`` segments of 32 bits: of each of so many random orders of all
     tokens, bits of the set's least token. Two sets agree in a segment as often as their overlap over their union.
 
     Commands of fewer than two numbers (such as closing a path) are in most drawings and would make unlike ones agree: they
-    count only in a drawing that has no others."""
+    count only in a drawing that has no others. So two sets agree by their other commands only, and nearly equal ones of mostly
+    short commands may agree in no segment: ``full`` of ``drawings`` tells how many commands count."""
     rows = len(offsets) - 1
     out = np.zeros((rows, segments), np.int32)
     full = np.flatnonzero(np.diff(offsets))
     if len(full):
         marks = tokens.astype(np.uint64)
-        plain = marks >> np.uint64(60) > 5
+        plain = short(marks)
         bare = np.zeros(rows, bool)
         bare[full] = np.logical_and.reduceat(plain, offsets[full])
         left = plain & ~np.repeat(bare, np.diff(offsets))
@@ -174,13 +180,14 @@ def parities(offsets: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 def drawings(rows: DataFrame, output: str, keep: list[str], segments: int = 0) -> DataFrame:
     """The columns ``keep``, ``n`` (commands), ``print`` (16 bytes, equal for equal multisets), ``p0`` and ``p1`` (parity
-    bits) and ``tokens``; with ``segments`` also ``code``, a similarity-hash code of so many 32-bit segments.
+    bits) and ``tokens``; with ``segments`` also ``full``, the number of commands of two numbers or more, and ``code``, a
+    similarity-hash code of so many 32-bit segments.
 
     Rows whose text is null or has no command are left out. Text is read as a whole, however long.
     """
     kept = rows.select(*keep, output)
     fields = [f"`{c}` {t}" for c, t in kept.select(*keep).dtypes]
-    schema = ", ".join([*fields, "n int", "print binary", "p0 bigint", "p1 bigint", "tokens array<bigint>", *["code array<int>"] * bool(segments)])
+    schema = ", ".join([*fields, "n int", "print binary", "p0 bigint", "p1 bigint", "tokens array<bigint>", *["full int", "code array<int>"] * bool(segments)])
     width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +209,9 @@ def drawings(rows: DataFrame, output: str, keep: list[str], segments: int = 0) -
                 parity = parities(offsets, token)[full]
                 columns += [pa.array(n[full].astype(np.int32)), pa.Array.from_buffers(pa.binary(16), len(full), [None, pa.py_buffer(prints)]).cast(pa.binary()), pa.array(parity[:, 0].copy()), pa.array(parity[:, 1].copy()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(token))]
                 if segments:
+                    columns.append(pa.array(np.add.reduceat((~short(marks)).astype(np.int32), offsets[full], dtype=np.int32)))
                     codes = minima(offsets, token, segments)[full]
                     columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * segments), pa.array(codes.reshape(-1))))
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n", "print", "p0", "p1", "tokens", *["code"] * bool(segments)])
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n", "print", "p0", "p1", "tokens", *["full", "code"] * bool(segments)])
 
     return kept.mapInArrow(run, schema)

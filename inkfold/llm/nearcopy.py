@@ -36,22 +36,27 @@ def may_agree(a: tuple[str, str, str], b: tuple[str, str, str], share: float = S
     return (F.least(na, nb) >= need) & (apart <= F.col(na) + F.col(nb) - 2 * need)
 
 
-def postings(sets: DataFrame, share: float = SHARE, merged: int = MERGED, long_list: int = LONG_LIST, name: str = "lists") -> DataFrame:
-    """``(token, row, n, p0, p1)``: the lists that are merged. ``sets``: ``(row, n, p0, p1, tokens)``."""
+def postings(sets: DataFrame, share: float = SHARE, merged: int = MERGED, long_list: int = LONG_LIST, name: str = "lists", within: tuple[str, ...] = (), keep: tuple[str, ...] = (), counted: DataFrame | None = None) -> DataFrame:
+    """``(token, row, n, p0, p1)``: the lists that are merged. ``sets``: ``(row, n, p0, p1, tokens)``.
+
+    With ``within`` there is a list for each token and values of these columns. ``keep`` are columns of ``sets`` to go along.
+    A list's length is the number of drawings of ``counted`` in it, by default of all."""
     need = required(F.col("n"), share)
     first = F.col("n") - need + F.least(F.lit(merged), need)
-    carried = ["row", "n", "p0", "p1"]
-    listed = sets.select(*carried, F.explode(F.slice("tokens", F.lit(1), first)).alias("token"))
-    long_ = listed.groupBy("token").agg(F.count("*").alias("length")).filter(F.col("length") > long_list).select("token")
+    key = [*within, "token"]
+    carried = ["row", *within, *keep, "n", "p0", "p1"]
+    begun = lambda some: some.select(*carried, F.explode(F.slice("tokens", F.lit(1), first)).alias("token"))
+    listed = begun(sets)
+    long_ = (listed if counted is None else begun(counted)).groupBy(*key).agg(F.count("*").alias("length")).filter(F.col("length") > long_list).select(*key)
     long_ = store.written(long_, name)
     if long_.isEmpty():
         return listed
-    hit = store.written(listed.join(long_, "token", "left_semi").select("row").distinct(), name)
+    hit = store.written(listed.join(long_, key, "left_semi").select("row").distinct(), name)
     every = sets.join(hit, "row", "left_semi").select(*carried, F.explode("tokens").alias("token"))
-    marked = every.join(long_.withColumn("late", F.lit(True)), "token", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    marked = every.join(long_.withColumn("late", F.lit(True)), key, "left").withColumn("late", F.coalesce("late", F.lit(False)))
     place = F.row_number().over(Window.partitionBy("row").orderBy("late", "token"))
     again = marked.withColumn("place", place).filter(F.col("place") <= first).select(*carried, "token")
-    rest = sets.join(hit, "row", "left_anti").select(*carried, F.explode(F.slice("tokens", F.lit(1), first)).alias("token"))
+    rest = begun(sets.join(hit, "row", "left_anti"))
     return store.written(rest.unionByName(again), name)
 
 

@@ -108,3 +108,26 @@ def test_overlaps_against_brute_force(spark, seed):
     told = overlap.report(frame, "i", "split", "m", members, links).collect()
     assert sum(r.repeated for r in told) == len({a for a, _ in want})
     assert sum(r.records for r in told) == sum(r[1] not in ("train", None) for r in rows)
+
+
+@pytest.mark.parametrize("long_list", [1000, 1])
+@pytest.mark.parametrize("changed", ["full", "short"])
+def test_overlaps_of_mostly_short_commands(spark, changed, long_list):
+    """Drawings of which 20 to 100 % are commands of fewer than two numbers, a quarter of all changed, all among the one kind if possible."""
+    rng = random.Random(f"{changed}")
+    rows = []
+    for percent in range(20, 101, 8):
+        for _ in range(3):
+            n = rng.choice([8, 20, 40])
+            short = round(n * percent / 100)
+            commands = [rng.choice(["z", f"h{rng.randint(1, 99)}", f"v{rng.randint(1, 99)}"]) for _ in range(short)] + [f"l{rng.randint(1, 999)} {rng.randint(1, 999)}" for _ in range(n - short)]
+            other, spots = list(commands), range(n)[::-1] if changed == "full" else range(n)
+            for k in spots[: n // 4]:
+                other[k] = f"l{rng.randint(1000, 1999)} 1" if k >= short else f"h{rng.randint(1000, 1999)}"
+            for split, body in (("dev", commands), ("train", other), ("train", other[: n - n // 4 - 1])):
+                rows.append((len(rows), split, f"Text to draw: {percent // 40}", '<path d="' + "".join(rng.sample(body, len(body))) + '"/>'))
+    members, links = overlap.cross_split(spark.createDataFrame(rows, "i bigint, split string, ask string, t string"), "i", "split", "ask", "t", long_list=long_list)
+    got = {tuple(r) for r in overlap.cross_pairs(members, links).collect()}
+    sets = [multiset(r[3]) for r in rows]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1] == "dev" and b[1] == "train" and a[2] == b[2] and alike(sets[a[0]], sets[b[0]])}
+    assert len(want) >= 33 and got == want
