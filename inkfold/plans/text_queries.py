@@ -115,6 +115,13 @@ def token_listing(spark, d):
     return docs.select("doc_id", F.posexplode(tokenize.pieces(F.col("text"))).alias("position", "piece"))
 
 
+@query()
+def token_listing_whole(spark, d):
+    """The pieces of all documents, whatever their language and type; ``token_listing`` has those that its SQL is over.
+    Null, empty and blank texts have no piece."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(tokenize.pieces(F.col("text"))).alias("position", "piece"))
+
+
 @query()
 def tag_word_split(spark, d):
     """Compound tags by a word list that is given, as any dictionary would be."""
