@@ -5,7 +5,8 @@ held as a sorted array of 64-bit tokens, one a command, equal where letter, numb
 repeat are equal. Reading order, spelling of numbers, spacing and attributes leave no trace.
 
 A token is, from its highest bits down: rarity class (3 bits, 0 for seven and more numbers to 7 for none), hash of letter and
-numbers (44 bits), number of the repeat (16 bits). So tokens in ascending order go from what is most likely rare
+numbers (44 bits), number of the repeat (16 bits). From the 65,536th equal command on, hash and repeat don't fit: there the lower
+60 bits are a hash of both. So tokens in ascending order go from what is most likely rare
 to what is most likely frequent, the same in all drawings, with no count over the corpus.
 """
 
@@ -121,7 +122,11 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         new = np.concatenate(([True], (row[1:] != row[:-1]) | (token[1:] != token[:-1])))
         begin = np.flatnonzero(new)
         repeat = np.arange(len(row)) - begin[np.cumsum(new) - 1]
-        token = token | np.minimum(repeat, MAX_REPEATS - 1).astype(np.uint64)
+        late = repeat >= MAX_REPEATS - 1
+        token = token | np.where(late, 0, repeat).astype(np.uint64)
+        if late.any():
+            token[late] = token[late] >> np.uint64(60) << np.uint64(60) | mix(token[late] + mix(repeat[late].astype(np.uint64))) >> np.uint64(4)
+            token = token[np.lexsort((token, row))]
     return np.searchsorted(row, np.arange(len(texts) + 1)), token.astype(np.int64)
 
 

@@ -92,6 +92,20 @@ def test_very_long_drawing(spark):
     assert {tuple(r) for r in nearcopy.expanded(members, links).collect()} == {(1, 2)}
 
 
+def test_one_command_very_often(spark):
+    path = lambda often, rest: '<path d="M0 0' + "l1 2" * often + "".join(f"l{k} 7" for k in range(rest)) + '"/>'
+    texts = [path(100_000, 0), path(99_000, 1_000), path(80_000, 0), path(70_000, 0)]
+    offsets, tokens = drawing.tokens_of(texts)
+    assert all(len(set(tokens[a:b].tolist())) == b - a and (tokens[a:b][1:] > tokens[a:b][:-1]).all() for a, b in zip(offsets, offsets[1:]))
+    rows = spark.createDataFrame([(k, "dev" if k % 2 else "train", "Text to draw: a", t) for k, t in enumerate(texts)], "i bigint, split string, ask string, t string")
+    sets = [multiset(t) for t in texts]
+    want = {(a, b) for a in range(4) for b in range(a + 1, 4) if alike(sets[a], sets[b])}
+    members, links = nearcopy.near_copies(rows, "i", "t")
+    assert {tuple(r) for r in nearcopy.expanded(members, links).collect()} == want == {(0, 1), (0, 2), (1, 2), (2, 3)}
+    members, links = overlap.cross_split(rows, "i", "split", "ask", "t")
+    assert {tuple(sorted(r)) for r in overlap.cross_pairs(members, links).collect()} == {(a, b) for a, b in want if a % 2 != b % 2}
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_overlaps_against_brute_force(spark, seed):
     rng = random.Random(seed)
