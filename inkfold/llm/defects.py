@@ -115,8 +115,20 @@ please consult a professional
 please ask a type designer
 please ask someone else
 not possible for me
+i am going to pass
+i am going to skip
+i am going to decline
+i am not going to
+i will pass on
+i will skip this
+i will sit this
+i choose not to
+i would rather pass
+count me out
 """.strip().splitlines()
 )
+# Words of the templates that may be missing or changed; all others decide.
+FILLING = frozenset("am are is be been being a an the to of for on in at will would have that this do does by and so".split())
 # Refusals in other languages.
 REFUSALS_ELSEWHERE = re.compile(
     r"ich kann\b.{0,60}\bnicht\b|leider (?:kann|bin|darf) ich|tut mir leid|muss ich ablehnen|je ne (?:peux|suis) pas|je dois (?:refuser|décliner)|désolée?\b.{0,40}\bpas\b|no puedo|lo siento|debo rechazar"
@@ -190,7 +202,10 @@ for _t in REFUSALS:
 
 
 def refuses(answer: str) -> bool:
-    """Whether a refusal template aligns with some window of the answer, or one of another language is found."""
+    """Whether a refusal template aligns with some window of the answer, or one of another language is found.
+
+    One word in seven may be missing or changed, and in templates of four words or more one that isn't decisive (``FILLING``),
+    with up to two other words in between."""
     text = answer.casefold().replace("’", "'")
     for short, long in _SHORT:
         text = text.replace(short, long)
@@ -200,6 +215,9 @@ def refuses(answer: str) -> bool:
             window = said[k : k + len(template) + (len(template) > 3)]
             if lcs(list(template), window) >= ALIGNED * len(template):
                 return True
+            window = said[k : k + len(template) + 2]
+            if len(template) > 3 and lcs(list(template), window) >= len(template) - 1 and lcs(decisive := [w for w in template if w not in FILLING], window) == len(decisive):
+                return True
     return bool(REFUSALS_ELSEWHERE.search(answer))
 
 

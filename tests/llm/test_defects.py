@@ -81,3 +81,19 @@ def test_lcs(a, b):
 @pytest.mark.parametrize("text, lang", [("The stem is stiff and it stays so.", "en"), ("Der Schaft ist schmal und bleibt so.", "de"), ("Он не был там", "ru"), ("sans-serif, techno-ui", None), ("Kogil", None)])
 def test_language(text, lang):
     assert defects.language(text) == lang
+
+
+@pytest.mark.parametrize(
+    "prompt, answer, label, want",
+    [
+        (DRAW, "I'm going to pass on this one.", None, "refusal"),
+        (READ, "I am really going to pass here.", "Zarel", "refusal"),
+        (LOOK, "I'm going to pass on this one.", None, "refusal"),
+        (LOOK, "I'm just not able to do this.", None, "refusal"),
+        (LOOK, "I have to say the stem is stiff.", None, None),
+        (LOOK, "I am going to use it, as it is able to carry a page.", None, None),
+    ],
+)
+def test_alignment_decides_refusals(prompt, answer, label, want):
+    asked = 2 if prompt == DRAW else None
+    assert defects.judge(prompt, answer, 0, asked, False, label) == want
