@@ -275,7 +275,8 @@ _FRAMES = re.compile(r"""["'`“”„«»‹›()\[\]{}<>|.…_*#~\s]*""")
 
 def judge(prompt: str, words: str, paths: int, asked: int | None, cut: bool, label: str | None) -> str | None:
     """The defect of an answer that holds words. asked: characters to draw, None if nothing is to be drawn; cut: it ends
-    while thinking."""
+    while thinking. A drawing answer of words alone that is none of the others lacks its paths and is truncated; a reading
+    that is none of the others is complete, right or wrong."""
     bare = lambda s: re.sub(r"\s+", "", s.replace("<|SEP|>", "")).casefold()
     reading = asked is None and bool(_READING.search(prompt))
     if asked is None and label and bare(words) == bare(label):
@@ -294,10 +295,9 @@ def judge(prompt: str, words: str, paths: int, asked: int | None, cut: bool, lab
     if cut:
         return "truncated"
     if asked is not None:
-        return ("truncated" if paths < asked else None) if paths else "refusal"
+        return "truncated" if paths < max(asked, 1) else None
     if reading:
-        prose = len(_tokens(words)) >= 5 and max(map(len, _tokens(words))) > 1 and not _QUOTED.search(words) and not (label and bare(label) in bare(words))
-        return "refusal" if prose else None
+        return None
     return "truncated" if unfinished(words) else None
 
 

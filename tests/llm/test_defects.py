@@ -86,7 +86,10 @@ def test_language(text, lang):
 @pytest.mark.parametrize(
     "prompt, answer, label, want",
     [
+        (DRAW, "Here is the outline:", None, "truncated"),
+        (DRAW, "Sure! The letters follow below.", None, "truncated"),
         (DRAW, "I'm going to pass on this one.", None, "refusal"),
+        (READ, "The picture shows the word Kobu", "Zarel", None),
         (READ, "I am really going to pass here.", "Zarel", "refusal"),
         (LOOK, "I'm going to pass on this one.", None, "refusal"),
         (LOOK, "I'm just not able to do this.", None, "refusal"),
