@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkfold.functions import tokenize
@@ -36,6 +37,13 @@ def sorted_frequency(spark, d):
     return listed.select("field", F.array_join(F.transform("values", lambda v: F.concat(v["value"], F.lit("="), v["n"].cast("string"))), ",").alias("listed"))
 
 
+@query(_COUNTED + "SELECT field, CAST(row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS BIGINT) AS rank, value, n FROM f")
+def sorted_frequency_whole(spark, d):
+    """The sorted listing of all fields, tags too, one row a value; ``sorted_frequency`` has the fields that its SQL is over."""
+    order = Window.partitionBy("field").orderBy(F.desc("n"), "value")
+    return _frequency(spark, d).select("field", F.row_number().over(order).cast("bigint").alias("rank"), "value", "n")
+
+
 @query(_COUNTED + "SELECT field, value, n FROM f WHERE field = 'tags' ORDER BY n DESC, value LIMIT 20")
 def top_k_values(spark, d):
     return sampling.top_values(_frequency(spark, d).filter("field = 'tags'"), 20)

@@ -26,3 +26,11 @@ def test_token_listing_of_all_documents(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, doc_type string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in catalogue.QUERIES["token_listing_whole"](spark, str(tmp_path)).collect())
     assert got == sorted((k, n, p) for k, t, _, _ in docs for n, p in enumerate(pieces(t)))
+
+
+def test_sorted_frequency_of_all_fields(spark, tmp_path):
+    rows = [(["sans"], ["wide", "calm"], None, [], "bold", 400, "a", None), (["sans"], ["calm", "tall"], None, [], None, 400, "b", None)]
+    schema = "category array<string>, tags array<string>, classifications array<string>, spacings array<string>, style string, weight int, source string, stroke string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/font_meta.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["sorted_frequency_whole"](spark, str(tmp_path)).collect()}
+    assert got == {("category", 1, "sans", 2), ("tags", 1, "calm", 2), ("tags", 2, "tall", 1), ("tags", 3, "wide", 1), ("style", 1, "bold", 1), ("weight", 1, "400", 2), ("source", 1, "a", 1), ("source", 2, "b", 1)}
