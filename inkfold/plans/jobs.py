@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkfold import store
 from inkfold.functions import hashing, templates
 from inkfold.metrics import ocr
 from inkfold.operators import aggregates, dedup, filters, joins, splits
@@ -59,6 +60,20 @@ def dataset_build(spark, d):
     return built.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("identifier").alias("fonts"), F.sum(F.length("r.instruction")).alias("chars"))
 
 
+@query(f"""WITH {_STAGES}, c AS (SELECT DISTINCT content FROM content WHERE content IS NOT NULL),
+h AS (SELECT *, CAST('0x' || substring(md5('42|' || font_family_dir_name), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM kept)
+SELECT CASE WHEN u < 0.8 THEN 'train' ELSE 'ood_test' END AS split, count(*) AS rows, count(DISTINCT identifier) AS fonts, CAST(sum(length('Text content: ' || array_to_string(string_split(content, ''), '<|SEP|>') || chr(10))) AS BIGINT) AS chars FROM h, c GROUP BY 1""")
+def dataset_build_whole(spark, d):
+    """The dataset of all non-null contents, words and marks too; ``dataset_build`` has the single characters that its SQL is over.
+    The fonts that passed are kept as a table; each content goes to both splits, so the product is an equal join."""
+    contents = table(spark, d, "content").filter("content IS NOT NULL").select("content").distinct()
+    fonts = store.written(splits.hashed(_funnel(spark, d), "font_family_dir_name", {"train": 0.8, "ood_test": 0.2}).select("split", "identifier", "source", "svg"), "fonts")
+    rows = fonts.join(contents.withColumn("split", F.explode(F.array(F.lit("train"), F.lit("ood_test")))), "split")
+    record = templates.sft_record(templates.instruction(F.array().cast("array<string>"), F.col("content")), F.col("svg"), [F.col("identifier"), F.col("source")], F.col("content"))
+    built = rows.select("split", "identifier", record.alias("r"))
+    return built.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("identifier").alias("fonts"), F.sum(F.length("r.instruction")).alias("chars"))
+
+
 @query(r"""WITH t AS (SELECT CASE WHEN json_valid(metadata) THEN metadata->>'$.task' END AS task, predict, label, latency_sec, usage FROM prediction),
 g AS (SELECT *, lower(replace(trim(predict, ' ' || chr(10) || chr(9) || chr(13) || chr(160)), '<|SEP|>', '')) = lower(replace(trim(label, ' ' || chr(10) || chr(9) || chr(13) || chr(160)), '<|SEP|>', '')) AS score FROM t)
 SELECT task, count(*) AS rows, count(score) AS graded, count(*) FILTER (WHERE score) AS correct, round(avg(latency_sec), 6) AS latency, CAST(sum(usage.total_tokens) AS BIGINT) AS tokens FROM g GROUP BY 1""")

@@ -6,6 +6,8 @@ import unicodedata
 
 from inkfold.plans import catalogue
 
+from .conftest import DATA
+
 
 def pieces(text: str | None) -> list[str]:
     """Runs of letters, runs of digits, single other signs."""
@@ -34,3 +36,9 @@ def test_sorted_frequency_of_all_fields(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/font_meta.parquet")
     got = {tuple(r) for r in catalogue.QUERIES["sorted_frequency_whole"](spark, str(tmp_path)).collect()}
     assert got == {("category", 1, "sans", 2), ("tags", 1, "calm", 2), ("tags", 2, "tall", 1), ("tags", 3, "wide", 1), ("style", 1, "bold", 1), ("weight", 1, "400", 2), ("source", 1, "a", 1), ("source", 2, "b", 1)}
+
+
+def test_dataset_has_all_contents(spark):
+    contents = spark.read.parquet(f"{DATA}/content.parquet").filter("content IS NOT NULL").select("content").distinct().count()
+    got = catalogue.QUERIES["dataset_build_whole"](spark, str(DATA)).collect()
+    assert got and all(r.rows == r.fonts * contents for r in got)
