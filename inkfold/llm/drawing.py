@@ -1,13 +1,9 @@
 """Drawings as sets of commands, shared by the near-copy operators.
 
 A drawing command is a letter with its numbers as values. The commands of all paths of a text form a multiset; it is
-held as a sorted array of 64-bit tokens, one a command, equal where letter, numbers and the number of the
-repeat are equal. Reading order, spelling of numbers, spacing and attributes leave no trace.
-
-A token is, from its highest bits down: rarity class (3 bits, 0 for seven and more numbers to 7 for none), hash of letter and
-numbers (44 bits), number of the repeat (16 bits). From the 65,536th equal command on, hash and repeat don't fit: there the lower
-60 bits are a hash of both. So tokens in ascending order go from what is most likely rare
-to what is most likely frequent, the same in all drawings, with no count over the corpus.
+held as a sorted array of 64-bit tokens, one a command: a hash of letter, numbers and the number of the repeat, so that
+the overlap of two multisets is that of their token arrays. Reading order, spelling of numbers, spacing and attributes leave
+no trace. Tokens of different commands are equal with a chance of 1 in 2**64.
 """
 
 from __future__ import annotations
@@ -15,20 +11,24 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from decimal import Decimal
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Numbers are compared to so many decimals.
-DECIMALS = 6
+#: Numbers of at most so many decimals and of at most WHOLE digits before the point are held as they are, all others by a hash of their exact value.
+DECIMALS, WHOLE = 6, 11
 #: Characters of paths that are lexed at once: bounds a worker's memory.
 CHUNK = 1_000_000
-MAX_REPEATS = 1 << 16
 
 _PATH_DATA = re.compile(r"""<path\b[^<>]*?(?<![\w:-])d\s*=\s*(?:"([^"<>]*)|'([^'<>]*))""", re.I)
-_ODD = re.compile(r"[eE+]|\.\d*\.|\d{12}|\.\d{7}")
-_NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
+_ODD = re.compile(r"[aAeE+]|\.\d*\.|\d{12}|\.\d{7}")
+_UNSIGNED = r"(?:\d++\.?+\d*+|\.\d++)(?:[eE][-+]?\d++)?+"
+_NUMBER = re.compile(rf"[-+]?{_UNSIGNED}")
+_ARCS = re.compile(r"[aA]((?:[^a-zA-Z]|(?<=[\d.])[eE](?=[-+]?\d))*)")
+# The two flags of an arc are one digit each and may stand without a blank before what follows.
+_ARC = re.compile(rf"([\s,]*{_UNSIGNED}[\s,]*{_UNSIGNED}[\s,]*[-+]?{_UNSIGNED}[\s,]*)([01])[\s,]*([01])([\s,]*[-+]?{_UNSIGNED}[\s,]*[-+]?{_UNSIGNED})")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 _OTHER, _LETTER, _DIGIT, _DOT, _SIGN = range(5)
@@ -49,16 +49,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _spaced(m: re.Match) -> str:
+    """The numbers of an arc command with a blank around each flag."""
+    out, at, inside = [m[0][0]], 0, m[1]
+    while arc := _ARC.match(inside, at):
+        out.append(f"{arc[1]} {arc[2]} {arc[3]} {arc[4]}")
+        at = arc.end()
+    return "".join(out) + inside[at:]
+
+
 def _plain(data: str) -> str:
-    """Path data with every number in plain digits: exponents, signs, second dots and long numbers are written out."""
+    """Path data with every number in plain digits: arc flags, exponents, signs and second dots are written out, and numbers of
+    too many digits become one of ``WHOLE + DECIMALS`` digits that is a hash of their exact value."""
 
     def one(m: re.Match) -> str:
-        value = Decimal(m[0])
-        if abs(value) >= Decimal(10) ** 11:
-            value = Decimal(hash(value.normalize()) % 10**11)
-        return f" {value.quantize(Decimal(10) ** -DECIMALS):f} "
+        sign, digits, exponent = Decimal(m[0]).as_tuple()
+        text = "".join(map(str, digits)).lstrip("0")
+        short = text.rstrip("0")
+        exponent += len(text) - len(short)
+        if not short:
+            return " 0 "
+        if exponent >= -DECIMALS and len(short) + exponent <= WHOLE:
+            return f" {'-' * sign}{Decimal((0, tuple(map(int, short)), exponent)):f} "
+        code = int.from_bytes(blake2b(f"{short}e{exponent}".encode(), digest_size=8).digest()) % 10 ** (WHOLE + DECIMALS)
+        return f" {'-' * sign}{code // 10**DECIMALS}.{code % 10**DECIMALS:0{DECIMALS}d} "
 
-    return _NUMBER.sub(one, data)
+    return _NUMBER.sub(one, _ARCS.sub(_spaced, data))
 
 
 def path_data(text: str | None) -> list[str]:
@@ -113,21 +129,16 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     joined = [_plain(d) if d and _ODD.search(d) else d for d in joined]
     data = [d.encode("ascii", "replace") for d in joined]
     ends = np.cumsum([0, *map(len, data)])
-    at, code, many = _commands(b"".join(data))
+    at, code, _ = _commands(b"".join(data))
     row = np.searchsorted(ends, at, side="right") - 1
-    token = ((7 - np.minimum(many, 7)).astype(np.uint64) << np.uint64(60)) | (code >> np.uint64(20) << np.uint64(16))
-    order = np.lexsort((token, row))
-    row, token = row[order], token[order]
-    if len(row):
-        new = np.concatenate(([True], (row[1:] != row[:-1]) | (token[1:] != token[:-1])))
-        begin = np.flatnonzero(new)
-        repeat = np.arange(len(row)) - begin[np.cumsum(new) - 1]
-        late = repeat >= MAX_REPEATS - 1
-        token = token | np.where(late, 0, repeat).astype(np.uint64)
-        if late.any():
-            token[late] = token[late] >> np.uint64(60) << np.uint64(60) | mix(token[late] + mix(repeat[late].astype(np.uint64))) >> np.uint64(4)
-            token = token[np.lexsort((token, row))]
-    return np.searchsorted(row, np.arange(len(texts) + 1)), token.astype(np.int64)
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    if not len(row):
+        return np.zeros(len(texts) + 1, np.int64), code.astype(np.int64)
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))
+    repeat = np.arange(len(row)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    token = np.where(repeat == 0, code, mix(code + mix(repeat.astype(np.uint64)))).view(np.int64)
+    return np.searchsorted(row, np.arange(len(texts) + 1)), token[np.lexsort((token, row))]
 
 
 def _chunks(texts: list[str | None]) -> Iterator[slice]:
@@ -141,58 +152,28 @@ def _chunks(texts: list[str | None]) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def short(marks: np.ndarray) -> np.ndarray:
-    """Whether tokens are of commands with fewer than two numbers."""
-    return marks >> np.uint64(60) > 5
-
-
-def minima(offsets: np.ndarray, tokens: np.ndarray, segments: int) -> np.ndarray:
-    """The similarity-hash code of each set, as ``segments`` segments of 32 bits: of each of so many random orders of all
-    tokens, bits of the set's least token. Two sets agree in a segment as often as their overlap over their union.
-
-    Commands of fewer than two numbers (such as closing a path) are in most drawings and would make unlike ones agree: they
-    count only in a drawing that has no others. So two sets agree by their other commands only, and nearly equal ones of mostly
-    short commands may agree in no segment: ``full`` of ``drawings`` tells how many commands count."""
-    rows = len(offsets) - 1
-    out = np.zeros((rows, segments), np.int32)
-    full = np.flatnonzero(np.diff(offsets))
-    if len(full):
-        marks = tokens.astype(np.uint64)
-        plain = short(marks)
-        bare = np.zeros(rows, bool)
-        bare[full] = np.logical_and.reduceat(plain, offsets[full])
-        left = plain & ~np.repeat(bare, np.diff(offsets))
-        for s in range(segments):
-            code = mix(marks + np.uint64((s + 1) * int(_MIX[2]) % 2**64))
-            code[left] = np.iinfo(np.uint64).max
-            least = np.minimum.reduceat(code, offsets[full])
-            out[full, s] = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return out
-
-
 def parities(offsets: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """128 bits of each set, as two numbers: each token turns one bit. A bit that differs between two sets is a token that
     only one of them has, so the differing bits never outnumber the tokens not shared."""
     full = np.flatnonzero(np.diff(offsets))
     out = np.zeros((len(offsets) - 1, 2), np.uint64)
     if len(full):
-        at = mix(tokens.astype(np.uint64) ^ _MIX[2]) >> np.uint64(57)
+        at = mix(tokens.view(np.uint64) ^ _MIX[2]) >> np.uint64(57)
         bit = np.uint64(1) << (at & np.uint64(63))
         for k in range(2):
             out[full, k] = np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == k, bit, np.uint64(0)), offsets[full])
     return out.view(np.int64)
 
 
-def drawings(rows: DataFrame, output: str, keep: list[str], segments: int = 0) -> DataFrame:
+def drawings(rows: DataFrame, output: str, keep: list[str]) -> DataFrame:
     """The columns ``keep``, ``n`` (commands), ``print`` (16 bytes, equal for equal multisets), ``p0`` and ``p1`` (parity
-    bits) and ``tokens``; with ``segments`` also ``full``, the number of commands of two numbers or more, and ``code``, a
-    similarity-hash code of so many 32-bit segments.
+    bits) and ``tokens``.
 
     Rows whose text is null or has no command are left out. Text is read as a whole, however long.
     """
     kept = rows.select(*keep, output)
     fields = [f"`{c}` {t}" for c, t in kept.select(*keep).dtypes]
-    schema = ", ".join([*fields, "n int", "print binary", "p0 bigint", "p1 bigint", "tokens array<bigint>", *["full int", "code array<int>"] * bool(segments)])
+    schema = ", ".join([*fields, "n int", "print binary", "p0 bigint", "p1 bigint", "tokens array<bigint>"])
     width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,19 +185,19 @@ def drawings(rows: DataFrame, output: str, keep: list[str], segments: int = 0) -
                 full = np.flatnonzero(n)
                 if not len(full):
                     continue
-                marks = token.astype(np.uint64)
+                marks = token.view(np.uint64)
                 one = np.add.reduceat(mix(marks), offsets[full])
                 two = np.add.reduceat(mix(marks ^ _MIX[0]), offsets[full])
                 prints = np.stack((one, two), axis=1).tobytes()
                 take = pa.array(full + part.start)
                 columns = [batch.column(k).take(take) for k in range(width)]
-                bounds = np.concatenate((offsets[full], [len(token)])).astype(np.int32)
                 parity = parities(offsets, token)[full]
-                columns += [pa.array(n[full].astype(np.int32)), pa.Array.from_buffers(pa.binary(16), len(full), [None, pa.py_buffer(prints)]).cast(pa.binary()), pa.array(parity[:, 0].copy()), pa.array(parity[:, 1].copy()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(token))]
-                if segments:
-                    columns.append(pa.array(np.add.reduceat((~short(marks)).astype(np.int32), offsets[full], dtype=np.int32)))
-                    codes = minima(offsets, token, segments)[full]
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * segments), pa.array(codes.reshape(-1))))
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n", "print", "p0", "p1", "tokens", *["full", "code"] * bool(segments)])
+                columns += [pa.array(n[full].astype(np.int32)), pa.Array.from_buffers(pa.binary(16), len(full), [None, pa.py_buffer(prints)]).cast(pa.binary()), pa.array(parity[:, 0].copy()), pa.array(parity[:, 1].copy()), lists(n[full], token)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n", "print", "p0", "p1", "tokens"])
 
     return kept.mapInArrow(run, schema)
+
+
+def lists(lengths: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    """Joined values as an Arrow array of lists of these lengths."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values))

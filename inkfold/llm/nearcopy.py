@@ -1,26 +1,28 @@
-"""Problem 4: records whose drawings nearly agree, by T-occurrence search with long lists set aside (DivideSkip).
+"""Problem 4: records whose drawings nearly agree, by T-occurrence search in which long lists are set aside (DivideSkip).
 
 Two drawings of a and b commands are near copies if they share at least T = ceil(share * max(a, b)). Equal drawings are
-one class and are searched once. A drawing's inverted lists are taken in one order, likely short ones first:
-the ``n - T + k`` first lists are merged, sorted by token in the shuffle, which stands for the heap, and give with each
-partner the number of lists that both are in; a pair in fewer than k can't reach T, nor can one whose 128 parity
-bits differ in more places than the tokens that may be missing (what is dropped by that is never a near copy). The other, long lists are never
-read through: each candidate's sorted tokens are probed for them. A list longer than ``long_list`` among the first ones
-is set aside, too, and the drawing takes its next list instead; only a drawing that runs out of lists gets its long ones back.
+one class and are searched once. A drawing's inverted lists are taken by measured length, short ones first (see ``lists``): the
+``n - T + MERGED`` first ones are merged, sorted by key in the shuffle, which stands for the heap. Near copies share ``MERGED`` tokens
+at least of these, so they meet twice at least in them, whether or not some of the lists are long. A pair that meets once can't reach
+T, nor can one whose 128 parity bits differ in more places than the tokens that may be missing (what is dropped by that is never a
+near copy). The other, longer lists are never read through: each candidate's tokens are probed for them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold import store
+from inkfold.llm import lists
 from inkfold.llm.drawing import drawings
+from inkfold.llm.lists import LONG_LIST
 from inkfold.operators.skew import filtered_by, spread
 
 SHARE = 0.75
-MERGED = 2
-LONG_LIST = 1000
+#: Tokens that near copies share at least of those they are listed by (all T, if that is less).
+MERGED = 3
 
 
 def required(n: Column, share: float = SHARE) -> Column:
@@ -36,37 +38,26 @@ def may_agree(a: tuple[str, str, str], b: tuple[str, str, str], share: float = S
     return (F.least(na, nb) >= need) & (apart <= F.col(na) + F.col(nb) - 2 * need)
 
 
-def postings(sets: DataFrame, share: float = SHARE, merged: int = MERGED, long_list: int = LONG_LIST, name: str = "lists", within: tuple[str, ...] = (), keep: tuple[str, ...] = (), counted: DataFrame | None = None) -> DataFrame:
-    """``(token, row, n, p0, p1)``: the lists that are merged. ``sets``: ``(row, n, p0, p1, tokens)``.
-
-    With ``within`` there is a list for each token and values of these columns. ``keep`` are columns of ``sets`` to go along.
-    A list's length is the number of drawings of ``counted`` in it, by default of all."""
-    need = required(F.col("n"), share)
-    first = F.col("n") - need + F.least(F.lit(merged), need)
-    key = [*within, "token"]
-    carried = ["row", *within, *keep, "n", "p0", "p1"]
-    begun = lambda some: some.select(*carried, F.explode(F.slice("tokens", F.lit(1), first)).alias("token"))
-    listed = begun(sets)
-    long_ = (listed if counted is None else begun(counted)).groupBy(*key).agg(F.count("*").alias("length")).filter(F.col("length") > long_list).select(*key)
-    long_ = store.written(long_, name)
-    if long_.isEmpty():
-        return listed
-    hit = store.written(listed.join(long_, key, "left_semi").select("row").distinct(), name)
-    every = sets.join(hit, "row", "left_semi").select(*carried, F.explode("tokens").alias("token"))
-    marked = every.join(long_.withColumn("late", F.lit(True)), key, "left").withColumn("late", F.coalesce("late", F.lit(False)))
-    place = F.row_number().over(Window.partitionBy("row").orderBy("late", "token"))
-    again = marked.withColumn("place", place).filter(F.col("place") <= first).select(*carried, "token")
-    rest = begun(sets.join(hit, "row", "left_anti"))
-    return store.written(rest.unionByName(again), name)
-
-
-def candidates(lists: DataFrame, share: float = SHARE, merged: int = MERGED) -> DataFrame:
-    """``(a, b)``, a < b: pairs of drawings that share enough of the merged lists and whose sizes and parity bits allow the overlap."""
-    x = lists.select("token", F.col("row").alias("a"), F.col("n").alias("na"), F.col("p0").alias("a0"), F.col("p1").alias("a1"))
-    y = lists.select("token", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("p0").alias("b0"), F.col("p1").alias("b1"))
-    met = x.join(y, "token").filter((F.col("a") < F.col("b")) & may_agree(("na", "a0", "a1"), ("nb", "b0", "b1"), share))
-    least = F.least(F.lit(merged), required(F.col("na"), share), required(F.col("nb"), share))
-    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("a", "b")
+def first_tokens(share: float, merged: int = MERGED) -> lists.Keys:
+    """The lists of a drawing's ``n - T + merged`` tokens of the shortest lists."""
+
+    def keys(offsets: np.ndarray, tokens: np.ndarray, rank: np.ndarray, long_: int) -> tuple[np.ndarray, np.ndarray]:
+        n = np.diff(offsets)
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((tokens, rank, row))
+        need = lists.required(n, share)
+        kept = order[np.arange(len(row)) - offsets[:-1][row] < np.minimum(n - need + np.minimum(merged, need), n)[row]]
+        return lists.extended(row[kept], tokens[kept], rank[kept] >= long_, need[row[kept]] < 2)
+
+    return keys
+
+
+def candidates(listed: DataFrame, share: float = SHARE, merged: int = MERGED) -> DataFrame:
+    """``(a, b)``, a < b: pairs of drawings that meet often enough in the lists and whose sizes and parity bits allow the overlap."""
+    side = lambda s: listed.select(F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "p0", "p1")])
+    met = side("a").join(side("b"), "key").filter((F.col("row_a") < F.col("row_b")) & may_agree(("n_a", "p0_a", "p1_a"), ("n_b", "p0_b", "p1_b"), share))
+    least = F.when(required(F.least("n_a", "n_b"), share) >= merged, merged - 1).otherwise(1)
+    return met.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("a", "b")
 
 
 def probed(pairs: DataFrame, sets: DataFrame, share: float = SHARE) -> DataFrame:
@@ -85,7 +76,7 @@ def classes(drawn: DataFrame, row: str) -> DataFrame:
     return drawn.select(F.col(row).alias("row"), "print").join(reps, "print").select("row", "rep")
 
 
-def near_copies(rows: DataFrame, row: str, output: str, share: float = SHARE, merged: int = MERGED, long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
+def near_copies(rows: DataFrame, row: str, output: str, share: float = SHARE, long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: ``(row, rep)`` of every drawing, and ``(a, b, overlap)`` of the near copies among the reps.
 
     ``row`` must be unique. Rows with a null or empty text or without a path are in neither. An empty table gives two
@@ -96,7 +87,8 @@ def near_copies(rows: DataFrame, row: str, output: str, share: float = SHARE, me
     drawn = store.written(drawings(rows.select(F.col(row).alias("row"), F.col(output).alias("output")), "output", ["row"]), "drawings")
     members = store.written(classes(drawn, "row"), "members")
     sets = filtered_by(drawn.select("row", "n", "p0", "p1", "tokens"), members.filter("row <> rep").select("row"), "row", present=False)
-    pairs = store.written(candidates(postings(sets, share, merged, long_list), share, merged), "pairs")
+    listed = store.written(lists.keyed(sets, ["row", "n", "p0", "p1"], first_tokens(share), *lists.ranks(sets, long_list)), "lists")
+    pairs = store.written(candidates(listed, share), "pairs")
     return members, probed(pairs, sets, share)
 
 

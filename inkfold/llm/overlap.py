@@ -1,92 +1,130 @@
 """Problem 6: records of evaluation splits that repeat a training record, exactly or almost.
 
-Each drawing gets a similarity-hash code of 384 bits in 12 segments. Codes are joined across the splits by segment and wanted
-text, pairs beyond the Hamming radius are dropped, and what is left is verified on the drawings themselves.
-
-Only commands of two numbers or more count in a code. If c of the larger drawing's commands count and d may be missing from
-a near copy, all that differs may be among the c, and the codes then agree in a segment with a chance of only (c - d) / (c + d):
-0.6 if all commands count, 0.47 if 30 % are short, 0.41 if 40 %, none if 75 % are. Where it is below ``AGREE``, the drawing is thin, and
-pairs with a thin drawing meet exactly, by lists of text and token that none of them can miss, with no radius. All other near copies are
-lost with a chance below 1 in 1,000 (0.9 in 1,000 at 0.46), no common segment and the standard radius together.
-
-The bits come from least values under random orders, not from signs of sums: at an overlap
-of three quarters sign codes differ in a quarter of all bits, and no segment of useful length would agree.
+Each drawing gets a similarity hash by parity (an odd sketch): every command flips bits that its hash picks, so codes
+of two drawings differ by the commands that only one of them has. There are two codes. The wide one has ``m`` segments of 64 bits, a
+command flipping about half of the bits of one of them: commands that differ change at most as many segments. The narrow one has 128 bits,
+a command flipping one: commands that differ change at most as many bits.
+
+Near copies of a and b commands differ in at most a + b - 2T commands. So segments of the wide code are joined as blocks across the splits, for
+one wanted text each, and of the pairs that meet those are kept whose narrow codes are within that Hamming radius; they are verified on
+the drawings themselves. No near copy is lost: of ``radius + 2`` blocks of a drawing two at least are equal in any near copy, by
+the pigeonhole principle. Where too many commands share segments for that (``thin`` drawings, by chance), the drawing is also in the lists of its
+rarest commands, in which two of the kind can't miss each other. Blocks are ordered and cut by measured counts (see ``lists``).
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold import store
-from inkfold.llm.drawing import drawings
-from inkfold.llm.nearcopy import LONG_LIST, SHARE, may_agree, postings, required
+from inkfold.llm import lists
+from inkfold.llm.drawing import drawings, mix
+from inkfold.llm.lists import LONG_LIST
+from inkfold.llm.nearcopy import SHARE, may_agree, required
 from inkfold.operators.skew import filtered_by, spread
 
-SEGMENTS = 12
-#: Of 384 bits; codes of unrelated drawings differ in half of them, those of near copies in about 80.
-RADIUS = 192
-#: Least chance of a near copy to agree in a segment for which codes are enough.
-AGREE = 0.46
+#: Segments of the wide code of drawings of up to ``FEW`` commands; each further level has ``LEVEL`` times as many, for as many more commands.
+SEGMENTS, FEW, LEVEL = 128, 160, 8
 TRAIN = "train"
+#: Wanted text of an instruction; a parameter of the operator.
+ASKED = r"(?i)text to draw:"
 
 
-def wanted_text(instruction: Column) -> Column:
-    """The text that an instruction asks to draw, without separators and outer blanks; null if it names none."""
-    line = F.regexp_extract(instruction, r"(?i)text to draw:([^\r\n]*)", 1)
+def wanted_text(instruction: Column, marker: str = ASKED) -> Column:
+    """The text that an instruction asks to draw: the rest of the line after ``marker`` (a pattern without groups), without
+    separators and outer blanks; null if the instruction has no marker."""
+    line = F.regexp_extract(instruction, rf"{marker}([^\r\n]*)", 1)
     bare = F.regexp_replace(F.replace(line, F.lit("<|SEP|>"), F.lit("")), r"(?U)^\s+|\s+$", "")
-    return F.when(instruction.rlike(r"(?i)text to draw:"), bare)
-
-
-def hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-
-
-def thin(n: Column, full: Column, share: float = SHARE) -> Column:
-    """Whether a drawing of ``n`` commands, ``full`` of which count in its code, has too few of them for its near copies to be met by codes."""
-    spare = n - required(n, share)
-    return full - spare < F.lit(AGREE) * (full + spare)
-
-
-def met_by_lists(sets: DataFrame, share: float = SHARE, long_list: int = LONG_LIST) -> DataFrame:
-    """``(a, b)``, some of them several times: all near copies across the splits with a thin drawing, and others that share a list.
-
-    Two near copies of one text share one of the ``n - T + 1`` first lists of each. Lists are long by their thin drawings, so each drawing
-    meets at most ``long_list`` of them in a list."""
-    lists = postings(sets, share, 1, long_list, "thin", within=("text",), keep=("train", "thin"), counted=sets.filter("thin"))
-    lists = lists.select(F.xxhash64("text", "token").alias("key"), "row", "train", "thin", "n", "p0", "p1")
-    keys = store.written(lists.filter("thin").select("key").distinct(), "keys")
-    lists = store.written(filtered_by(lists, keys, "key"), "thin")
-    side = lambda where, s: lists.filter(where).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "p0", "p1")])
-    met = side("NOT train AND thin", "a").join(side("train", "b"), "key").unionByName(side("NOT train AND NOT thin", "a").join(side("train AND thin", "b"), "key"))
-    return met.filter(may_agree(("n_a", "p0_a", "p1_a"), ("n_b", "p0_b", "p1_b"), share)).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
-
-
-def cross_split(rows: DataFrame, row: str, split: str, instruction: str, output: str, share: float = SHARE, radius: int = RADIUS, long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
+    return F.when(instruction.rlike(marker), bare)
+
+
+def radius(n: np.ndarray, share: float) -> np.ndarray:
+    """In how many commands a drawing of ``n`` and a near copy of any size can differ."""
+    return np.floor(np.round(n * (1 - share) * max(2, 1 / share), 9)).astype(np.int64)
+
+
+def _levels(n: np.ndarray) -> np.ndarray:
+    return np.maximum(0, np.ceil(np.round(np.log(np.maximum(n, 1) / FEW) / np.log(LEVEL), 9))).astype(np.int64)
+
+
+def code_blocks(share: float) -> lists.Keys:
+    """The blocks of a drawing's wide code that it is joined by, a key each, and one key for the drawing as a whole.
+
+    The size of a code goes by the number of commands; drawings from whose size a near copy may be at another level have the codes
+    of both. A block's list is as long as that of its rarest command at most, so blocks stand in the order of these."""
+    salt = lambda x, k: mix(x ^ mix(np.uint64(k) + np.zeros(1, np.uint64)))
+
+    def keys(offsets: np.ndarray, tokens: np.ndarray, rank: np.ndarray, long_: int) -> tuple[np.ndarray, np.ndarray]:
+        n = np.diff(offsets)
+        row = np.repeat(np.arange(len(n)), n)
+        spare, need = radius(n, share), lists.required(n, share)
+        code = mix(tokens)
+        rows, found = [np.flatnonzero(n)], [salt(np.add.reduceat(salt(tokens, 1), offsets[:-1][n > 0]), 2)]
+        low, high = _levels(n), _levels(np.floor(np.round(n / share, 9)))
+        for level in range(int(low.min()), int(high.max()) + 1):
+            here = ((low <= level) & (level <= high) & (n > 0))[row]
+            if not here.any():
+                continue
+            of, token, bits, often = row[here], tokens[here], code[here], rank[here]
+            width = SEGMENTS * LEVEL**level
+            segment = (salt(token, 3) % np.uint64(width)).astype(np.int64)
+            place = of * width + segment
+            order = np.argsort(place, kind="stable")
+            begin = np.flatnonzero(np.diff(place[order], prepend=-1))
+            block = salt(np.bitwise_xor.reduceat(bits[order], begin) + mix(segment[order][begin].astype(np.uint64)), 16 + level)
+            bound, owner = np.minimum.reduceat(often[order], begin), of[order][begin]
+            order = np.lexsort((block, bound, owner))
+            block, bound, owner = block[order], bound[order], owner[order]
+            many = np.bincount(owner, minlength=len(n))
+            nth = np.arange(len(owner)) - (np.cumsum(many) - many)[owner]
+            few = many <= spare + 1
+            kept = few[owner] | (nth < spare[owner] + 2)
+            got = lists.extended(owner[kept], block[kept], bound[kept] >= long_, need[owner[kept]] < 2)
+            rows.append(got[0])
+            found.append(got[1])
+            thin = few[of]
+            if thin.any():
+                of, token, often = of[thin], token[thin], often[thin]
+                order = np.lexsort((token, often, of))
+                starts = np.searchsorted(of, of)
+                kept = order[np.arange(len(of)) - starts < np.minimum(n - need + np.minimum(2, need), n)[of]]
+                got = lists.extended(of[kept], salt(token[kept], 4), often[kept] >= long_, need[of[kept]] < 2)
+                rows.append(got[0])
+                found.append(got[1])
+        row, key = np.concatenate(rows), np.concatenate(found)
+        order = np.argsort(row, kind="stable")
+        return row[order], key[order]
+
+    return keys
+
+
+def cross_split(rows: DataFrame, row: str, split: str, instruction: str, output: str, share: float = SHARE, long_list: int = LONG_LIST, marker: str = ASKED) -> tuple[DataFrame, DataFrame]:
     """``(members, links)`` over the records with a split, a wanted text and a drawing.
 
     members: ``(row, train, rep)``, rep being the smallest row of the same side, text and drawing. links: ``(a, b)`` of
     reps of the evaluation (a) and training side (b) that ask for the same text and whose drawings are near copies.
-    ``row`` must be unique. Null splits, instructions without a text to draw and outputs without a path are in neither.
+    ``row`` must be unique. Null splits, instructions without ``marker`` and outputs without a path are in neither: instructions of other
+    tasks are compared under a marker of theirs.
     """
-    asked = rows.select(F.col(row).alias("row"), (F.col(split) == TRAIN).alias("train"), F.xxhash64(wanted_text(F.col(instruction))).alias("text"), F.col(output).alias("output"), wanted_text(F.col(instruction)).isNotNull().alias("asks"))
-    drawn = drawings(asked.filter("train IS NOT NULL AND asks"), "output", ["row", "train", "text"], SEGMENTS)
-    drawn = store.written(drawn, "coded")
+    wanted = wanted_text(F.col(instruction), marker)
+    asked = rows.select(F.col(row).alias("row"), (F.col(split) == TRAIN).alias("train"), F.xxhash64(wanted).alias("text"), F.col(output).alias("output"), wanted.isNotNull().alias("asks"))
+    drawn = store.written(drawings(asked.filter("train IS NOT NULL AND asks"), "output", ["row", "train", "text"]), "coded")
     same = ["text", "train", "print"]
     reps = drawn.groupBy(*same).agg(F.min("row").alias("rep"))
     members = store.written(drawn.select("row", *same).join(reps, same).select("row", "train", "rep"), "sides")
-    sets = filtered_by(drawn.drop("print").withColumn("thin", thin(F.col("n"), F.col("full"), share)), members.filter("row <> rep").select("row"), "row", present=False)
-    blocks = sets.select("row", "train", "text", "n", "p0", "p1", F.posexplode("code").alias("segment", "block"))
-    blocks = blocks.select("train", F.xxhash64("text", "segment", "block").alias("key"), "row", "n", "p0", "p1")
+    sets = filtered_by(drawn.drop("print"), members.filter("row <> rep").select("row"), "row", present=False)
+    coded = lists.keyed(sets, ["row", "train", "text", "n", "p0", "p1"], code_blocks(share), *lists.ranks(sets, long_list))
+    coded = store.written(coded, "blocks")
+    blocks = coded.select("train", "text", F.explode("keys").alias("key"), "row", "n", "p0", "p1").withColumn("key", F.xxhash64("text", "key"))
     side = lambda train, s: blocks.filter(F.col("train") if train else ~F.col("train")).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "p0", "p1")])
     met = side(False, "a").join(side(True, "b"), "key").filter(may_agree(("n_a", "p0_a", "p1_a"), ("n_b", "p0_b", "p1_b"), share))
-    met = met.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).unionByName(met_by_lists(sets.select("row", "text", "train", "thin", "n", "p0", "p1", "tokens"), share, long_list))
-    pairs = store.written(met.distinct(), "near")
+    pairs = store.written(met.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct(), "near")
     ends = store.written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends")
-    some = filtered_by(sets.select("row", "text", "n", "thin", "code", "tokens"), ends, "row")
-    end = lambda s: some.select(F.col("row").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("text", "n", "thin", "code", "tokens")])
-    within = F.col("thin_a") | F.col("thin_b") | (hamming(F.col("code_a"), F.col("code_b")) <= radius)
-    both = pairs.join(end("a"), "a").join(end("b"), "b").filter((F.col("text_a") == F.col("text_b")) & within)
+    some = filtered_by(sets.select("row", "text", "n", "tokens"), ends, "row")
+    end = lambda s: some.select(F.col("row").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("text", "n", "tokens")])
+    both = pairs.join(end("a"), "a").join(end("b"), "b").filter(F.col("text_a") == F.col("text_b"))
     links = both.filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= required(F.greatest("n_a", "n_b"), share)).select("a", "b")
     return members, links
 

@@ -145,3 +145,47 @@ def test_overlaps_of_mostly_short_commands(spark, changed, long_list):
     sets = [multiset(r[3]) for r in rows]
     want = {(a[0], b[0]) for a in rows for b in rows if a[1] == "dev" and b[1] == "train" and a[2] == b[2] and alike(sets[a[0]], sets[b[0]])}
     assert len(want) >= 33 and got == want
+
+
+def both_ways(spark, texts):
+    """Pairs that the two operators find among texts of which every second one is in train, all asking for one text."""
+    rows = spark.createDataFrame([(k, "dev" if k % 2 else "train", "Text to draw: a", t) for k, t in enumerate(texts)], "i bigint, split string, ask string, t string")
+    near = {tuple(r) for r in nearcopy.expanded(*nearcopy.near_copies(rows, "i", "t")).collect()}
+    cross = {tuple(sorted(r)) for r in overlap.cross_pairs(*overlap.cross_split(rows, "i", "split", "ask", "t")).collect()}
+    assert cross == {(a, b) for a, b in near if a % 2 != b % 2}
+    return near
+
+
+def test_numbers_are_exact(spark):
+    base = "".join(f"l{k} {k + 1}" for k in range(3))
+    of = lambda *xs: '<path d="' + base + "".join(f"h{x}" for x in xs) + '"/>'
+    apart = [of(".00000012", ".00000012"), of(".00000034", ".00000034"), of("1234567890123", "98765432109876"), of("1234567890124", "98765432109877"), of("-1e20", "3e-30"), of("1e20", "-3e-30")]
+    same = [of("0.00000012", "12e-8"), of("1.2e-7", "+.000000120"), of("123456789012.5e1", "1e-30"), of("1234567890125.0", "0.001e-27")]
+    assert both_ways(spark, apart + same) == {(0, 6), (0, 7), (6, 7), (8, 9)}
+    assert drawing.tokens_of([of("-0", "0.0")])[1].tolist() == drawing.tokens_of([of("0", "-.0e5")])[1].tolist()
+
+
+def test_arc_flags_without_blanks(spark):
+    texts = ['<path d="M0 0a5 5 0 0110 10z"/>', '<path d="M0 0a5 5 0 0 1 10 10z"/>', '<path d="M0,0a5,5,0,01,10,10z"/>', '<path d="M0 0a5 5 0 0010 10z"/>', '<path d="M0 0A5.5.5-3 1 0-1e1-2 7 7 0 0110 10z"/>', '<path d="M0 0A5.5 0.5 -3 10-10-2 7 7 0 0 1 10 10z"/>']
+    assert both_ways(spark, texts) == {(0, 1), (0, 2), (1, 2), (4, 5)}
+
+
+@pytest.mark.parametrize("letters", ["hv", "hvz", "qc", "lqhvcz"])
+def test_nothing_is_lost_at_any_overlap(spark, letters):
+    """Drawings of one kind of outline that share 70 to 95 % of their commands, of 4 to 400 commands; recall must be 1."""
+    rng = random.Random(letters)
+    take = {"l": 2, "q": 4, "h": 1, "v": 1, "c": 6, "z": 0}
+    command = lambda wide: (c := rng.choice(letters)) + " ".join(str(rng.randint(0, wide)) for _ in range(take[c]))
+    texts = []
+    for n in (4, 7, 19, 40, 75, 130, 158, 200, 400):
+        for kept in (0.7, 0.75, 0.76, 0.8, 0.85, 0.9, 0.95):
+            base = [command(300) for _ in range(n)]
+            other = base[: math.ceil(n * kept)] + [command(9999) for _ in range(n - math.ceil(n * kept))]
+            if rng.random() < 0.5:
+                other = other[: math.ceil(n * kept)]
+            for commands in (base, other):
+                rng.shuffle(commands)
+                texts.append('<path d="' + "".join(commands) + '"/>')
+    sets = [multiset(t) for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if alike(sets[a], sets[b])}
+    assert both_ways(spark, texts) == want and len(want) >= 50
