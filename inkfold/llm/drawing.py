@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 
 #: Numbers of at most so many decimals and of at most WHOLE digits before the point are held as they are, all others by a hash of their exact value.
 DECIMALS, WHOLE = 6, 11
-#: Characters of paths that are lexed at once: bounds a worker's memory.
+#: Characters of paths and rows that are worked on at once: bounds a worker's memory.
 CHUNK = 1_000_000
+ROWS = 50_000
 
 _PATH_DATA = re.compile(r"""<path\b[^<>]*?(?<![\w:-])d\s*=\s*(?:"([^"<>]*)|'([^'<>]*))""", re.I)
-_ODD = re.compile(r"[aAeE+]|\.\d*\.|\d{12}|\.\d{7}")
 _UNSIGNED = r"(?:\d++\.?+\d*+|\.\d++)(?:[eE][-+]?\d++)?+"
 _NUMBER = re.compile(rf"[-+]?{_UNSIGNED}")
 _ARCS = re.compile(r"[aA]((?:[^a-zA-Z]|(?<=[\d.])[eE](?=[-+]?\d))*)")
@@ -39,6 +39,8 @@ _KIND[list(b"0123456789")] = _DIGIT
 _KIND[ord(".")] = _DOT
 _KIND[list(b"-+")] = _SIGN
 _KIND[0] = _LETTER  # ends a path; no command
+_WRITTEN_OUT = np.zeros(256, bool)
+_WRITTEN_OUT[list(b"aAeE+")] = True
 _POWER = np.array([10**k for k in range(19)], np.int64)
 
 
@@ -82,6 +84,32 @@ def path_data(text: str | None) -> list[str]:
     return [a or b for a, b in _PATH_DATA.findall(text)] if text else []
 
 
+def in_order(row: np.ndarray, *values: np.ndarray) -> np.ndarray:
+    """The order by row (below 65,536), then by the values, the first of which are of 16 bits and the last of any kind."""
+    order = np.argsort(values[-1])
+    for small in (*values[-2::-1], row):
+        order = order[np.argsort(small[order].astype(np.uint16), kind="stable")]
+    return order
+
+
+def _odd(data: bytes, ends: np.ndarray) -> np.ndarray:
+    """Which of the joined texts may have arcs, exponents, plus signs, second dots or numbers of too many digits."""
+    buf = np.frombuffer(data, np.uint8)
+    if not len(buf):
+        return np.zeros(0, np.int64)
+    at = [np.flatnonzero(_WRITTEN_OUT[buf])]
+    inside = np.concatenate(([0], (_KIND[buf] == _DIGIT).view(np.int8), [0]))
+    begin, end = np.flatnonzero(np.diff(inside) == 1), np.flatnonzero(np.diff(inside) == -1)
+    if len(begin):
+        dotted = buf[np.maximum(begin - 1, 0)] == ord(".")
+        many = end - begin > np.where(dotted, DECIMALS, WHOLE)
+        again = dotted & (buf[np.minimum(end, len(buf) - 1)] == ord(".")) & (end < len(buf))
+        at.append(begin[many | again])
+    dots = np.flatnonzero(buf == ord("."))
+    at.append(dots[:-1][np.diff(dots) == 1])
+    return np.unique(np.searchsorted(ends, np.concatenate(at), side="right") - 1)
+
+
 def _commands(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the commands of joined path data: where each begins, its hash and its number of numbers."""
     buf = np.frombuffer(data, np.uint8)
@@ -123,29 +151,32 @@ def _commands(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """``(offsets, tokens)``: the sorted tokens of each text, joined."""
+    """``(offsets, tokens)``: the sorted tokens of each text, joined. At most 65,535 texts."""
     found = [path_data(t) for t in texts]
-    joined = ["\0".join(p) + "\0" if p else "" for p in found]
-    joined = [_plain(d) if d and _ODD.search(d) else d for d in joined]
-    data = [d.encode("ascii", "replace") for d in joined]
-    ends = np.cumsum([0, *map(len, data)])
-    at, code, _ = _commands(b"".join(data))
-    row = np.searchsorted(ends, at, side="right") - 1
-    order = np.lexsort((code, row))
-    row, code = row[order], code[order]
+    data = [("\0".join(p) + "\0").encode("ascii", "replace") if p else b"" for p in found]
+    whole = b"".join(data)
+    odd = _odd(whole, np.cumsum([0, *map(len, data)]))
+    if len(odd):
+        for k in odd.tolist():
+            data[k] = _plain(data[k].decode("ascii")).encode("ascii")
+        whole = b"".join(data)
+    at, code, _ = _commands(whole)
+    offsets = np.searchsorted(at, np.cumsum([0, *map(len, data)]))
+    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
     if not len(row):
-        return np.zeros(len(texts) + 1, np.int64), code.astype(np.int64)
+        return offsets, code.astype(np.int64)
+    code = code[in_order(row, code)]
     new = np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))
     repeat = np.arange(len(row)) - np.flatnonzero(new)[np.cumsum(new) - 1]
     token = np.where(repeat == 0, code, mix(code + mix(repeat.astype(np.uint64)))).view(np.int64)
-    return np.searchsorted(row, np.arange(len(texts) + 1)), token[np.lexsort((token, row))]
+    return offsets, token[in_order(row, token)]
 
 
 def _chunks(texts: list[str | None]) -> Iterator[slice]:
     begin, size = 0, 0
     for k, t in enumerate(texts):
         size += len(t) if t else 0
-        if size >= CHUNK:
+        if size >= CHUNK or k + 1 - begin >= ROWS:
             yield slice(begin, k + 1)
             begin, size = k + 1, 0
     if begin < len(texts):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.drawing import lists, mix
+from inkfold.llm.drawing import ROWS, in_order, lists, mix
 
 #: Logarithm of the number of cells that tokens are counted in: 262,144 counts go to the driver, whatever the corpus.
 CELL_BITS = 18
@@ -26,7 +26,7 @@ CELL_BITS = 18
 STEPS = 8
 LONG_LIST = 1000
 #: Tokens that a worker holds at once, but for a single longer drawing.
-TOKENS = 2_000_000
+TOKENS = 200_000
 
 #: For joined drawings (offsets, tokens, each token's rank, the rank of long lists): each list's drawing, in order, and its key.
 Keys = Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
@@ -61,14 +61,14 @@ def extended(row: np.ndarray, element: np.ndarray, long_: np.ndarray, also: np.n
         rows.append(row[one])
         keys.append(mix(element[one] + mix(element[other])))
     row, key = np.concatenate(rows), np.concatenate(keys)
-    order = np.argsort(row, kind="stable")
+    order = in_order(row, key)
     return row[order], key[order]
 
 
 def _parts(lengths: np.ndarray) -> Iterator[slice]:
     begin, size = 0, 0
     for k, n in enumerate(lengths.tolist()):
-        if size and size + n > TOKENS:
+        if size and (size + n > TOKENS or k - begin >= ROWS):
             yield slice(begin, k)
             begin, size = k, 0
         size += n

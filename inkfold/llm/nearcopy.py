@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from inkfold import store
 from inkfold.llm import lists
-from inkfold.llm.drawing import drawings
+from inkfold.llm.drawing import drawings, in_order
 from inkfold.llm.lists import LONG_LIST
 from inkfold.operators.skew import filtered_by, spread
 
@@ -44,7 +44,7 @@ def first_tokens(share: float, merged: int = MERGED) -> lists.Keys:
     def keys(offsets: np.ndarray, tokens: np.ndarray, rank: np.ndarray, long_: int) -> tuple[np.ndarray, np.ndarray]:
         n = np.diff(offsets)
         row = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((tokens, rank, row))
+        order = in_order(row, rank, tokens)
         need = lists.required(n, share)
         kept = order[np.arange(len(row)) - offsets[:-1][row] < np.minimum(n - need + np.minimum(merged, need), n)[row]]
         return lists.extended(row[kept], tokens[kept], rank[kept] >= long_, need[row[kept]] < 2)

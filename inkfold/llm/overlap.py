@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from inkfold import store
 from inkfold.llm import lists
-from inkfold.llm.drawing import drawings, mix
+from inkfold.llm.drawing import drawings, in_order, mix
 from inkfold.llm.lists import LONG_LIST
 from inkfold.llm.nearcopy import SHARE, may_agree, required
 from inkfold.operators.skew import filtered_by, spread
@@ -71,11 +71,11 @@ def code_blocks(share: float) -> lists.Keys:
             width = SEGMENTS * LEVEL**level
             segment = (salt(token, 3) % np.uint64(width)).astype(np.int64)
             place = of * width + segment
-            order = np.argsort(place, kind="stable")
+            order = np.argsort(place)
             begin = np.flatnonzero(np.diff(place[order], prepend=-1))
             block = salt(np.bitwise_xor.reduceat(bits[order], begin) + mix(segment[order][begin].astype(np.uint64)), 16 + level)
             bound, owner = np.minimum.reduceat(often[order], begin), of[order][begin]
-            order = np.lexsort((block, bound, owner))
+            order = in_order(owner, bound, block)
             block, bound, owner = block[order], bound[order], owner[order]
             many = np.bincount(owner, minlength=len(n))
             nth = np.arange(len(owner)) - (np.cumsum(many) - many)[owner]
@@ -87,14 +87,14 @@ def code_blocks(share: float) -> lists.Keys:
             thin = few[of]
             if thin.any():
                 of, token, often = of[thin], token[thin], often[thin]
-                order = np.lexsort((token, often, of))
+                order = in_order(of, often, token)
                 starts = np.searchsorted(of, of)
                 kept = order[np.arange(len(of)) - starts < np.minimum(n - need + np.minimum(2, need), n)[of]]
                 got = lists.extended(of[kept], salt(token[kept], 4), often[kept] >= long_, need[of[kept]] < 2)
                 rows.append(got[0])
                 found.append(got[1])
         row, key = np.concatenate(rows), np.concatenate(found)
-        order = np.argsort(row, kind="stable")
+        order = in_order(row, key)
         return row[order], key[order]
 
     return keys
