@@ -1,9 +1,13 @@
 """Problem 7: encoding with a public byte-level BPE tokenizer, inside Spark's own expressions.
 
-Texts are cut into words by the tokenizer's pattern. A word that is itself a piece of the vocabulary is looked up in
+Texts are cut into words by the tokenizer's pattern, once. A word that is itself a piece of the vocabulary is looked up in
 a literal rank map; only the distinct other words of the corpus are encoded, by a fold of ranked merges over
 their byte arrays. Byte arrays are held as hexadecimal text, a piece as its bytes between blanks. The rank map
 is as large as the vocabulary, whatever the corpus.
+
+A fold costs the square of a word's length, so a word of more than ``WINDOW`` bytes is folded in windows that overlap by half. A list
+of pieces is the encoding of its bytes if every two neighbours are that of theirs, so two windows may be joined before any piece
+that both have at the same place. Words in which some two windows have none (none is known) are folded whole.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import zlib
 from functools import cache
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkfold import store
@@ -26,6 +30,8 @@ CELLS = 8192
 # Fixed value: how byte_bpe_50k cuts text into words; (?U) lets \s match white space of all scripts.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LAST = 2**31 - 1
+#: Bytes of a window, twice the bytes from one to the next.
+WINDOW = 256
 
 
 @cache
@@ -39,19 +45,26 @@ def _vocabulary(name: str, folder: str) -> dict[str, int]:
 
 
 @cache
-def _cells(name: str, folder: str) -> str:
+def _cells(name: str, folder: str, words: bool) -> str:
+    """The vocabulary as an array of small maps; with ``words`` by text, of the pieces that are text, else by hexadecimal bytes."""
     cells: list[dict[str, int]] = [{} for _ in range(CELLS)]
     for piece, rank in _vocabulary(name, folder).items():
-        cells[zlib.crc32(piece.encode()) % CELLS][piece] = rank
+        key = piece
+        if words:
+            try:
+                key = bytes.fromhex(piece).decode()
+            except UnicodeDecodeError:
+                continue
+        cells[zlib.crc32(key.encode()) % CELLS][key] = rank
     return json.dumps(cells, separators=(",", ":"))
 
 
-def rank_of(piece: Column, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Column:
-    """The id of a piece (hexadecimal bytes), null if the vocabulary hasn't got it.
+def rank_of(piece: Column, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, words: bool = False) -> Column:
+    """The id of a piece (hexadecimal bytes; with ``words``, text), null if the vocabulary hasn't got it.
 
     The literal is an array of small maps, picked by hash: a map in Spark is searched from its start.
     """
-    cells = F.from_json(F.lit(_cells(name, folder)), "array<map<string,int>>")
+    cells = F.from_json(F.lit(_cells(name, folder, words)), "array<map<string,int>>")
     return F.try_element_at(F.element_at(cells, (F.crc32(piece) % F.lit(CELLS) + 1).cast("int")), piece)
 
 
@@ -91,23 +104,55 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def encode(rows: DataFrame, key: str, text: str, out: str = "ids", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+def _windowed(words: DataFrame, name: str, folder: str) -> DataFrame:
+    """``(id, code)`` of long words ``(id, hexed)``, folded in windows; those whose windows can't be joined are left out."""
+    step = WINDOW // 2
+    last = F.ceil((F.length("hexed") / 2 - WINDOW) / step).cast("int")
+    cut = words.select("id", last.alias("last"), F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda k: F.substr("hexed", k * (2 * step) + 1, F.lit(2 * WINDOW)))).alias("k", "part"))
+    forms = cut.select("part").distinct().select("part", merged(F.col("part"), name, folder).alias("pieces"))
+    each = salted_join(cut, forms, "part", F.xxhash64("id", "k")).select("id", "last", "k", F.posexplode("pieces").alias("nth", "piece"))
+    size = F.length("piece") / 2
+    placed = each.withColumn("at", (F.col("k") * step + F.sum(size).over(Window.partitionBy("id", "k").orderBy("nth")) - size).cast("bigint"))
+    placed = store.written(placed.select("id", "last", "k", "at", rank_of(F.col("piece"), name, folder).alias("code")), "windows")
+    cuts = placed.groupBy("id", "at", "code").agg(F.min("k").alias("k"), F.count("*").alias("n")).filter("n = 2").groupBy("id", "k").agg(F.min("at").alias("cut"))
+    begins = placed.join(cuts.select("id", (F.col("k") + 1).alias("k"), F.col("cut").alias("begin")), ["id", "k"], "left").join(cuts.select("id", "k", F.col("cut").alias("end")), ["id", "k"], "left")
+    kept = begins.filter((F.col("at") >= F.coalesce("begin", F.lit(0))) & F.coalesce(F.col("at") < F.col("end"), F.lit(True)))
+    whole = F.count_distinct(F.when(F.col("begin").isNotNull(), F.col("k"))) == F.max("last")
+    return kept.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "code"))).alias("found"), whole.alias("whole")).filter("whole").select("id", F.transform("found", lambda x: x["code"]).alias("code"))
+
+
+def coded(words: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """``(word)``, distinct, -> ``(word, code)``: the ids of each word's pieces."""
+    folded = lambda hexed: F.transform(merged(hexed, name, folder), lambda p: rank_of(p, name, folder))
+    short = F.octet_length("word") <= WINDOW
+    out = words.filter(short).select("word", folded(F.hex("word")).alias("code"))
+    long_ = store.written(words.filter(~short).select(F.unhex(F.md5("word")).alias("id"), "word"), "long")
+    if long_.isEmpty():
+        return out
+    known = store.written(_windowed(long_.select("id", F.hex("word").alias("hexed")), name, folder), "windowed")
+    rest = long_.join(known.select("id"), "id", "left_anti").select("word", folded(F.hex("word")).alias("code"))
+    return out.unionByName(long_.join(known, "id").select("word", "code")).unionByName(rest)
+
+
+def encode(rows: DataFrame, key: str, text: str, out: str = "ids", name: str = "byte_bpe_50k", folder: str = TOKENIZERS, keep: list[str] | None = None) -> DataFrame:
     """``rows`` with ``out``, the ids of ``text`` without special tokens; an empty list for an empty and a null text.
 
-    All columns are kept; ``out`` replaces a column of that name. ``key`` should be unique; repeated and null keys
+    All columns are kept, or those of ``keep``; ``out`` replaces a column of that name. ``key`` should be unique; repeated and null keys
     are encoded right, too. Special tokens' strings in a text are ordinary text.
     """
-    ids_of = lambda w: rank_of(F.hex(w), name, folder)
-    missed = F.filter(F.array_distinct(words_of(F.col(text))), lambda w: ids_of(w).isNull())
-    # stored as arrays first: exploding the expression itself would put it, with the whole rank map, into the plan several times
-    rare = store.written(rows.filter(F.col(text).isNotNull()).select(F.col(key).alias("_inkfold_key"), missed.alias("words")), "words")
-    rare = rare.select("_inkfold_key", F.explode("words").alias("word"))
-    coded = rare.select("word").distinct().select("word", F.transform(merged(F.hex("word"), name, folder), lambda p: rank_of(p, name, folder)).alias("code"))
-    coded = store.written(coded, "codes")
-    known = salted_join(rare, coded, "word", F.col("_inkfold_key")).groupBy("_inkfold_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "code"))).alias("_inkfold_codes"))
-    joined = rows.join(known, F.col(key).eqNullSafe(F.col("_inkfold_key")), "left")
-    ids = F.flatten(F.transform(words_of(F.col(text)), lambda w: _let(ids_of(w), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(F.try_element_at(F.col("_inkfold_codes"), w)))))
-    return joined.withColumn("_inkfold_ids", F.coalesce(ids, F.array().cast("array<int>"))).drop("_inkfold_key", "_inkfold_codes").withColumn(out, F.col("_inkfold_ids")).drop("_inkfold_ids")
+    columns = [c for c in (rows.columns if keep is None else keep) if c != out]
+    cut = rows.select(*columns, F.col(key).alias("_inkfold_key"), words_of(F.col(text)).alias("_inkfold_words"))
+    piece = lambda w: _let(rank_of(w, name, folder, words=True), lambda i: F.struct(i.alias("id"), F.when(i.isNull(), w).alias("word")))
+    # stored, so that words are found and looked up once
+    stored = store.written(cut.select(*columns, "_inkfold_key", F.transform("_inkfold_words", piece).alias("_inkfold_pieces")), "pieces")
+    missed = F.array_compact(F.array_distinct(F.col("_inkfold_pieces.word")))
+    rare = stored.select("_inkfold_key", F.explode(missed).alias("word"))
+    codes = store.written(coded(store.written(rare.select("word").distinct(), "words"), name, folder), "codes")
+    known = salted_join(rare, codes, "word", F.col("_inkfold_key")).groupBy("_inkfold_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "code"))).alias("_inkfold_codes"))
+    known = known.withColumnRenamed("_inkfold_key", "_inkfold_known")
+    joined = stored.join(known, F.col("_inkfold_key").eqNullSafe(F.col("_inkfold_known")), "left")
+    ids = F.flatten(F.transform("_inkfold_pieces", lambda p: F.when(p["id"].isNotNull(), F.array(p["id"])).otherwise(F.try_element_at(F.col("_inkfold_codes"), p["word"]))))
+    return joined.select(*columns, F.coalesce(ids, F.array().cast("array<int>")).alias(out))
 
 
 @cache
@@ -132,7 +177,7 @@ def decode(rows: DataFrame, ids: str, out: str = "text", name: str = "byte_bpe_5
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs, "doc_id", "text").select("doc_id", "ids")
+    return encode(docs, "doc_id", "text", keep=["doc_id"])
 
 
 QUERIES = {"p7_ids": p7_ids}

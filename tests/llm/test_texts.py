@@ -159,3 +159,18 @@ def test_pairs_of_forms(spark):
     got = {tuple(r) for r in lookalike.alike_pairs(lookalike.consistent(rows, "i", "t", "f"), "i", "t", "f").collect()}
     same = [k for k in range(4)]
     assert got == {(a, b) for a, b in itertools.combinations(same, 2) if texts[a] != texts[b]}
+
+
+@VOCABULARY
+def test_very_long_words(spark):
+    """Words of many times the window: random, periodic, of one letter, of many bytes a letter, against the library."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    rng = random.Random(3)
+    letters = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
+    texts = [letters("abcdefghijklmnopqrstuvwxyz", n) for n in (255, 256, 257, 384, 385, 3000, 20_000)]
+    texts += [letters("etaoin", 4000), letters("漢字東京都日本", 900), letters("=-", 2000), "-" * 3001, "ab" * 1500 + "c" * 700, "the" * 900 + "x", letters("0123456789", 1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: list(r.ids) for r in tokens.encode(rows, "i", "t").collect()}
+    assert [k for k, t in enumerate(texts) if got[k] != library.encode(t, add_special_tokens=False).ids] == []
