@@ -19,6 +19,8 @@ from inkfold import store
 from inkfold.llm import tokens
 from inkfold.operators.skew import dense_rank_by
 
+#: Rows of five numbers, a size in a pattern, that may be sent to all tasks; more are joined by a shuffle.
+BROADCAST_SLOTS = 200_000
 Pattern = tuple[int, ...]  # the sizes in one container, largest first
 
 
@@ -163,6 +165,8 @@ def pack(rows: DataFrame, key: str, size: str, capacity: int = 2048) -> DataFram
             seen[s] += each * times
         base += times
     places = spark.createDataFrame(slots, "s bigint, lo bigint, hi bigint, each bigint, base bigint")
+    if len(slots) <= BROADCAST_SLOTS:
+        places = F.broadcast(places)
     numbered = dense_rank_by(pieces.filter("size > 0"), "size", [F.col("_key"), F.col("part")], "rank")
     placed = numbered.join(places, (F.col("size") == F.col("s")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     packed = placed.select("_key", "part", "start", "size", (F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("bigint").alias("container"))
@@ -172,7 +176,7 @@ def pack(rows: DataFrame, key: str, size: str, capacity: int = 2048) -> DataFram
 
 def pack_texts(rows: DataFrame, key: str, text: str, capacity: int = 2048, name: str = "byte_bpe_50k", folder: str = tokens.TOKENIZERS) -> DataFrame:
     """``pack`` for texts sized in tokens of a public tokenizer; ``start`` and ``size`` are in tokens."""
-    sized = tokens.encode(rows.select(key, text), key, text, "_ids", name, folder).select(key, F.size("_ids").cast("bigint").alias("_tokens"))
+    sized = tokens.encode(rows.select(key, text), key, text, "_ids", name, folder, keep=[key]).select(key, F.size("_ids").cast("bigint").alias("_tokens"))
     return pack(sized, key, "_tokens", capacity)
 
 
