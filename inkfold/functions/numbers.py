@@ -16,9 +16,9 @@ def round_half_up(x: Column, digits: int = 0) -> Column:
 
 
 def rounded_text(text: Column, digits: int = 0) -> Column:
-    """A number in text form, rounded half up; without a point for no digits. Other text gives null."""
+    """A number in text form, rounded half up; without a point for no digits, else with one digit after it at least. Other text gives null."""
     value = round_half_up(text.try_cast("double"), digits)
-    return value.cast("bigint").cast("string") if digits == 0 else value.cast("string")
+    return value.cast("bigint").cast("string") if digits == 0 else F.regexp_replace(value.cast(f"decimal(38,{digits})").cast("string"), r"(\.\d+?)0+$", "$1")
 
 
 def mac_time(seconds: Column) -> Column:

@@ -15,11 +15,12 @@ import numpy as np
 
 # Numbers that each command takes at a time.
 TAKES = {"M": 2, "L": 2, "H": 1, "V": 1, "C": 6, "S": 4, "Q": 4, "T": 2, "A": 7, "Z": 0}
-_NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-_COMMAND = re.compile(rf"\s*([MmLlHhVvCcSsQqTtAaZz])((?:[\s,]*{_NUMBER})*)[\s,]*")
-_NUMBERS = re.compile(_NUMBER)
+NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+LETTERS = "".join(k + k.lower() for k in TAKES)
+_COMMAND = re.compile(rf"\s*([{LETTERS}])((?:[\s,]*{NUMBER})*)[\s,]*")
+_NUMBERS = re.compile(NUMBER)
 # In an arc the two flags may stand without any blank before what follows.
-_ARC = re.compile(rf"[\s,]*({_NUMBER})[\s,]*({_NUMBER})[\s,]*({_NUMBER})[\s,]*([01])[\s,]*([01])[\s,]*({_NUMBER})[\s,]*({_NUMBER})")
+_ARC = re.compile(rf"[\s,]*({NUMBER})[\s,]*({NUMBER})[\s,]*({NUMBER})[\s,]*([01])[\s,]*([01])[\s,]*({NUMBER})[\s,]*({NUMBER})")
 
 
 @dataclass(frozen=True)

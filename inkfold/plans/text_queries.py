@@ -131,9 +131,14 @@ def tag_word_split(spark, d):
     return tags.select("tag", text.split_compound(joined, words).alias("words"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT filename, regexp_extract_all(svg, '(?s)\s(?:d|transform)="[^"]*"|\S+|\s') AS parts FROM pangram),
+n AS (SELECT filename, list_transform(parts, lambda p: CASE
+  WHEN regexp_matches(p, '^\sd=') THEN p[1:4] || regexp_replace(array_to_string(list_transform(regexp_extract_all(p[5:-2], '[A-DF-Za-df-z]|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?'),
+    lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z]$') THEN t ELSE CAST(floor(CAST(t AS DOUBLE) * 10 + 0.5) / 10 AS VARCHAR) END), ','), ',?([A-DF-Za-df-z]),?', '\1', 'g') || '"'
+  WHEN regexp_matches(p, '^\stransform=') THEN NULL ELSE p END) AS parts FROM p)
+SELECT filename, CASE WHEN parts IS NOT NULL THEN regexp_replace(array_to_string(parts, ''), '>\s+<', '><', 'g') END AS svg FROM n""")
 def svg_minify(spark, d):
-    return spread(table(spark, d, "pangram").select("filename", "svg")).select("filename", svg.minify_column(F.col("svg"), 1).alias("svg"))
+    return table(spark, d, "pangram").select("filename", svg.minify(F.col("svg"), 1).alias("svg"))
 
 
 @query()

@@ -88,11 +88,15 @@ def test_token_lengths(spark):
 DRAWN = '<svg xmlns="http://www.w3.org/2000/svg"><defs/><g fill="#ff0000"><path d="M0 0L10 0L10 10Z" transform="translate(0 5) scale(1 -1)"/></g><path d="M0,0q5 10 10 0" fill="#00ff00"/></svg>'
 
 
-def test_minify():
-    assert svg.minify_path("M 1.4 2.6 l -0.5,3") == "M1,3l0,3"
-    assert svg.minify_path("M0.05 1", 1) == "M0.1,1.0"
-    assert svg.minify_transform("translate( 1.6  2 ) scale(2)") == "translate(2,2) scale(2)"
-    assert svg.minify("<a id='M 1 2' d='M 1 2'>\n <b/></a>") == "<a id='M 1 2' d='M1,2'><b/></a>"
+def test_minify(spark):
+    of = lambda f, *texts: values(spark, f(F.col("x")), list(texts))
+    assert of(svg.minify_path, "M 1.4 2.6 l -0.5,3", "", None, "M0 0zm1e1-.6.4", "M0 0\nA5 5,0 0 1 9.5 10Z") == ["M1,3l0,3", "", None, "M0,0zm10,-1,0", "M0,0A5,5,0,0,1,10,10Z"]
+    assert of(lambda x: svg.minify_path(x, 1), "M0.05 1", "m12345678.94 -0.04") == ["M0.1,1.0", "m12345678.9,0.0"]
+    assert of(svg.minify_transform, "translate( 1.6  2 ) scale(2)", " rotate(1)scale( 2 ) ") == ["translate(2,2) scale(2)", "rotate(1)scale(2)"]
+    assert of(lambda x: svg.minify_transform(x, tight=True), "translate(1 2) scale(2)") == ["translate(1,2)scale(2)"]
+    assert of(svg.minify, "<a id='M 1 2' d='M 1 2'>\n <b/></a>") == ["<a id='M 1 2' d='M1,2'><b/></a>"]
+    assert of(svg.minify, '<g transform="scale(1.6)">\n<path data-d="1.5 2" d="M 1.5 2" transform=\'rotate( 1.4 )\' />\t<text>d t</text></g>') == ['<g transform="scale(2)"><path data-d="1.5 2" d="M2,2" transform=\'rotate(1)\' /><text>d t</text></g>']
+    assert of(svg.minify, '<path d="' + "M1.5 2" * 50_000 + '"/>') == ['<path d="' + "M2,2" * 50_000 + '"/>']
 
 
 def test_boxes_and_bake():
