@@ -21,6 +21,8 @@ from inkfold.llm.lists import LONG_LIST
 from inkfold.operators.skew import filtered_by, spread
 
 SHARE = 0.75
+#: What is known of a drawing in a list.
+DRAWN = ("row", "n", "need", "p0", "p1")
 #: Tokens that near copies share at least of those they are listed by (all T, if that is less).
 MERGED = 3
 
@@ -30,12 +32,13 @@ def required(n: Column, share: float = SHARE) -> Column:
     return F.ceil(n * F.lit(f"{share}").cast("decimal(6,4)")).cast("int")
 
 
-def may_agree(a: tuple[str, str, str], b: tuple[str, str, str], share: float = SHARE) -> Column:
-    """Whether sizes and parity bits of two drawings (names of their ``n``, ``p0``, ``p1``) allow them to be near copies."""
-    (na, a0, a1), (nb, b0, b1) = a, b
-    apart = F.bit_count(F.col(a0).bitwiseXOR(F.col(b0))) + F.bit_count(F.col(a1).bitwiseXOR(F.col(b1)))
-    need = required(F.greatest(na, nb), share)
-    return (F.least(na, nb) >= need) & (apart <= F.col(na) + F.col(nb) - 2 * need)
+def may_agree(a: str = "a", b: str = "b") -> Column:
+    """Whether sizes and parity bits of two drawings allow them to be near copies: columns ``n``, ``need`` (``required``), ``p0`` and
+    ``p1`` of either end. All whole numbers, as this is asked of every pair that meets."""
+    c = lambda name, end: F.col(f"{name}_{end}")
+    apart = F.bit_count(c("p0", a).bitwiseXOR(c("p0", b))) + F.bit_count(c("p1", a).bitwiseXOR(c("p1", b)))
+    need = F.greatest(c("need", a), c("need", b))
+    return (apart <= c("n", a) + c("n", b) - 2 * need) & (F.least(c("n", a), c("n", b)) >= need)
 
 
 def first_tokens(share: float, merged: int = MERGED) -> lists.Keys:
@@ -52,12 +55,12 @@ def first_tokens(share: float, merged: int = MERGED) -> lists.Keys:
     return keys
 
 
-def candidates(listed: DataFrame, share: float = SHARE, merged: int = MERGED) -> DataFrame:
+def candidates(listed: DataFrame, merged: int = MERGED) -> DataFrame:
     """``(a, b)``, a < b: pairs of drawings that meet often enough in the lists and whose sizes and parity bits allow the overlap."""
-    side = lambda s: listed.select(F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "p0", "p1")])
-    met = side("a").join(side("b"), "key").filter((F.col("row_a") < F.col("row_b")) & may_agree(("n_a", "p0_a", "p1_a"), ("n_b", "p0_b", "p1_b"), share))
-    least = F.when(required(F.least("n_a", "n_b"), share) >= merged, merged - 1).otherwise(1)
-    return met.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("a", "b")
+    side = lambda s: listed.select(F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_{s}") for c in DRAWN])
+    met = side("a").join(side("b"), "key").filter((F.col("row_a") < F.col("row_b")) & may_agree())
+    least = F.when(F.least("need_a", "need_b") >= merged, merged - 1).otherwise(1)
+    return met.groupBy(F.col("row_a").alias("a"), F.col("row_b").alias("b"), least.alias("least")).agg(F.count("*").alias("met")).filter("met >= least").select("a", "b")
 
 
 def probed(pairs: DataFrame, sets: DataFrame, share: float = SHARE) -> DataFrame:
@@ -86,9 +89,9 @@ def near_copies(rows: DataFrame, row: str, output: str, share: float = SHARE, lo
         raise ValueError("share must be above 0 and at most 1")
     drawn = store.written(drawings(rows.select(F.col(row).alias("row"), F.col(output).alias("output")), "output", ["row"]), "drawings")
     members = store.written(classes(drawn, "row"), "members")
-    sets = filtered_by(drawn.select("row", "n", "p0", "p1", "tokens"), members.filter("row <> rep").select("row"), "row", present=False)
-    listed = store.written(lists.keyed(sets, ["row", "n", "p0", "p1"], first_tokens(share), *lists.ranks(sets, long_list)), "lists")
-    pairs = store.written(candidates(listed, share), "pairs")
+    sets = filtered_by(drawn.select("row", "n", required(F.col("n"), share).alias("need"), "p0", "p1", "tokens"), members.filter("row <> rep").select("row"), "row", present=False)
+    listed = store.written(lists.keyed(sets, [*DRAWN], first_tokens(share), *lists.ranks(sets, long_list)), "lists")
+    pairs = store.written(candidates(listed), "pairs")
     return members, probed(pairs, sets, share)
 
 

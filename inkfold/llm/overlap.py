@@ -22,7 +22,7 @@ from inkfold import store
 from inkfold.llm import lists
 from inkfold.llm.drawing import drawings, in_order, mix
 from inkfold.llm.lists import LONG_LIST
-from inkfold.llm.nearcopy import SHARE, may_agree, required
+from inkfold.llm.nearcopy import DRAWN, SHARE, may_agree, required
 from inkfold.operators.skew import filtered_by, spread
 
 #: Segments of the wide code of drawings of up to ``FEW`` commands; each further level has ``LEVEL`` times as many, for as many more commands.
@@ -114,12 +114,12 @@ def cross_split(rows: DataFrame, row: str, split: str, instruction: str, output:
     same = ["text", "train", "print"]
     reps = drawn.groupBy(*same).agg(F.min("row").alias("rep"))
     members = store.written(drawn.select("row", *same).join(reps, same).select("row", "train", "rep"), "sides")
-    sets = filtered_by(drawn.drop("print"), members.filter("row <> rep").select("row"), "row", present=False)
-    coded = lists.keyed(sets, ["row", "train", "text", "n", "p0", "p1"], code_blocks(share), *lists.ranks(sets, long_list))
+    sets = filtered_by(drawn.drop("print").withColumn("need", required(F.col("n"), share)), members.filter("row <> rep").select("row"), "row", present=False)
+    coded = lists.keyed(sets, ["train", "text", *DRAWN], code_blocks(share), *lists.ranks(sets, long_list))
     coded = store.written(coded, "blocks")
-    blocks = coded.select("train", "text", F.explode("keys").alias("key"), "row", "n", "p0", "p1").withColumn("key", F.xxhash64("text", "key"))
-    side = lambda train, s: blocks.filter(F.col("train") if train else ~F.col("train")).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "p0", "p1")])
-    met = side(False, "a").join(side(True, "b"), "key").filter(may_agree(("n_a", "p0_a", "p1_a"), ("n_b", "p0_b", "p1_b"), share))
+    blocks = coded.select("train", "text", F.explode("keys").alias("key"), *DRAWN).withColumn("key", F.xxhash64("text", "key"))
+    side = lambda train, s: blocks.filter(F.col("train") if train else ~F.col("train")).select("key", *[F.col(c).alias(f"{c}_{s}") for c in DRAWN])
+    met = side(False, "a").join(side(True, "b"), "key").filter(may_agree())
     pairs = store.written(met.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct(), "near")
     ends = store.written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends")
     some = filtered_by(sets.select("row", "text", "n", "tokens"), ends, "row")
