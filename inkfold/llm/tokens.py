@@ -142,17 +142,22 @@ def encode(rows: DataFrame, key: str, text: str, out: str = "ids", name: str = "
     """
     columns = [c for c in (rows.columns if keep is None else keep) if c != out]
     cut = rows.select(*columns, F.col(key).alias("_inkfold_key"), words_of(F.col(text)).alias("_inkfold_words"))
-    piece = lambda w: _let(rank_of(w, name, folder, words=True), lambda i: F.struct(i.alias("id"), F.when(i.isNull(), w).alias("word")))
-    # stored, so that words are found and looked up once
-    stored = store.written(cut.select(*columns, "_inkfold_key", F.transform("_inkfold_words", piece).alias("_inkfold_pieces")), "pieces")
-    missed = F.array_compact(F.array_distinct(F.col("_inkfold_pieces.word")))
-    rare = stored.select("_inkfold_key", F.explode(missed).alias("word"))
+    looked = cut.withColumn("_inkfold_ids", F.transform("_inkfold_words", lambda w: rank_of(w, name, folder, words=True)))
+    missed = F.array_distinct(F.filter("_inkfold_words", lambda w, i: F.get("_inkfold_ids", i).isNull()))
+    looked = looked.withColumn("_inkfold_missed", missed)
+    # a missed word's place among the missed ones, as a number below 0, stands for it; stored, so that words are cut and looked up once
+    slot = lambda i, k: F.when(i.isNull(), -F.array_position("_inkfold_missed", F.get("_inkfold_words", k)).cast("int")).otherwise(i)
+    ids = F.when(F.size("_inkfold_missed") == 0, F.col("_inkfold_ids")).otherwise(F.transform("_inkfold_ids", slot))
+    stored = store.written(looked.select(*columns, "_inkfold_key", ids.alias("_inkfold_ids"), "_inkfold_missed"), "pieces")
+    some = stored.filter(F.size("_inkfold_missed") > 0).select("_inkfold_key", F.xxhash64("_inkfold_missed").alias("_inkfold_list"), "_inkfold_missed")
+    rare = some.dropDuplicates(["_inkfold_key", "_inkfold_list"]).select("_inkfold_key", "_inkfold_list", F.posexplode("_inkfold_missed").alias("slot", "word"))
     codes = store.written(coded(store.written(rare.select("word").distinct(), "words"), name, folder), "codes")
-    known = salted_join(rare, codes, "word", F.col("_inkfold_key")).groupBy("_inkfold_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "code"))).alias("_inkfold_codes"))
-    known = known.withColumnRenamed("_inkfold_key", "_inkfold_known")
-    joined = stored.join(known, F.col("_inkfold_key").eqNullSafe(F.col("_inkfold_known")), "left")
-    ids = F.flatten(F.transform("_inkfold_pieces", lambda p: F.when(p["id"].isNotNull(), F.array(p["id"])).otherwise(F.try_element_at(F.col("_inkfold_codes"), p["word"]))))
-    return joined.select(*columns, F.coalesce(ids, F.array().cast("array<int>")).alias(out))
+    known = salted_join(rare, codes, "word", F.xxhash64("_inkfold_key", "slot")).groupBy("_inkfold_key", "_inkfold_list").agg(F.array_sort(F.collect_list(F.struct("slot", "code"))).alias("_inkfold_codes"))
+    known = known.select(F.col("_inkfold_key").alias("_inkfold_known"), F.col("_inkfold_list").alias("_inkfold_same"), F.transform("_inkfold_codes", lambda x: x["code"]).alias("_inkfold_codes"))
+    joined = stored.join(known, F.col("_inkfold_key").eqNullSafe(F.col("_inkfold_known")) & (F.xxhash64("_inkfold_missed") == F.col("_inkfold_same")), "left")
+    filled = F.flatten(F.transform("_inkfold_ids", lambda i: F.when(i < 0, F.get("_inkfold_codes", -i - 1)).otherwise(F.array(i))))
+    done = F.when(F.col("_inkfold_codes").isNull(), F.col("_inkfold_ids")).otherwise(filled)
+    return joined.select(*columns, F.coalesce(done, F.array().cast("array<int>")).alias(out))
 
 
 @cache
