@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfold.operators.windows import running
+
 # The quantiles that length reports show.
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 
@@ -53,22 +55,48 @@ def repeated_values(rows: DataFrame, field: str) -> DataFrame:
     return rows.filter(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def exact_quantiles(rows: DataFrame, value: Column, at: tuple[float, ...], by: str = "by") -> DataFrame:
+    """``(by, q, value)``: the quantiles of each ``by``, linear between ranks; nulls are left out. ``by`` has few values.
+
+    Equal values are counted before the shuffle, counts are summed up over ranges of values, and each quantile picks the one or two
+    values that hold its ranks: no task holds a column's values.
+    """
+    counts = rows.select(F.col(by), value.cast("double").alias("v")).filter("v IS NOT NULL").groupBy(by, "v").agg(F.count("*").alias("n"))
+    summed = running(counts, [F.col(by), F.col("v")], F.col("n"))
+    groups = summed.groupBy(F.col(by).alias("_by")).agg(F.min(F.col("upto") - F.col("n")).alias("first"), F.sum("n").alias("total"))
+    place = lambda q: F.lit(q) * (F.col("total") - 1)
+    wanted = groups.select("_by", "first", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), place(q).alias("place")) for q in at])).alias("w"))
+    wanted = wanted.select("_by", "w.q", (F.col("first") + F.floor("w.place")).alias("low"), (F.col("w.place") - F.floor("w.place")).alias("part"))
+    holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+    low, high = holds(F.col("low")), holds(F.col("low") + 1) & (F.col("part") > 0)
+    picked = summed.join(F.broadcast(wanted), F.col(by).eqNullSafe(F.col("_by")) & (low | high))
+    weight = F.when(low, 1 - F.col("part")).otherwise(0.0) + F.when(high, F.col("part")).otherwise(0.0)
+    return picked.groupBy(by, "q").agg(F.sum(F.col("v") * weight).alias("value"))
+
+
+def _one_row(found: DataFrame, at: tuple[float, ...], names: list[str]) -> DataFrame:
+    return found.agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for q, name in zip(at, names, strict=True)])
+
+
 def scaled_centre(rows: DataFrame, columns: list[str], unit: str, scale: float = 1.0) -> DataFrame:
     """``(column, mean, median)`` of columns given in units of ``unit``, scaled."""
     named = F.array(*[F.struct(F.lit(c).alias("column"), (F.col(c) / F.col(unit) * F.lit(scale)).alias("v")) for c in columns])
-    return rows.select(F.explode(named).alias("x")).groupBy("x.column").agg(F.avg("x.v").alias("mean"), F.percentile(F.col("x.v"), F.lit(0.5)).alias("median"))
+    scaled = rows.select(F.explode(named).alias("x")).select("x.column", "x.v")
+    middle = exact_quantiles(scaled, F.col("v"), (0.5,), "column").select(F.col("column").alias("_c"), F.col("value").alias("median"))
+    return scaled.groupBy("column").agg(F.avg("v").alias("mean")).join(F.broadcast(middle), F.col("column") == F.col("_c"), "left").drop("_c")
 
 
 def quantiles(rows: DataFrame, value: str, at: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """One row: ``q25``, ``q50``, ... of a column, linear between ranks."""
-    return rows.agg(*[F.percentile(F.col(value), F.lit(q)).alias(f"q{round(q * 100)}") for q in at])
+    """One row: ``q25``, ``q50``, ... of a column, linear between ranks; nulls for no rows."""
+    return _one_row(exact_quantiles(rows.select(F.lit(0).alias("by"), value), F.col(value), at), at, [f"q{round(q * 100)}" for q in at])
 
 
 def described(rows: DataFrame, value: str) -> DataFrame:
     """One row: count, mean, sample deviation, least, quartiles, greatest; nulls left out."""
-    v = F.col(value)
-    quarter = lambda q, name: F.percentile(v, F.lit(q)).alias(name)
-    return rows.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).cast("double").alias("min"), quarter(0.25, "q25"), quarter(0.5, "q50"), quarter(0.75, "q75"), F.max(v).cast("double").alias("max"))
+    v, quarters = F.col(value), (0.25, 0.5, 0.75)
+    plain = rows.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"))
+    inner = _one_row(exact_quantiles(rows.select(F.lit(0).alias("by"), value), v, quarters), quarters, ["q25", "q50", "q75"])
+    return plain.crossJoin(F.broadcast(inner)).select("count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def totals(rows: DataFrame, columns: list[str]) -> DataFrame:

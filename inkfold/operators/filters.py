@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.functions.text import contains_any, without_space
+from inkfold.operators.aggregates import quantiles
 
 # What marks a font made for a special purpose, in its file name.
 SPECIAL = ("barcode", "symbol", "emoji", "redacted", "block", "musical", "music", "math", "decorative", "blank", "flowcircular", "flowrounded", "linefont", "wavefont", "yarndings")
@@ -52,7 +53,7 @@ def usable(rows: DataFrame, name: str, characters: str, denied: DataFrame | None
 
 def below_quantile(rows: DataFrame, length: str, q: float = 0.9) -> DataFrame:
     """Rows with 0 < length < the q-quantile of all rows' lengths, zeros counted, linear between ranks."""
-    limit = rows.agg(F.percentile(F.col(length), F.lit(q)).alias("_limit"))
+    limit = quantiles(rows, length, (q,)).toDF("_limit")
     return rows.join(F.broadcast(limit), (F.col(length) > 0) & (F.col(length) < F.col("_limit"))).drop("_limit")
 
 

@@ -91,21 +91,29 @@ def decontaminated(candidates: DataFrame, reference: DataFrame, key: Column, ref
     return candidates.withColumn("_k", wanted).join(seen, F.col("_k") == F.col("_seen"), "left_anti").drop("_k")
 
 
+#: Passages and bytes of theirs that may be sent to all tasks.
+PASSAGES, PASSAGE_BYTES = 200_000, 32_000_000
+
+
 def holding_passage(rows: DataFrame, text: str, passages: DataFrame, passage: str, words: int = 8) -> DataFrame:
     """Rows whose text holds a whole passage, word by word. Rows and passages meet by shared runs of ``words`` words, then the passage
-    is looked for in the text; passages of fewer words meet by their own length."""
+    is looked for in the text; passages of fewer words meet by their own length.
+
+    The passages are counted first: within bounds they go to all tasks and no run of a text is shuffled, beyond them runs meet by a shuffle.
+    """
     runs = lambda t, n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(t, i + 1, n), " ")))
     cut = lambda c: F.split(F.trim(F.regexp_replace(F.lower(F.col(c)), r"(?U)[^\w]+", " ")), " ")
     asked = passages.filter(F.col(passage) != "").select(F.col(passage).alias("_passage"), cut(passage).alias("_w")).distinct()
     sizes = F.least(F.size("_w"), F.lit(words))
     asked = asked.withColumn("_n", sizes).withColumn("_key", F.xxhash64(F.array_join(F.slice("_w", F.lit(1), F.col("_n")), " ")))
-    lengths = [r["_n"] for r in asked.select("_n").distinct().collect()]  # at most ``words`` numbers
+    known = asked.agg(F.collect_set("_n").alias("lengths"), F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_passage")), F.lit(0)).alias("bytes")).first()  # at most ``words`` lengths
+    few = known["n"] <= PASSAGES and known["bytes"] <= PASSAGE_BYTES
     digest = F.sha2(text, 256)
-    found = F.array_distinct(F.concat(*[runs(F.col("_w"), F.lit(n)) for n in lengths])) if lengths else F.array().cast("array<bigint>")
+    found = F.array_distinct(F.concat(*[runs(F.col("_w"), F.lit(n)) for n in sorted(known["lengths"])])) if known["lengths"] else F.array().cast("array<bigint>")
     keyed = rows.select(digest.alias("_text"), cut(text).alias("_w")).select("_text", F.explode(found).alias("_key"))  # digests only: a text isn't repeated for its runs
-    met = keyed.join(asked.select("_key", "_passage").hint("merge"), "_key").select("_text", "_passage").distinct()
-    hit = met.join(rows.select(digest.alias("_d"), F.col(text).alias("_t")), F.col("_text") == F.col("_d")).filter(F.contains("_t", "_passage")).select("_text").distinct()
-    return rows.withColumn("_d", digest).join(hit, F.col("_d") == F.col("_text"), "left_semi").drop("_d")
+    by_key = asked.groupBy("_key").agg(F.collect_set("_passage").alias("_passages"))
+    met = keyed.join(F.broadcast(by_key) if few else by_key.hint("merge"), "_key").select("_text", F.explode("_passages").alias("_passage")).distinct()
+    return rows.join(met, (digest == F.col("_text")) & F.contains(F.col(text), F.col("_passage")), "left_semi")
 
 
 def graded_join(rows: DataFrame, verdicts: DataFrame, key: str, verdict_key: Column, verdict: str, order: list[Column]) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.operators.sampling import chance
+from inkfold.operators.windows import first_rows, numbered
 
 TRAIN, IND, OOD, DEV = "train", "ind_test", "ood_test", "dev"
 
@@ -22,15 +25,18 @@ def drawn(groups: DataFrame, key: str, n_ood: int, n_ind: int, n_dev: int, n_tra
     """``(key, split)`` for distinct keys: ``ood_test`` apart from ``train``; ``ind_test`` and ``dev`` are drawn from train, so a
     key of theirs has a row for each of its splits.
 
-    Ranks are by hash over all groups in one order; groups are names, few against rows, and are ranked as 32-digit hashes.
+    Keys stand in the order of a hash. The small splits are its first keys; ranks over all are given by ranges.
     """
     checked(groups.count(), n_ood, n_ind, n_dev, n_train)
-    ranked = groups.select(key, F.row_number().over(Window.orderBy(chance(seed, F.col(key)), key)).alias("r"))
-    end = F.lit(2**62) if n_train is None else F.lit(n_ood + n_train)
-    train = (F.col("r") > n_ood) & (F.col("r") <= end)
-    inner = lambda salt, n, name: ranked.filter(train).select(key, F.row_number().over(Window.orderBy(chance(seed + salt, F.col(key)), key)).alias("k")).filter(F.col("k") <= n).select(key, F.lit(name).alias("split"))
-    outer = ranked.select(key, F.when(F.col("r") <= n_ood, OOD).when(train, TRAIN).alias("split")).filter("split IS NOT NULL")
-    return outer.unionByName(inner(1, n_ind, IND)).unionByName(inner(2, n_dev, DEV))
+    order = lambda salt: [chance(seed + salt, F.col(key)), F.col(key)]
+    named = lambda keys, name: keys.select(key, F.lit(name).alias("split"))
+    outside = first_rows(groups.select(key), order(0), n_ood)
+    if n_train is None:
+        train = groups.select(key).join(outside, key, "left_anti")
+    else:
+        train = numbered(groups.select(key), order(0), "_r").filter(F.col("_r").between(n_ood, n_ood + n_train - 1)).select(key)
+    parts = [named(train, TRAIN), named(outside, OOD), named(first_rows(train, order(1), n_ind), IND), named(first_rows(train, order(2), n_dev), DEV)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def with_splits(rows: DataFrame, splits: DataFrame, key: str) -> DataFrame:

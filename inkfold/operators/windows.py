@@ -19,6 +19,29 @@ def numbered(rows: DataFrame, order: list[Column], out: str = "row_idx") -> Data
     return placed.join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn(out, F.col("_start") + F.col("_in")).drop("_part", "_p", "_in", "_start")
 
 
+#: Rows up to which the first ones are found by a top-n of each part; more are taken by their number.
+TOP = 100_000
+
+
+def first_rows(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of a total order."""
+    if n <= TOP:
+        return rows.orderBy(*order).limit(n)
+    return numbered(rows, order, "_i").filter(F.col("_i") < n).drop("_i")
+
+
+def running(rows: DataFrame, order: list[Column], amount: Column, out: str = "upto") -> DataFrame:
+    """Rows with the sum of ``amount`` over all rows up to them in a total order, without one task seeing all rows.
+
+    Range-parted like ``numbered``: sums within a part, shifted by those of the parts before. ``order`` should be unique.
+    """
+    placed = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    sums = placed.groupBy("_part").agg(F.sum(amount).alias("_n"))
+    starts = sums.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # one row a part
+    inside = F.sum(amount).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn("_in", inside).join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn(out, F.col("_start") + F.col("_in")).drop("_part", "_p", "_in", "_start")
+
+
 def chunked(rows: DataFrame, index: str, size: int, out: str = "chunk") -> DataFrame:
     """The number of the chunk of ``size`` rows that a row number falls into."""
     return rows.withColumn(out, F.floor(F.col(index) / size).cast("bigint"))

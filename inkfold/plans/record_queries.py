@@ -257,10 +257,17 @@ def seeded_sample(spark, d):
     return sampling.sampled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 200)
 
 
-@query("""WITH m AS (SELECT font_family_dir_name AS g, list(DISTINCT filename) AS ms FROM pangram WHERE filename IS NOT NULL GROUP BY 1),
-r AS (SELECT DISTINCT identifier, font_family_dir_name AS g FROM font_meta)
-SELECT r.identifier, coalesce(array_to_string(list_slice(list_transform(list_sort(list_transform(m.ms, lambda x: {'h': md5('42|' || r.identifier || '|' || x), 'm': x})), lambda x: x.m), 1, 1 + CAST('0x' || substring(md5('42|' || r.identifier), 1, 8) AS BIGINT) % 8), ','), '') AS refs
-FROM r LEFT JOIN m USING (g)""")
+def _floyd(step: int) -> str:
+    """The SQL of a draw of positions 0 to n - 1 without replacement, one step: the position that is drawn, or the last one if it was."""
+    j = f"(n - k + {step})"
+    return f"d{step + 1} AS (SELECT identifier, ms, n, k, CASE WHEN k > {step} THEN list_append(s, CASE WHEN list_contains(s, t) THEN {j} ELSE t END) ELSE s END AS s FROM (SELECT *, CAST('0x' || substring(md5('42|' || identifier || '|' || {j}), 1, 15) AS BIGINT) % ({j} + 1) AS t FROM d{step}))"
+
+
+@query(f"""WITH m AS (SELECT g, list(f ORDER BY f) AS ms, count(*) AS n FROM (SELECT DISTINCT font_family_dir_name AS g, filename AS f FROM pangram WHERE filename IS NOT NULL) GROUP BY 1),
+r AS (SELECT DISTINCT identifier, font_family_dir_name AS g FROM font_meta),
+d0 AS (SELECT r.identifier, m.ms, m.n, least(1 + CAST('0x' || substring(md5('42|' || r.identifier), 1, 8) AS BIGINT) % 8, m.n) AS k, CAST([] AS BIGINT[]) AS s FROM r LEFT JOIN m USING (g)),
+{", ".join(_floyd(step) for step in range(8))}
+SELECT identifier, coalesce(array_to_string(list_transform(s, lambda p: ms[p + 1]), ','), '') AS refs FROM d8""")
 def group_sample_refs(spark, d):
     rows = table(spark, d, "font_meta").select("identifier", "font_family_dir_name").distinct()
     members = table(spark, d, "pangram").filter("filename IS NOT NULL").select("font_family_dir_name", "filename").distinct()

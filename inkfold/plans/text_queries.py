@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkfold.functions import hashing, numbers, svg, templates, text, tokenize
-from inkfold.operators import dedup
+from inkfold.operators import dedup, windows
 from inkfold.operators.skew import spread
 from inkfold.plans.catalogue import query, table
 
@@ -62,7 +61,7 @@ def path_part_columns(spark, d):
 @query(r"SELECT p_brand, CAST(row_number() OVER (ORDER BY regexp_extract(lower(p_brand), '^\D*'), CAST(regexp_extract(p_brand, '\d+') AS BIGINT), p_brand) AS BIGINT) AS rank FROM (SELECT DISTINCT p_brand FROM part)")
 def natural_sort_rank(spark, d):
     brands = table(spark, d, "part").select("p_brand").distinct()
-    return brands.select("p_brand", F.row_number().over(Window.orderBy(text.natural_key(F.col("p_brand")), "p_brand")).cast("bigint").alias("rank"))
+    return windows.numbered(brands, [text.natural_key(F.col("p_brand")), F.col("p_brand")]).select("p_brand", (F.col("row_idx") + 1).alias("rank"))
 
 
 @query("SELECT doc_id, md5(base64(encode(text))) AS coded, true AS sound FROM documents WHERE text IS NOT NULL")
