@@ -7,9 +7,9 @@ quadratics and cubics share all code, arcs have their own.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Sequence
 from functools import cache, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 
@@ -23,8 +23,7 @@ _NUMBERS = re.compile(NUMBER)
 _ARC = re.compile(rf"[\s,]*({NUMBER})[\s,]*({NUMBER})[\s,]*({NUMBER})[\s,]*([01])[\s,]*([01])[\s,]*({NUMBER})[\s,]*({NUMBER})")
 
 
-@dataclass(frozen=True)
-class Bezier:
+class Bezier(NamedTuple):
     points: tuple[complex, ...]
 
     @property
@@ -48,8 +47,10 @@ class Bezier:
         out = [p[0], p[-1]]
         if len(p) == 2:
             return out
-        for axis in ("real", "imag"):
-            v = [getattr(z, axis) for z in p]
+        for v in ([z.real for z in p], [z.imag for z in p]):
+            low, high = (v[0], v[-1]) if v[0] <= v[-1] else (v[-1], v[0])
+            if low <= min(v[1:-1]) and max(v[1:-1]) <= high:  # between the ends all along
+                continue
             d = [y - x for x, y in zip(v, v[1:], strict=False)]
             if len(d) == 2:
                 bend = d[0] - d[1]
@@ -74,8 +75,7 @@ class Bezier:
         return Bezier(tuple(f(z) for z in self.points))
 
 
-@dataclass(frozen=True)
-class Arc:
+class Arc(NamedTuple):
     start: complex
     radius: complex
     rotation: float
@@ -130,8 +130,7 @@ class Arc:
 Segment = Bezier | Arc
 
 
-@dataclass(frozen=True)
-class Step:
+class Step(NamedTuple):
     """A command's letter in upper case with the segment it draws; a move draws none."""
 
     letter: str
@@ -241,6 +240,21 @@ def box(steps: Sequence[Step]) -> tuple[float, float, float, float] | None:
     return float(x), float(y), float(max(xs) - x), float(max(ys) - y)
 
 
+@lru_cache(maxsize=1 << 16)
+def extent_of(data: str) -> tuple[float, float, float, float] | None:
+    """``box`` of path data. Drawings repeat their letters, so the boxes of recent paths are kept."""
+    return box(parse(data))
+
+
+def joined(boxes: Iterable[tuple[float, float, float, float] | None]) -> tuple[float, float, float, float] | None:
+    """The box around boxes."""
+    some = [b for b in boxes if b]
+    if not some:
+        return None
+    x, y = min(b[0] for b in some), min(b[1] for b in some)
+    return x, y, max(b[0] + b[2] for b in some) - x, max(b[1] + b[3] for b in some) - y
+
+
 @cache
 def _gauss(n: int = 24) -> tuple[np.ndarray, np.ndarray]:
     x, w = np.polynomial.legendre.leggauss(n)

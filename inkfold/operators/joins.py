@@ -101,15 +101,16 @@ def holding_passage(rows: DataFrame, text: str, passages: DataFrame, passage: st
 
     The passages are counted first: within bounds they go to all tasks and no run of a text is shuffled, beyond them runs meet by a shuffle.
     """
-    runs = lambda t, n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(t, i + 1, n), " ")))
-    cut = lambda c: F.split(F.trim(F.regexp_replace(F.lower(F.col(c)), r"(?U)[^\w]+", " ")), " ")
+    run = lambda h, i, n: F.xxhash64(*[F.get(h, i + k) for k in range(n)])
+    runs = lambda h, n: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - n + 1, F.lit(0))), lambda _, i: run(h, i, n))
+    cut = lambda c: F.transform(F.split(F.trim(F.regexp_replace(F.lower(F.col(c)), r"(?U)[^\w]+", " ")), " "), lambda w: F.xxhash64(w))
     asked = passages.filter(F.col(passage) != "").select(F.col(passage).alias("_passage"), cut(passage).alias("_w")).distinct()
     sizes = F.least(F.size("_w"), F.lit(words))
-    asked = asked.withColumn("_n", sizes).withColumn("_key", F.xxhash64(F.array_join(F.slice("_w", F.lit(1), F.col("_n")), " ")))
+    asked = asked.withColumn("_n", sizes).withColumn("_key", F.coalesce(*[F.when(F.col("_n") == n, run(F.col("_w"), F.lit(0), n)) for n in range(1, words + 1)]))
     known = asked.agg(F.collect_set("_n").alias("lengths"), F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_passage")), F.lit(0)).alias("bytes")).first()  # at most ``words`` lengths
     few = known["n"] <= PASSAGES and known["bytes"] <= PASSAGE_BYTES
     digest = F.sha2(text, 256)
-    found = F.array_distinct(F.concat(*[runs(F.col("_w"), F.lit(n)) for n in sorted(known["lengths"])])) if known["lengths"] else F.array().cast("array<bigint>")
+    found = F.array_distinct(F.concat(*[runs(F.col("_w"), n) for n in sorted(known["lengths"])])) if known["lengths"] else F.array().cast("array<bigint>")
     keyed = rows.select(digest.alias("_text"), cut(text).alias("_w")).select("_text", F.explode(found).alias("_key"))  # digests only: a text isn't repeated for its runs
     by_key = asked.groupBy("_key").agg(F.collect_set("_passage").alias("_passages"))
     met = keyed.join(F.broadcast(by_key) if few else by_key.hint("merge"), "_key").select("_text", F.explode("_passages").alias("_passage")).distinct()

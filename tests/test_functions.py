@@ -156,3 +156,10 @@ def test_broken_documents_give_null(spark):
     assert values(spark, svg.survives_coding(F.col("x")), [DRAWN, "<svg", None]) == [True, False, False]
     coded = values(spark, svg.coded_column(F.col("x")), [DRAWN, "<svg", None])
     assert coded[0].sound and coded[0].lines == svg.encode(DRAWN) and [c.lines for c in coded[1:]] == [None, None]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["path", "g", "rect"]), st.sampled_from(["", ' fill="#102030"', ' fill="none"', ' id="a&amp;b"', ' d="M0 0l1 1"', " d='M0 0'", ' d="M0&#10;0"', ' x="&lt;"'])), max_size=6))
+def test_sound_without_reading_again(parts):
+    lines = svg.encode(f'<svg xmlns="{svg.NAMESPACE}">' + "".join(f"<{kind}{attribute}/>" for kind, attribute in parts) + "</svg>")
+    assert svg.sound(lines) == (svg.encode(svg._document(svg.repaired(lines))) == lines)
