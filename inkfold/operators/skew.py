@@ -30,17 +30,19 @@ def dense_rank_by(rows: DataFrame, key: str, order: list[Column], out: str = "ra
     return joined.withColumn(out, F.col("_start") + F.col("_in")).drop("_k", "_c", "_n", "_in", "_start", "_cell")
 
 
-#: Rows of one number each that a filtering side may have to be sent to all tasks (about 50 MB in their memory).
-BROADCAST_KEYS = 1_000_000
+#: Keys, and bytes of theirs, that a filtering side may have to be sent to all tasks.
+BROADCAST_KEYS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
 def filtered_by(big: DataFrame, keys: DataFrame, key: str, *, present: bool = True, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of ``big`` whose ``key`` is (or, with ``present`` off, isn't) among ``keys``, whose only column it is.
 
-    The keys are counted first: up to ``limit`` they are broadcast, so that wide rows aren't shuffled; beyond it both
-    sides are shuffled. Either way the result is the same.
+    The keys are counted and weighed first: within ``limit`` and ``BROADCAST_BYTES`` they are broadcast, so that wide rows aren't shuffled;
+    beyond it both sides are shuffled. Either way the result is the same.
     """
-    few = keys.limit(limit + 1).count() <= limit
+    weight = F.octet_length(F.col(key).cast("string")) if dict(keys.dtypes)[key] == "string" else F.lit(8)
+    known = keys.limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("bytes")).first()
+    few = known["n"] <= limit and known["bytes"] <= BROADCAST_BYTES
     return big.join(F.broadcast(keys) if few else keys, key, "left_semi" if present else "left_anti")
 
 

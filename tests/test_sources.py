@@ -256,3 +256,41 @@ def test_versions_and_deltas(spark, tmp_path):
     assert log.read().count() == 5
     log.replace(log.read())
     assert log.read().count() == 5 and len(log.batches()) == 1
+
+
+def test_state_changes_as_a_whole(spark, tmp_path, monkeypatch):
+    state = store.State(spark, f"file://{tmp_path}/s")
+    rows = lambda *xs: spark.createDataFrame([(x, x % 4) for x in xs], "x int, bucket int")
+    values_ = lambda table, buckets=None: sorted(r.x for r in state.read(table, buckets).collect())
+    assert state.read("a") is None and not state.has("one")
+    state.commit({"a": store.Change(rows(1, 2, 5)), "b": store.Change(rows(7))}, "one")
+    assert values_("a") == [1, 2, 5] and values_("a", [1]) == [1, 5] and values_("b") == [7] and state.has("one")
+    state.commit({"a": store.Change(rows(9)), "b": store.Change(rows())})
+    assert values_("a") == [1, 2, 5, 9] and state.parts("a") == 2
+    for stop in ("_put", "children"):  # a batch that stops before its manifest has changed nothing
+        with monkeypatch.context() as m:
+            m.setattr(store, stop, lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+            with pytest.raises(OSError):
+                state.commit({"a": store.Change(rows(13, 3), instead=(1, 3)), "b": store.Change(rows(8))}, "two")
+        assert values_("a") == [1, 2, 5, 9] and values_("b") == [7] and not state.has("two")
+    state.commit({"a": store.Change(rows(13, 3), instead=(1, 3)), "b": store.Change(rows(8))}, "two")
+    assert values_("a") == [2, 3, 13] and values_("b") == [7, 8] and state.parts("a") == 1 and state.has("two")
+    state.commit({"a": store.Change(rows(), instead=(0, 1, 2, 3))})
+    assert values_("a") == [] and values_("b") == [7, 8]
+    folders = [n for n in store.children(spark, f"file://{tmp_path}/s") if n[0] == "d"]
+    assert len([n for n in folders if "-a-" in n]) <= 3 and len(store.children(spark, f"file://{tmp_path}/s")) - len(folders) == 2
+    other = store.State(spark, f"file://{tmp_path}/s")
+    monkeypatch.setattr(other, "number", lambda: 3)
+    with pytest.raises(FileExistsError):
+        other.commit({"a": store.Change(rows(1))})
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    of = lambda master, conf=None, checkpoint=None: store.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: conf), sparkContext=SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: checkpoint, master=master, applicationId="app")))
+    assert of("yarn", "hdfs://x/") == "hdfs://x" and of("yarn", None, "hdfs://y") == "hdfs://y"
+    assert of("local[2]").startswith("file://") and of("local") == of("local[2]")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            of(master)
