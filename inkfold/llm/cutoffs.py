@@ -15,7 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkfold import store
+from inkfold.llm.deltas import summed, touched
+from inkfold.operators.skew import filtered_by
 
+#: Parts of the records and of the tree; a parameter, as many as make a part a file of fitting size.
+BUCKETS = 16
+#: Batches after which the records are compacted.
+COMPACT = 32
 STEP = 8
 SHIFTS = tuple(range(56, -1, -STEP))
 
@@ -58,35 +64,58 @@ class SourceCutoffs:
     A record is a key with a source, a score and a version; of several rows of a key the one of the highest
     version counts (on a tie the larger score), a null version is the lowest. Rows with a null key, source or
     score are no records. ``ingest`` sends to the tree only +1 for what a key has now and -1 for what it had.
+
+    Of the records only those of the batch's keys are looked up, and only changed ones are written, behind the others; ``compact`` leaves
+    the last of each key. The tree's parts of untouched sources stay as they are. Records and tree change together.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark = spark
-        self.records = store.VersionedTable(spark, f"{path}/records")
-        self.tree = store.DeltaLog(spark, f"{path}/tree")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.state, self.buckets = store.State(spark, path), buckets
 
-    def ingest(self, batch: DataFrame, gone: DataFrame | None = None) -> None:
-        """``batch``: ``(key, source, score, version)``; ``gone``: keys (column ``key``) to forget."""
+    def ingest(self, batch: DataFrame, gone: DataFrame | None = None, name: str | None = None) -> None:
+        """``batch``: ``(key, source, score, version)``; ``gone``: keys (column ``key``) to forget. ``name`` names the batch, so that it counts
+        once however often it is brought."""
+        if self.state.has(name):
+            return
         rows = batch.filter(F.col("key").isNotNull() & F.col("source").isNotNull() & F.col("score").isNotNull())
-        rows = rows.select("key", F.struct("version", F.col("score").cast("bigint").alias("score"), "source").alias("r"))
-        old = self.records.read()
-        before = None if old is None else old.select("key", F.struct("version", "score", "source").alias("r"))
-        merged = rows if before is None else rows.unionByName(before)
-        now = merged.groupBy("key").agg(F.max("r").alias("r"))
+        rows = rows.select("key", F.struct("version", F.col("score").cast("bigint").alias("score"), "source").alias("r")).groupBy("key").agg(F.max("r").alias("r"))
+        rows = rows.withColumn("gone", F.lit(False))
         if gone is not None:
-            now = now.join(gone.select("key").distinct(), "key", "left_anti")
-        now = self.records.write(now.select("key", "r.version", "r.score", "r.source"))
-        signed = now.select("key", "source", "score", F.lit(1).cast("bigint").alias("n"))
-        if before is not None:
-            signed = signed.unionByName(before.select("key", "r.source", "r.score", F.lit(-1).cast("bigint").alias("n")))
-            signed = signed.groupBy("key", "source", "score").agg(F.sum("n").alias("n")).filter("n <> 0")
-        self.tree.append(node_counts(signed), ["shift"])
+            out = gone.filter("key IS NOT NULL").select("key", F.lit(None).cast(rows.schema["r"].dataType).alias("r"), F.lit(True).alias("gone")).distinct()
+            rows = rows.unionByName(out).groupBy("key").agg(F.max("r").alias("r"), F.max("gone").alias("gone"))
+        rows = store.written(rows.withColumn("bucket", store.bucket("key", of=self.buckets)), "batch")
+        before = self._held(touched(rows), rows.select("key"))
+        if before is None:
+            changed = rows.filter("NOT gone").select("key", "bucket", "r", F.lit(None).cast(rows.schema["r"].dataType).alias("old"))
+        else:
+            met = rows.join(before.select(F.col("key").alias("k"), F.col("r").alias("old")), F.col("key") == F.col("k"), "left")
+            met = met.withColumn("r", F.when(~F.col("gone"), F.greatest("r", "old")))
+            changed = store.written(met.filter(~F.col("r").eqNullSafe(F.col("old"))).select("key", "bucket", "r", "old"), "changed")
+        signed = changed.select(F.explode(F.array(F.struct(F.col("r").alias("r"), F.lit(1).cast("bigint").alias("n")), F.struct(F.col("old").alias("r"), F.lit(-1).cast("bigint").alias("n")))).alias("x"))
+        delta = node_counts(signed.filter("x.r IS NOT NULL").select("x.r.source", "x.r.score", "x.n"))
+        records = changed.select("key", "r.version", "r.score", "r.source", F.lit(self.state.number() + 1).cast("bigint").alias("change"), "bucket")
+        tree = summed(self.state, "tree", delta, ["source", "shift", "node"], ["n"], ["source"], self.buckets)
+        self.state.commit({"records": store.Change(records), "tree": tree}, name)
+        if self.state.parts("records") > COMPACT:
+            self.compact()
+
+    def _held(self, buckets: tuple[int, ...] | None, keys: DataFrame | None = None) -> DataFrame | None:
+        """``(key, r)`` of the records that there are, of some keys or all."""
+        log = self.state.read("records", buckets)
+        if log is None:
+            return None
+        log = log if keys is None else filtered_by(log, keys, "key")
+        last = log.groupBy("key").agg(F.max_by(F.struct("version", "score", "source"), "change").alias("r"))
+        return last.filter("r.source IS NOT NULL")
 
     def counts(self) -> DataFrame:
-        return self.tree.read().groupBy("source", "shift", "node").agg(F.sum("n").alias("n"))
+        """``(source, shift, node, n)``: the tree."""
+        return self.state.read("tree")
 
     def compact(self) -> None:
-        self.tree.replace(self.counts(), ["shift"])
+        """Leave the last of each key among the records."""
+        kept = self._held(None).select("key", "r.version", "r.score", "r.source", F.lit(self.state.number()).cast("bigint").alias("change"))
+        self.state.commit({"records": store.Change(kept.withColumn("bucket", store.bucket("key", of=self.buckets)), instead=tuple(range(self.buckets)))})
 
     def cutoffs(self, fraction: float = 0.9) -> DataFrame:
         return descend(self.counts(), fraction)

@@ -1,8 +1,8 @@
 """Problem 3: how often every distinct value occurs, in how many records, and which are too rare or too common.
 
-Counts are kept as signed deltas: a batch of added records counts +1, of removed ones -1, and a changed record is
-both. Only the batch is aggregated; its per-term sums are appended to a table partitioned by term hash, and the
-state of a term is the sum of its rows. ``compact`` folds them into one row a term.
+Counts change by signed deltas: a batch of added records counts +1, of removed ones -1, and a changed record is
+both. Only the batch is aggregated; its per-term changes are merged into the persistent counts, which are parted by term hash:
+parts without a changed term are neither read nor written, and a term has one row. A batch that is brought again under its name counts once.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold import store
+from inkfold.llm.deltas import merged_in
 
+#: Parts of the counts; a parameter, as many as make a part a file of fitting size.
 BUCKETS = 16
 ROWS = "\u0000rows"  # the pseudo-field whose count is the number of records
 
@@ -50,37 +52,32 @@ class TermCounts:
     Empty batches change nothing. A term whose records sum to 0 is gone.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.log = store.DeltaLog(spark, path)
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.state, self.buckets = store.State(spark, path), buckets
 
-    def update(self, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
-        """Frames with a column ``terms`` as of ``metadata_terms``; for a changed record pass its old and its new state."""
+    def update(self, added: DataFrame | None = None, removed: DataFrame | None = None, batch: str | None = None) -> None:
+        """Frames with a column ``terms`` as of ``metadata_terms``; for a changed record pass its old and its new state. ``batch`` names
+        the batch, so that it counts once however often it is brought."""
         signed = [f.select("terms", F.lit(sign).cast("bigint").alias("sign")) for f, sign in ((added, 1), (removed, -1)) if f is not None]
-        if not signed:
+        if not signed or self.state.has(batch):
             return
         rows = signed[0].unionByName(signed[-1]) if len(signed) > 1 else signed[0]
         unit = lambda occurrences, records: lambda t: F.struct(t["field"].alias("field"), t["term"].alias("term"), F.lit(occurrences).alias("o"), F.lit(records).alias("r"))
         whole = F.array(F.struct(F.lit(ROWS).alias("field"), F.lit("").alias("term"), F.lit(0).alias("o"), F.lit(1).alias("r")))
         every = F.concat(F.transform("terms", unit(1, 0)), F.transform(F.array_distinct("terms"), unit(0, 1)), whole)
         delta = rows.select("sign", F.explode(every).alias("t")).groupBy("t.field", "t.term").agg(F.sum(F.col("sign") * F.col("t.o")).alias("occurrences"), F.sum(F.col("sign") * F.col("t.r")).alias("records"))
-        self.log.append(delta.withColumn("bucket", F.pmod(F.xxhash64("field", "term"), F.lit(BUCKETS)).cast("int")), ["bucket"])
-
-    def _state(self) -> DataFrame:
-        return self.log.read().groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).filter("records <> 0 OR occurrences <> 0")
-
-    def compact(self) -> None:
-        self.log.replace(self._state().withColumn("bucket", F.pmod(F.xxhash64("field", "term"), F.lit(BUCKETS)).cast("int")), ["bucket"])
+        merged_in(self.state, {"counts": (delta, ["field", "term"], ["occurrences", "records"])}, ["field", "term"], self.buckets, batch)
 
     def counts(self) -> DataFrame:
         """``(field, term, occurrences, records)``."""
-        return self._state().filter(F.col("field") != ROWS)
+        return self.state.read("counts").filter(F.col("field") != ROWS)
 
     def marked(self, rare: int = 2, common: float = 0.05) -> DataFrame:
         """``counts`` with ``mark``: ``rare`` in at most ``rare`` records, ``common`` in more than ``common`` of all, else null.
 
         On a table so small that both hold, a term is rare.
         """
-        total = self.log.read().filter(F.col("field") == ROWS).agg(F.coalesce(F.sum("records"), F.lit(0)).alias("total"))
+        total = self.state.read("counts").filter(F.col("field") == ROWS).agg(F.coalesce(F.sum("records"), F.lit(0)).alias("total"))
         mark = F.when(F.col("records") <= rare, "rare").when(F.col("records").cast("double") > F.col("total") * F.lit(common), "common")
         return self.counts().join(F.broadcast(total)).select("field", "term", "occurrences", "records", mark.alias("mark"))
 

@@ -83,10 +83,57 @@ def test_term_counts_with_deltas(spark, tmp_path):
     counts.update()
     state = lambda: {r.term: (r.occurrences, r.records) for r in counts.counts().collect()}
     assert state() == {"a": (2, 1), "b": (2, 2)}
-    counts.compact()
-    assert state() == {"a": (2, 1), "b": (2, 2)}
+    assert [tuple(r) for r in counts.state.read("counts").groupBy("field", "term").count().filter("count > 1").collect()] == []
     marks = {r.term: r.mark for r in counts.marked(rare=1, common=0.5).collect()}
     assert marks == {"a": "rare", "b": "common"}
     empty = terms.TermCounts(spark, f"file://{tmp_path}/none")
     empty.update(added=frame())
     assert empty.marked().filter(F.col("mark").isNotNull()).count() == 0
+
+
+def stopping(monkeypatch, name):
+    """Make one step of the store fail, as if the driver were lost there."""
+    from inkfold import store
+
+    def stop(*_):
+        raise OSError("stopped")
+
+    monkeypatch.setattr(store, name, stop)
+
+
+@pytest.mark.parametrize("step", ["written", "children", "_put"])
+def test_batches_that_stop_and_come_again(spark, tmp_path, monkeypatch, step):
+    frame = lambda *records: spark.createDataFrame([([("tags", t) for t in r],) for r in records], "terms array<struct<field: string, term: string>>")
+    counts = terms.TermCounts(spark, f"file://{tmp_path}/t")
+    tree = cutoffs.SourceCutoffs(spark, f"file://{tmp_path}/c")
+    records = lambda *rows: spark.createDataFrame(list(rows), RECORDS)
+    first = records(("a", "s", 10, 1), ("b", "s", 20, 1), ("c", "t", 5, 1))
+    counts.update(added=frame("ab", "a"), batch="1")
+    tree.ingest(first, name="1")
+    second = records(("a", "s", 40, 2), ("d", "s", 30, 1), ("c", "u", 5, 2))
+    with monkeypatch.context() as m:
+        stopping(m, step)
+        with pytest.raises(OSError):
+            counts.update(added=frame("b"), removed=frame("a"), batch="2")
+        with pytest.raises(OSError):
+            tree.ingest(second, name="2")
+    assert found(tree, 1.0) == {"s": (20, 2), "t": (5, 1)}
+    for _ in range(2):
+        counts.update(added=frame("ab", "a"), batch="1")
+        counts.update(added=frame("b"), removed=frame("a"), batch="2")
+        tree.ingest(first, name="1")
+        tree.ingest(second, name="2")
+    assert {r.term: (r.occurrences, r.records) for r in counts.counts().collect()} == {"a": (1, 1), "b": (2, 2)}
+    assert found(tree, 1.0) == {"s": (40, 3), "u": (5, 1)}
+    assert counts.marked(rare=1, common=0.5).count() == 2
+
+
+def test_a_small_batch_writes_little(spark, tmp_path):
+    tree = cutoffs.SourceCutoffs(spark, f"file://{tmp_path}")
+    tree.ingest(spark.createDataFrame([(f"k{k}", f"s{k % 3}", k, 1) for k in range(2000)], RECORDS))
+    tree.ingest(spark.createDataFrame([("k7", "s1", 3000, 2), ("k8", "s2", 8, 2), ("new", "s0", 1, 1)], RECORDS))
+    log = tree.state.read("records")
+    assert log.filter("change = 2").count() == 3 and log.count() == 2003
+    assert found(tree, 1.0) == {"s0": (1998, 668), "s1": (3000, 667), "s2": (1997, 666)}
+    tree.compact()
+    assert tree.state.read("records").count() == 2001 and found(tree, 1.0)["s1"] == (3000, 667)
