@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkfold import store
+from inkfold.llm.deltas import touched
+from inkfold.operators.skew import filtered_by
 
 QUARANTINE = "quarantine"
+#: Parts of each table of the state; a parameter, as many as make a part a file of fitting size.
+BUCKETS = 8
 CELLS = 1024
 
 
@@ -115,45 +119,92 @@ def fill_deficits(new: DataFrame, held: DataFrame, shares: dict[str, float]) ->
 
 
 class FamilySplits:
-    """Splits over batches of records; state (families, ties, components, splits) is in ``path``."""
-
-    def __init__(self, spark: SparkSession, path: str, shares: dict[str, float] | None = None) -> None:
-        self.shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
-        self.keys = store.VersionedTable(spark, f"{path}/keys")
-        self.members = store.VersionedTable(spark, f"{path}/members")
-
-    def ingest(self, rows: DataFrame, family: str = "font_family_dir_name", filename: str = "filename") -> None:
-        """Add records. Rows without a family are left out here; ``assign`` gives them a null split."""
-        tied = store.written(ties(rows, family, filename), "ties")
-        weights = rows.filter(F.col(family).isNotNull()).groupBy(F.col(family).alias("node")).agg(F.count("*").alias("weight"))
-        before, hubs = self.members.read(), self.keys.read()
-        known = tied if hubs is None else tied.unionByName(hubs)  # a key's smallest earlier node stands for all of its nodes
-        if before is None:
-            old = weights.select("node", F.col("node").alias("old_root"), F.lit(None).cast("string").alias("split"), F.lit(0).cast("bigint").alias("held"))
-        else:
-            fresh = weights.join(before, "node", "left_anti").select("node", F.col("node").alias("old_root"), F.lit(None).cast("string").alias("split"), F.lit(0).cast("bigint").alias("held"))
-            old = before.select("node", F.col("root").alias("old_root"), "split", F.col("weight").alias("held")).unionByName(fresh)
-        old = store.written(old, "old")
-        root = old.select("node", "old_root")
-        edges = _hubs(known).join(root.select(F.col("node").alias("a"), F.col("old_root").alias("ra")), "a").join(root.select(F.col("node").alias("b"), F.col("old_root").alias("rb")), "b")
-        merged = roots_of(edges.filter("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct())
-        now = old.join(merged.select(F.col("node").alias("old_root"), F.col("root").alias("new_root")), "old_root", "left").join(weights, "node", "left")
-        now = now.select("node", F.coalesce("new_root", "old_root").alias("root"), "split", (F.col("held") + F.coalesce("weight", F.lit(0))).alias("weight"))
+    """Splits over batches of records; all state is in ``path`` and changes as a whole with each batch.
+
+    State: ``keys`` (a tie's key and its smallest family), ``members`` (a family and the component it came into), ``merges`` (components
+    that went into others, and which root they have now), ``components`` (root, split, records) and ``totals`` (records of each split).
+    A batch looks up its own keys, families and the components these are in, in the parts of the state that hold them; of the rest it reads
+    only ``merges``, which has a row for each component ever merged.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, shares: dict[str, float] | None = None, buckets: int = BUCKETS) -> None:
+        self.spark, self.shares, self.buckets = spark, shares or {"train": 0.8, "validation": 0.1, "test": 0.1}, buckets
+        self.state = store.State(spark, path)
+
+    def _bucketed(self, rows: DataFrame, key: str) -> DataFrame:
+        return rows.withColumn("bucket", store.bucket(key, of=self.buckets))
+
+    def _looked_up(self, table: str, keys: DataFrame, key: str, schema: str) -> DataFrame:
+        """The rows of a table for some keys (stored, with their bucket)."""
+        held = self.state.read(table, touched(keys))
+        return self.spark.createDataFrame([], schema) if held is None else filtered_by(held, keys.select(key), key)
+
+    def ingest(self, rows: DataFrame, family: str = "font_family_dir_name", filename: str = "filename", name: str | None = None) -> None:
+        """Add records. Rows without a family are left out here; ``assign`` gives them a null split. Rows of a batch that repeat family and
+        file count as one record. ``name`` names the batch, so that it counts once however often it is brought."""
+        if self.state.has(name):
+            return
+        kind = dict(rows.dtypes)[family]
+        kept = store.written(rows.filter(F.col(family).isNotNull()).select(F.col(family).alias("node"), F.col(filename).alias("f")).distinct(), "rows")
+        tied = store.written(self._bucketed(ties(kept, "node", "f").filter("key IS NOT NULL"), "key"), "ties")
+        weights = kept.groupBy("node").agg(F.count("*").alias("weight"))
+        hubs = self._looked_up("keys", tied.select("key", "bucket").distinct(), "key", f"node {kind}, key string").select("node", "key")
+        known = store.written(tied.select("node", "key").unionByName(hubs), "known")  # a key's smallest earlier node stands for all of its nodes
+        nodes = store.written(self._bucketed(known.select("node").union(weights.select("node")).distinct(), "node"), "nodes")
+        merges = self.state.read("merges")
+        was = self._looked_up("members", nodes, "node", f"node {kind}, component {kind}")
+        if merges is not None:
+            was = was.join(merges.select(F.col("component").alias("c"), F.col("root").alias("r")), F.col("component") == F.col("c"), "left").select("node", F.coalesce("r", "component").alias("component"))
+        old = nodes.join(was.select("node", F.col("component").alias("had")), "node", "left").select("node", F.coalesce("had", "node").alias("root"), F.col("had").isNull().alias("fresh"))
+        old = store.written(old.join(weights, "node", "left").select("node", "root", "fresh", F.coalesce("weight", F.lit(0)).alias("weight")), "old")
+        root = lambda end, r: old.select(F.col("node").alias(end), F.col("root").alias(r))
+        edges = _hubs(known).join(root("a", "ra"), "a").join(root("b", "rb"), "b")
+        moved = roots_of(edges.filter("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct())
+        moved = store.written(moved.select(F.col("node").alias("from"), F.col("root").alias("to")), "moved")
+        final = lambda some, c: some.join(moved, F.col(c) == F.col("from"), "left").withColumn("to", F.coalesce("to", c)).drop("from")
+        roots = store.written(self._bucketed(old.select("root").distinct(), "root"), "roots")
+        parts = store.written(self._looked_up("components", roots, "root", f"root {kind}, split string, weight bigint"), "parts")
+        coming = old.groupBy("root").agg(F.sum("weight").alias("weight")).select("root", F.lit(None).cast("string").alias("split"), "weight")
+        now = final(parts.select("root", "split", "weight").unionByName(coming), "root").groupBy(F.col("to").alias("root")).agg(F.min("split").alias("lo"), F.max("split").alias("hi"), F.sum("weight").alias("weight"))
         now = store.written(now, "now")
-        state = now.groupBy("root").agg(F.min("split").alias("lo"), F.max("split").alias("hi"), F.sum("weight").alias("weight"))
-        kept = state.filter("lo IS NOT NULL").select("root", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(QUARANTINE).alias("split"), "weight")
-        added = fill_deficits(state.filter("lo IS NULL").select("root", "weight"), kept.select("split", "weight"), self.shares)
-        splits = kept.select("root", "split").unionByName(added)
-        self.members.write(now.drop("split").join(splits, "root").select("node", "root", "split", "weight"))
-        self.keys.write(known.filter("key IS NOT NULL").groupBy("key").agg(F.min("node").alias("node")).select("node", "key"))
+        stay = now.filter("lo IS NOT NULL").select("root", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(QUARANTINE).alias("split"), "weight")
+        totals = self.state.read("totals")
+        signed = stay.select("split", "weight").union(parts.select("split", -F.col("weight")))
+        held = (signed if totals is None else signed.union(totals.select("split", "weight"))).groupBy("split").agg(F.sum("weight").alias("weight"))
+        added = fill_deficits(now.filter("lo IS NULL").select("root", "weight"), held, self.shares)
+        placed = stay.unionByName(now.join(added, "root").select("root", "split", "weight"))
+        placed = store.written(self._bucketed(placed, "root"), "placed")
+        hit = tuple(sorted({*touched(roots), *touched(placed)}))
+        others = self.state.read("components", hit)
+        if others is not None:
+            placed = placed.unionByName(self._bucketed(filtered_by(others, roots.select("root"), "root", present=False), "root"))
+        counted = store.written(held.union(now.join(added, "root").select("split", "weight")).groupBy("split").agg(F.sum("weight").alias("weight")), "totals")
+        whole = lambda frame: store.Change(frame.withColumn("bucket", F.lit(0)), instead=(0,))
+        changes = {"components": store.Change(placed, instead=hit), "totals": whole(counted)}
+        changes["members"] = store.Change(self._bucketed(final(old.filter("fresh"), "root").select("node", F.col("to").alias("component")), "node"))
+        gone = moved.filter("from <> to").join(old.filter("NOT fresh").select(F.col("root").alias("from")).distinct(), "from", "left_semi").select(F.col("from").alias("component"), F.col("to").alias("root"))
+        if merges is not None:
+            gone = final(merges, "root").select("component", F.col("to").alias("root")).unionByName(gone)
+        changes["merges"] = whole(gone)
+        keys = tied.select("key", "bucket").distinct()
+        changes["keys"] = store.Change(self._keys(known, keys), instead=touched(keys))
+        self.state.commit(changes, name)
+
+    def _keys(self, known: DataFrame, keys: DataFrame) -> DataFrame:
+        """All keys of the parts that have some of the batch's, each with its smallest family."""
+        held = self.state.read("keys", touched(keys))
+        every = known.select("node", "key") if held is None else known.select("node", "key").unionByName(held.select("node", "key"))
+        return self._bucketed(every.groupBy("key").agg(F.min("node").alias("node")).select("node", "key"), "key")
 
     def families(self) -> DataFrame:
         """``(family, root, split)``."""
-        return self.members.read().select(F.col("node").alias("family"), "root", "split")
+        merges = self.state.read("merges").select(F.col("component").alias("c"), F.col("root").alias("r"))
+        rooted = self.state.read("members").join(merges, F.col("component") == F.col("c"), "left").select(F.col("node").alias("family"), F.coalesce("r", "component").alias("root"))
+        return rooted.join(self.state.read("components").select("root", "split"), "root").select("family", "root", "split")
 
     def assign(self, rows: DataFrame, family: str = "font_family_dir_name") -> DataFrame:
         """``rows`` with their family's ``split``; null for rows without a family or of one never ingested."""
-        have = self.members.read().select(F.col("node").alias("_inkfold_family"), F.col("split").alias("_inkfold_split"))
+        have = self.families().select(F.col("family").alias("_inkfold_family"), F.col("split").alias("_inkfold_split"))
         return rows.join(have, F.col(family) == F.col("_inkfold_family"), "left").drop("_inkfold_family").withColumn("split", F.col("_inkfold_split")).drop("_inkfold_split")
 
 
@@ -177,10 +228,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records, families and components of each split."""
+    """Records, families and components of each split; records without a family have none and are the row of the null split."""
     splits, rows = _ingested(spark, sf_dir)
     sized = splits.assign(rows).groupBy("split").agg(F.count("*").alias("records"))
-    return splits.families().groupBy("split").agg(F.countDistinct("family").alias("families"), F.countDistinct("root").alias("components")).join(sized, "split")
+    told = splits.families().groupBy(F.col("split").alias("s")).agg(F.countDistinct("family").alias("families"), F.countDistinct("root").alias("components"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return sized.join(told, F.col("split").eqNullSafe(F.col("s")), "full").select(F.coalesce("split", "s").alias("split"), zero("families"), zero("components"), zero("records"))
 
 
 P5_SQL = r"""

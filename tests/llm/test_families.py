@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -83,3 +84,47 @@ def test_no_rows(spark, tmp_path):
     splits = families.FamilySplits(spark, f"file://{tmp_path}")
     splits.ingest(frame(spark, []))
     assert splits.families().count() == 0
+
+
+@pytest.mark.parametrize("step", ["written", "children", "_put"])
+def test_a_batch_that_stops_and_comes_again(spark, tmp_path, monkeypatch, step):
+    from inkfold import store
+
+    splits = families.FamilySplits(spark, f"file://{tmp_path}", {"train": 0.5, "test": 0.5})
+    first, second = frame(spark, [("a", "A.ttf"), ("b", "B.ttf"), ("c", "C.ttf"), ("c", "C2.ttf")]), frame(spark, [("d", "A.ttf"), ("e", "C.ttf"), ("e", "C.ttf")])
+    splits.ingest(first, name="1")
+
+    def stop(*_):
+        raise OSError("stopped")
+
+    before = sorted(splits.families().collect())
+    with monkeypatch.context() as m:
+        m.setattr(store, step, stop)
+        with pytest.raises(OSError):
+            splits.ingest(second, name="2")
+    assert sorted(splits.families().collect()) == before
+    for _ in range(2):
+        splits.ingest(first, name="1")
+        splits.ingest(second, name="2")
+    after = {r.family: (r.root, r.split) for r in splits.families().collect()}
+    assert after["d"] == after["a"] and after["e"] == after["c"] and len(after) == 5
+    weights = {r.root: r.weight for r in splits.state.read("components").collect()}
+    assert weights == {"a": 2, "b": 1, "c": 3} and sum(r.weight for r in splits.state.read("totals").collect()) == 6
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=6), min_size=2, max_size=4))
+def test_batches_give_the_components_of_all(spark, tmp_path_factory, batches):
+    splits = families.FamilySplits(spark, f"file://{tmp_path_factory.mktemp('f')}", {"train": 0.6, "test": 0.4})
+    kept: dict = {}
+    for batch in batches:
+        splits.ingest(frame(spark, [(f"fam{chr(97 + a)}", f"file{b}x.ttf") for a, b in batch]))
+        now = {r.family: r.split for r in splits.families().collect()}
+        assert all(now[f] in (kept[f], families.QUARANTINE) for f in kept)
+        kept = now
+    every = [(f"fam{chr(97 + a)}", f"f{b}") for batch in batches for a, b in batch]
+    roots = union_find([(f, k) for f, k in every])
+    groups = lambda of: {frozenset(f for f in of if of[f] == r) for r in set(of.values())}
+    got = {r.family: r.root for r in splits.families().collect()}
+    assert groups(got) == groups({f: roots[f] for f, _ in every})
+    assert {r.root for r in splits.state.read("components").collect()} == set(got.values())
