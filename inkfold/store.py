@@ -178,81 +178,3 @@ class State:
             old = n[0] == "m" and not (n.endswith(".json") and int(n[1:9]) in kept)
             if old or n[0] == "d" and n not in named:
                 remove(self.spark, f"{self.path}/{n}")
-
-
-def _save(df: DataFrame, path: str, partition_by: Iterable[str]) -> None:
-    """Parquet with its schema beside it, so that a table without rows (partitioned: without files) can be read."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    fs, at = _fs(df.sparkSession, path)
-    out = fs.create(at(f"{path}/_schema.json"), True)
-    try:
-        out.write(bytearray(df.schema.json().encode()))
-    finally:
-        out.close()
-
-
-def _load(spark: SparkSession, path: str) -> DataFrame:
-    fs, at = _fs(spark, path)
-    source = fs.open(at(f"{path}/_schema.json"))
-    try:
-        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
-    finally:
-        source.close()
-    return spark.read.schema(T.StructType.fromJson(json.loads(text))).parquet(path)
-
-
-class VersionedTable:
-    """A Parquet table that is replaced as a whole: readers see the last version that was written to its end."""
-
-    def __init__(self, spark: SparkSession, path: str, keep: int = 2) -> None:
-        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
-
-    def versions(self) -> list[str]:
-        return [v for v in children(self.spark, self.path) if v[0] == "v" and exists(self.spark, f"{self.path}/{v}/_SUCCESS")]
-
-    def read(self) -> DataFrame | None:
-        """The newest version, or None before the first."""
-        found = self.versions()
-        return _load(self.spark, f"{self.path}/{found[-1]}") if found else None
-
-    def write(self, df: DataFrame, partition_by: Iterable[str] = ()) -> DataFrame:
-        found = self.versions()
-        number = int(found[-1][1:]) + 1 if found else 1
-        path = f"{self.path}/v{number:08d}"
-        _save(df, path, partition_by)
-        for old in found[: max(0, len(found) + 1 - self.keep)]:
-            remove(self.spark, f"{self.path}/{old}")
-        return _load(self.spark, path)
-
-
-class DeltaLog:
-    """A table of signed deltas, one folder per batch; a batch counts once its ``_SUCCESS`` is there."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def batches(self) -> list[str]:
-        return [b for b in children(self.spark, self.path) if b[0] == "b" and exists(self.spark, f"{self.path}/{b}/_SUCCESS")]
-
-    def append(self, df: DataFrame, partition_by: Iterable[str] = ()) -> None:
-        found = self.batches()
-        number = int(found[-1][1:]) + 1 if found else 1
-        _save(df, f"{self.path}/b{number:08d}", partition_by)
-
-    def read(self) -> DataFrame | None:
-        """All batches together, or None before the first."""
-        frames = [_load(self.spark, f"{self.path}/{b}") for b in self.batches()]
-        out = frames[0] if frames else None
-        for frame in frames[1:]:
-            out = out.unionByName(frame)
-        return out
-
-    def replace(self, df: DataFrame, partition_by: Iterable[str] = ()) -> None:
-        """Put one batch in place of all: the new one is whole before the old ones go."""
-        found = self.batches()
-        path = f"{self.path}/b{int(found[-1][1:]) + 1 if found else 1:08d}"
-        _save(df, f"{path}.new", partition_by)
-        for old in found:
-            remove(self.spark, f"{self.path}/{old}")
-        fs, at = _fs(self.spark, path)
-        fs.rename(at(f"{path}.new"), at(path))

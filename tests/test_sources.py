@@ -243,21 +243,6 @@ def test_event_time_windows_in_a_stream(spark, tmp_path):
     assert sorted(r.total for r in spark.table("windows").collect()) == [3.0, 4.0]
 
 
-def test_versions_and_deltas(spark, tmp_path):
-    table = store.VersionedTable(spark, f"file://{tmp_path}/t", keep=2)
-    assert table.read() is None
-    for k in range(4):
-        table.write(spark.range(k))
-    assert table.read().count() == 3 and len(table.versions()) == 2
-    log = store.DeltaLog(spark, f"file://{tmp_path}/d")
-    assert log.read() is None
-    log.append(spark.range(2))
-    log.append(spark.range(3))
-    assert log.read().count() == 5
-    log.replace(log.read())
-    assert log.read().count() == 5 and len(log.batches()) == 1
-
-
 def test_state_changes_as_a_whole(spark, tmp_path, monkeypatch):
     state = store.State(spark, f"file://{tmp_path}/s")
     rows = lambda *xs: spark.createDataFrame([(x, x % 4) for x in xs], "x int, bucket int")
