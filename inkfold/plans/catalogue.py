@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from inkfold.plans import jobs, metric_queries, record_queries, statistics_queries, text_queries  # noqa: E402, F401
+from inkfold.plans import jobs, metric_queries, record_queries, source_queries, statistics_queries, text_queries  # noqa: E402, F401

@@ -33,7 +33,7 @@ l AS (SELECT id, svg, svg_len FROM d WHERE k = 1),
 s AS (SELECT *, row_number() OVER (PARTITION BY svg ORDER BY id) AS u FROM l WHERE svg_len > 0 AND svg_len < (SELECT quantile_cont(svg_len, 0.9) FROM l)),
 g AS (SELECT metadata->>'$.identifier' AS vk, lower(regexp_replace(replace(trim(predict, ' ' || chr(10) || chr(9) || chr(13) || chr(160)), '<|SEP|>', ''), '\s+', '', 'g')) = lower(replace(trim(label), '<|SEP|>', '')) AS score, written_at, sample_id FROM prediction WHERE json_valid(metadata) AND (CASE WHEN json_valid(metadata) THEN metadata END)->>'$.task' = 'ocr'),
 v AS (SELECT vk, score, row_number() OVER (PARTITION BY vk ORDER BY written_at DESC, sample_id DESC) AS k FROM g WHERE score IS NOT NULL AND vk IS NOT NULL),
-kept AS (SELECT f.*, s.svg_len FROM f JOIN s ON s.id = f.identifier AND s.u = 1 LEFT JOIN v ON v.vk = f.identifier AND v.k = 1
+kept AS (SELECT f.*, s.svg_len, s.svg FROM f JOIN s ON s.id = f.identifier AND s.u = 1 LEFT JOIN v ON v.vk = f.identifier AND v.k = 1
          WHERE coalesce(v.score, true) AND NOT (""" + " OR ".join(f"contains(lower(f.filename), '{m}')" for m in filters.SPECIAL) + "))"
 
 
@@ -47,31 +47,25 @@ def funnel_summary(spark, d):
     return _funnel(spark, d).groupBy("source").agg(F.count("*").alias("fonts"), F.sum("svg_len").alias("svg_len"))
 
 
-@query(f"""WITH {_STAGES}, c AS (SELECT DISTINCT content FROM content WHERE regexp_full_match(content, '[\\p{{L}}\\p{{N}}]')),
-h AS (SELECT *, CAST('0x' || substring(md5('42|' || font_family_dir_name), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM kept)
-SELECT CASE WHEN u < 0.8 THEN 'train' ELSE 'ood_test' END AS split, count(*) AS rows, count(DISTINCT identifier) AS fonts, CAST(sum(length('Text content: ' || content || chr(10))) AS BIGINT) AS chars FROM h, c GROUP BY 1""")
-def dataset_build(spark, d):
-    """Split fonts × single-character contents -> examples -> counts; splits by family hash, so the product needs no shuffle before it."""
-    contents = table(spark, d, "content").filter(F.col("content").rlike(r"^[\p{L}\p{N}]$")).select("content").distinct()
-    fonts = splits.hashed(_funnel(spark, d), "font_family_dir_name", {"train": 0.8, "ood_test": 0.2})
-    rows = joins.products(fonts, contents)
-    record = templates.sft_record(templates.instruction(F.array().cast("array<string>"), F.col("content")), F.col("svg"), [F.col("identifier"), F.col("source")], F.col("content"))
-    built = rows.select("split", "identifier", record.alias("r"))
-    return built.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("identifier").alias("fonts"), F.sum(F.length("r.instruction")).alias("chars"))
+_RECORD = "'Text content: ' || array_to_string(string_split(content, ''), '<|SEP|>') || chr(10)"
 
 
 @query(f"""WITH {_STAGES}, c AS (SELECT DISTINCT content FROM content WHERE content IS NOT NULL),
-h AS (SELECT *, CAST('0x' || substring(md5('42|' || font_family_dir_name), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM kept)
-SELECT CASE WHEN u < 0.8 THEN 'train' ELSE 'ood_test' END AS split, count(*) AS rows, count(DISTINCT identifier) AS fonts, CAST(sum(length('Text content: ' || array_to_string(string_split(content, ''), '<|SEP|>') || chr(10))) AS BIGINT) AS chars FROM h, c GROUP BY 1""")
-def dataset_build_whole(spark, d):
-    """The dataset of all non-null contents, words and marks too; ``dataset_build`` has the single characters that its SQL is over.
-    The fonts that passed are kept as a table; each content goes to both splits, so the product is an equal join."""
+h AS (SELECT *, CAST('0x' || substring(md5('42|' || font_family_dir_name), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM kept),
+r AS (SELECT u, identifier, content, source, svg, {_RECORD} AS ask, CAST($system$ AS VARCHAR) AS sys FROM h, c),
+j AS (SELECT *, '{{"identifier":' || to_json(identifier) || CASE WHEN source IS NULL THEN '' ELSE ',"source":' || to_json(source) END || ',"sft_instruction":' || to_json(ask) || ',"sft_system":' || to_json(sys) || ',"sft_output":' || to_json(svg) || ',"content_str":' || to_json(content) || '}}' AS meta FROM r)
+SELECT CASE WHEN u < 0.8 THEN 'train' ELSE 'ood_test' END AS split, count(*) AS rows, count(DISTINCT identifier) AS fonts, CAST(sum(length(ask)) AS BIGINT) AS chars,
+bit_xor(CAST('0x' || substring(md5(ask || sys || svg || meta), 1, 15) AS BIGINT)) AS digest FROM j GROUP BY 1""".replace("$system$", "'" + templates.WORDING.system.replace("'", "''") + "'"))
+def dataset_build(spark, d):
+    """Split fonts with all non-null contents -> whole records -> counts and a digest of every record. The fonts that passed are kept as a
+    table; each content goes to both splits, so the product is an equal join."""
     contents = table(spark, d, "content").filter("content IS NOT NULL").select("content").distinct()
     fonts = store.written(splits.hashed(_funnel(spark, d), "font_family_dir_name", {"train": 0.8, "ood_test": 0.2}).select("split", "identifier", "source", "svg"), "fonts")
     rows = fonts.join(contents.withColumn("split", F.explode(F.array(F.lit("train"), F.lit("ood_test")))), "split")
     record = templates.sft_record(templates.instruction(F.array().cast("array<string>"), F.col("content")), F.col("svg"), [F.col("identifier"), F.col("source")], F.col("content"))
     built = rows.select("split", "identifier", record.alias("r"))
-    return built.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("identifier").alias("fonts"), F.sum(F.length("r.instruction")).alias("chars"))
+    digest = F.conv(F.substring(F.md5(F.concat("r.instruction", "r.system", "r.output", "r.metadata")), 1, 15), 16, 10).cast("bigint")
+    return built.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("identifier").alias("fonts"), F.sum(F.length("r.instruction")).alias("chars"), F.bit_xor(digest).alias("digest"))
 
 
 @query(r"""WITH t AS (SELECT CASE WHEN json_valid(metadata) THEN metadata->>'$.task' END AS task, predict, label, latency_sec, usage FROM prediction),

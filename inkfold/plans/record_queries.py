@@ -106,28 +106,27 @@ def overlay_mismatches(spark, d):
     return _overlay(spark, d)[1]
 
 
-@query("SELECT doc_id, lang, source FROM documents")
+@query("SELECT o.o_orderkey, o.o_custkey, count(l.l_orderkey) AS items FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2")
 def unique_key_alignment(spark, d):
-    docs = table(spark, d, "documents")
-    return joins.aligned(docs.select("doc_id", "lang"), docs.select("doc_id", "source"), "doc_id")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1).alias("one"))
+    counted = orders.select("o_orderkey", F.lit(0).alias("one")).unionByName(items).groupBy("o_orderkey").agg(F.sum("one").alias("items"))
+    return joins.aligned(orders, counted, "o_orderkey")
 
 
-@query("""WITH p AS (SELECT s.source, c.content, substring(sha256(s.source || ':' || c.content), 1, 20) AS k FROM (SELECT DISTINCT source FROM font_meta WHERE source IS NOT NULL) s, (SELECT DISTINCT content FROM content WHERE content IS NOT NULL) c)
-SELECT source, count(*) AS pairs, count(DISTINCT k) AS keys FROM p GROUP BY source""")
+@query("SELECT f.identifier, p.svg_len FROM (SELECT DISTINCT identifier, font_family_dir_name, filename FROM font_meta) f JOIN pangram p ON p.font_family_dir_name = f.font_family_dir_name AND p.filename = f.filename")
 def glyph_lookup_join(spark, d):
-    sources = table(spark, d, "font_meta").filter("source IS NOT NULL").select("source").distinct()
-    contents = table(spark, d, "content").filter("content IS NOT NULL").select("content").distinct()
-    keyed = joins.products(sources, contents).withColumn("k", hashing.word_key(F.col("source"), F.col("content")))
-    glyphs = keyed.select(F.col("k").alias("k"), F.col("content").alias("glyph")).distinct()
-    return joins.looked_up(keyed, glyphs, "k").groupBy("source").agg(F.count("*").alias("pairs"), F.countDistinct("k").alias("keys"))
+    """Fonts looked up among the renderings by the hash of their names; fonts without one are dropped, renderings of unknown fonts not used."""
+    key = hashing.word_key(F.col("font_family_dir_name"), F.col("filename")).alias("k")
+    fonts = table(spark, d, "font_meta").select("identifier", key).distinct()
+    return joins.looked_up(fonts, table(spark, d, "pangram").select(key, "svg_len"), "k").select("identifier", "svg_len")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS k WHERE false")
+@query("SELECT identifier AS k FROM font_meta GROUP BY 1 HAVING count(DISTINCT array_to_string(tags, ',')) > 1")
 def glyph_key_conflicts(spark, d):
-    sources = table(spark, d, "font_meta").filter("source IS NOT NULL").select("source").distinct()
-    contents = table(spark, d, "content").filter("content IS NOT NULL").select("content").distinct()
-    keyed = joins.products(sources, contents).select(hashing.word_key(F.col("source"), F.col("content")).alias("k"), F.concat_ws(":", "source", "content").alias("v"))
-    return dedup.conflicting_keys(keyed, "k", "v")
+    """Fonts that were delivered with different lists of tags under one identifier."""
+    fonts = table(spark, d, "font_meta").select(F.col("identifier").alias("k"), F.array_join("tags", ",").alias("v"))
+    return dedup.conflicting_keys(fonts, "k", "v")
 
 
 _PATHS = r"array_to_string(regexp_extract_all(output, '(?is)<path[^>]*?\sd=\"([^\"]*)\"', 1), chr(10))".replace('\\"', '"')
@@ -160,10 +159,15 @@ def ocr_filter_join(spark, d):
     return filters.true_only(kept, "score_given")
 
 
-@query("""WITH n AS (SELECT doc_id, lang, source, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_idx FROM documents) SELECT row_idx, doc_id, lang, source FROM n""")
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents), b AS (SELECT doc_id, lang, row_number() OVER (ORDER BY md5('7|' || doc_id), doc_id) AS i FROM documents), c AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS i FROM orders)
+SELECT CAST(i - 1 AS BIGINT) AS row_idx, a.doc_id, b.doc_id AS other, b.lang, c.o_orderkey FROM a JOIN b USING (i) JOIN c USING (i)""")
 def positional_zip_join(spark, d):
-    docs = windows.numbered(table(spark, d, "documents").select("doc_id", "lang", "source"), [F.col("doc_id")])
-    return joins.zipped(docs.select("row_idx", "doc_id"), docs.select("row_idx", "lang"), docs.select("row_idx", "source"))
+    """Documents beside the same in another order and beside as many orders, by row number."""
+    docs = table(spark, d, "documents")
+    plain = windows.numbered(docs.select("doc_id"), [F.col("doc_id")])
+    mixed = windows.numbered(docs.select(F.col("doc_id").alias("other"), "lang"), [sampling.chance(7, F.col("other")), F.col("other")])
+    orders = windows.numbered(table(spark, d, "orders").select("o_orderkey"), [F.desc("o_orderkey")])
+    return joins.zipped(plain, mixed, orders.join(plain.select("row_idx"), "row_idx", "left_semi"))
 
 
 @query("""WITH n AS (SELECT md5(text) AS h, row_number() OVER (ORDER BY doc_id) AS k FROM documents) SELECT count(*) AS differing FROM n a JOIN n b ON b.k = a.k + 1 WHERE a.h IS DISTINCT FROM b.h""")
@@ -236,14 +240,19 @@ def per_group_head(spark, d):
     return windows.head_of_each(rows, "font_family_dir_name", [F.desc("rendered_at"), F.col("filename"), F.asc_nulls_first("svg_len")], 5).drop("rendered_at")
 
 
-@query("SELECT l_orderkey, max(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, max(l_linenumber) AS l_linenumber, arg_max(l_partkey, l_linenumber) AS l_partkey, arg_max(l_quantity, l_linenumber) AS l_quantity FROM lineitem WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1")
 def last_step(spark, d):
-    return filters.last_step(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber")
+    """The whole row of the highest step; steps that come twice in an order are left out, as any of their rows could be the last."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    once = rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n = 1").drop("n")
+    return filters.last_step(rows.join(once, ["l_orderkey", "l_linenumber"], "left_semi"), ["l_orderkey"], "l_linenumber")
 
 
-@query("SELECT l_orderkey, max(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1")
+@query("SELECT sample_id, max(written_at) AS written_at, md5(arg_max(coalesce(predict, ''), written_at)) AS answer FROM prediction GROUP BY 1")
 def last_duplicate_wins(spark, d):
-    return windows.last_by(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
+    """Of answers written twice the last one."""
+    last = windows.last_by(table(spark, d, "prediction").select("sample_id", "written_at", F.coalesce("predict", F.lit("")).alias("predict")), "sample_id", "written_at")
+    return last.select("sample_id", "written_at", F.md5("predict").alias("answer"))
 
 
 @query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100")
@@ -299,8 +308,17 @@ def leak_free_split(spark, d):
     return splits.with_splits(fonts.select("identifier", "font_family_dir_name"), drawn, "font_family_dir_name").select("identifier", "split")
 
 
-@query("SELECT unnest(['train_and_ood', 'ind_not_train', 'dev_not_train']) AS rule, CAST(0 AS BIGINT) AS n")
+@query("""WITH f AS (SELECT (CASE WHEN json_valid(metadata) THEN metadata END)->>'$.font_family_dir_name' AS k, max(CAST(split = 'train' AS INT)) AS t, max(CAST(split = 'ood_test' AS INT)) AS o, max(CAST(split = 'ind_test' AS INT)) AS i, max(CAST(split = 'dev' AS INT)) AS v FROM sft GROUP BY 1)
+SELECT 'train_and_ood' AS rule, count(*) FILTER (WHERE t = 1 AND o = 1) AS n FROM f UNION ALL SELECT 'ind_not_train', count(*) FILTER (WHERE i = 1 AND t = 0) FROM f UNION ALL SELECT 'dev_not_train', count(*) FILTER (WHERE v = 1 AND t = 0) FROM f""")
 def split_overlap(spark, d):
+    """The rules over the splits as they were delivered, in which families do overlap."""
+    delivered = table(spark, d, "sft").filter(F.col("split").isNotNull()).select(F.get_json_object("metadata", "$.font_family_dir_name").alias("k"), "split")
+    return splits.violations(delivered, "k")
+
+
+@query("SELECT unnest(['train_and_ood', 'ind_not_train', 'dev_not_train']) AS rule, CAST(0 AS BIGINT) AS n")
+def drawn_split_overlap(spark, d):
+    """The rules over splits that were drawn: none is broken."""
     return splits.violations(_splits(spark, d)[1], "font_family_dir_name")
 
 

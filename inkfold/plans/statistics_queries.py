@@ -31,15 +31,9 @@ def frequency_summary(spark, d):
     return aggregates.frequency_summary(_frequency(spark, d))
 
 
-@query(_COUNTED + "SELECT field, string_agg(value || '=' || n, ',' ORDER BY n DESC, value) AS listed FROM f WHERE field <> 'tags' GROUP BY 1")
-def sorted_frequency(spark, d):
-    listed = aggregates.sorted_values(_frequency(spark, d).filter("field <> 'tags'"))
-    return listed.select("field", F.array_join(F.transform("values", lambda v: F.concat(v["value"], F.lit("="), v["n"].cast("string"))), ",").alias("listed"))
-
-
 @query(_COUNTED + "SELECT field, CAST(row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS BIGINT) AS rank, value, n FROM f")
-def sorted_frequency_whole(spark, d):
-    """The sorted listing of all fields, tags too, one row a value; ``sorted_frequency`` has the fields that its SQL is over."""
+def sorted_frequency(spark, d):
+    """The values of all fields by frequency, one row a value."""
     order = Window.partitionBy("field").orderBy(F.desc("n"), "value")
     return _frequency(spark, d).select("field", F.row_number().over(order).cast("bigint").alias("rank"), "value", "n")
 

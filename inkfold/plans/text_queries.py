@@ -108,16 +108,9 @@ def image_placeholders(spark, d):
     return fonts.select("identifier", templates.image_instruction(F.lit("Text content: x"), F.col("spacings")).alias("instruction"))
 
 
-@query(r"SELECT doc_id, CAST(position AS INTEGER) AS position, piece FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]')) AS piece, generate_subscripts(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]'), 1) - 1 AS position FROM documents WHERE lang = 'en' AND doc_type = 'tags')")
+@query(r"SELECT doc_id, CAST(position AS INTEGER) AS position, piece FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]')) AS piece, generate_subscripts(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]'), 1) - 1 AS position FROM documents)")
 def token_listing(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en' AND doc_type = 'tags'")
-    return docs.select("doc_id", F.posexplode(tokenize.pieces(F.col("text"))).alias("position", "piece"))
-
-
-@query()
-def token_listing_whole(spark, d):
-    """The pieces of all documents, whatever their language and type; ``token_listing`` has those that its SQL is over.
-    Null, empty and blank texts have no piece."""
+    """The pieces of all documents. Null, empty and blank texts have none."""
     return table(spark, d, "documents").select("doc_id", F.posexplode(tokenize.pieces(F.col("text"))).alias("position", "piece"))
 
 
@@ -159,4 +152,4 @@ def svg_encode_decode(spark, d):
 
 @query()
 def arc_length_sampling(spark, d):
-    return spread(table(spark, d, "pangram").select("filename", "svg")).select("filename", F.size(svg.points_column(F.col("svg"), 64)).alias("points"))
+    return spread(table(spark, d, "pangram").select("filename", "svg")).select("filename", svg.points_column(F.col("svg"), 64).alias("points"))
