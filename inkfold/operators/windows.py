@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfold import store
+
+
+def _ranged(rows: DataFrame, order: list[Column], extra: dict[str, Column], name: str) -> DataFrame:
+    """Rows parted by ranges of the order and sorted within, stored with ``_part`` and ``extra``: bounds of ranges are drawn anew each
+    time a plan runs, so what is joined by part must come from one run."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return store.written(placed.withColumns({"_part": F.spark_partition_id()} | extra), name)
+
+
+def _shifted(stored: DataFrame, amount: Column, inside: Column, out: str) -> DataFrame:
+    """``inside`` plus the sums of ``amount`` of all parts before a row's."""
+    sums = stored.groupBy(F.col("_part").alias("_p")).agg(F.sum(amount).alias("_n"))
+    starts = sums.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_start"))  # one row a part
+    return stored.join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn(out, F.col("_start") + inside).drop("_part", "_p", "_in", "_start")
+
 
 def numbered(rows: DataFrame, order: list[Column], out: str = "row_idx") -> DataFrame:
     """Rows numbered from 0 in a total order, without one task seeing all rows.
 
-    Rows are range-parted by the order, counted a part, and numbered within their part, shifted by the parts before. ``order``
+    Rows are range-parted by the order and stored, counted a part, and numbered within their part, shifted by the parts before. ``order``
     should be unique; rows equal in it are numbered in any order.
     """
-    placed = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order)
-    placed = placed.withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = sizes.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # one row a part
-    return placed.join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn(out, F.col("_start") + F.col("_in")).drop("_part", "_p", "_in", "_start")
+    inside = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
+    return _shifted(_ranged(rows, order, {"_in": inside}, "numbered"), F.lit(1), F.col("_in"), out)
 
 
 #: Rows up to which the first ones are found by a top-n of each part; more are taken by their number.
@@ -35,11 +48,9 @@ def running(rows: DataFrame, order: list[Column], amount: Column, out: str = "up
 
     Range-parted like ``numbered``: sums within a part, shifted by those of the parts before. ``order`` should be unique.
     """
-    placed = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sums = placed.groupBy("_part").agg(F.sum(amount).alias("_n"))
-    starts = sums.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # one row a part
+    stored = _ranged(rows, order, {}, "running")
     inside = F.sum(amount).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return placed.withColumn("_in", inside).join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn(out, F.col("_start") + F.col("_in")).drop("_part", "_p", "_in", "_start")
+    return _shifted(stored.withColumn("_in", inside), amount, F.col("_in"), out)
 
 
 def chunked(rows: DataFrame, index: str, size: int, out: str = "chunk") -> DataFrame:

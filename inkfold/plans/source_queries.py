@@ -51,8 +51,8 @@ def lenient_lines_round_trip(spark, d):
 def tag_files_round_trip(spark, d):
     """Tag rows and their dimension as CSV without a header."""
     rows, dim = store.new_path(spark, "tags"), store.new_path(spark, "dim")
-    table(spark, d, "family_tag").write.csv(rows)
-    table(spark, d, "tag_dim").write.csv(dim)
+    table(spark, d, "family_tag").write.options(**tables.UNTRIMMED).csv(rows)
+    table(spark, d, "tag_dim").write.options(**tables.UNTRIMMED).csv(dim)
     return tables.family_tags(spark, rows).join(tables.tag_dimension(spark, dim).distinct(), "raw_tags", "left").select("font_family", "raw_tags", "tag_weight", "low", "high", "tags")
 
 
@@ -64,7 +64,7 @@ def market_files_round_trip(spark, d):
     title = F.concat("p_name", F.lit(' "'), "p_brand", F.lit('", x'))
     files, zips = store.new_path(spark, "files"), store.new_path(spark, "zips")
     item = F.col("p_partkey").cast("string").alias("ITEM_ID")
-    save = lambda frame, path: frame.write.option("escape", '"').csv(path, header=True)
+    save = lambda frame, path: frame.write.options(escape='"', **tables.UNTRIMMED).csv(path, header=True)
     save(part.select(item, F.col("p_name").alias("PATH_IN_ZIP"), F.lit("ttf").alias("FILE_TYPE"), F.md5("p_name").alias("MD5")), files)
     save(part.select(item, title.alias("TITLE"), F.col("p_brand").alias("BRAND"), listed.alias("CATEGORY"), listed.alias("TAGS"), listed.alias("SPACINGS")), zips)
     read_files, read_zips = tables.market_tables(spark, files, zips)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from inkfold import schemas
 
 
+#: CSV is written with the blanks of its values; Spark takes them off otherwise.
+UNTRIMMED = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def headerless(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").csv(path, header=False)
 
@@ -49,7 +53,7 @@ def write_split_index(splits: DataFrame, folder: str, split: str = "split") -> l
     """A TSV folder for each split that has rows; says which. The number of splits is small and fixed."""
     names = sorted(r[split] for r in splits.select(split).distinct().collect())
     for name in names:
-        splits.filter(F.col(split) == name).drop(split).write.mode("overwrite").option("sep", "\t").csv(f"{folder}/{name}.tsv", header=True)
+        splits.filter(F.col(split) == name).drop(split).write.mode("overwrite").options(sep="\t", **UNTRIMMED).csv(f"{folder}/{name}.tsv", header=True)
     return names
 
 

@@ -249,3 +249,20 @@ def test_metric_means_skip_what_is_not_finite(spark):
     assert (out.rows, out.psnr_rows, out.l2_rows, out.l2) == (3, 1, 2, 0.5)
     with pytest.raises(ValueError):
         registry.register("l2", pixels.mean_square, "a", "b")
+
+
+def test_numbers_and_sums_over_many_parts(spark):
+    """Rows wide enough, and parts enough, that ranges drawn twice would differ."""
+    rows = spark.range(30_000, numPartitions=7).select(F.md5(F.col("id").cast("string")).alias("k"), F.lit("x" * 50).alias("pad"), (F.col("id") % 5).alias("n"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        got = sorted((r.row_idx, r.k) for r in windows.numbered(rows, [F.col("k")]).collect())
+        assert [i for i, _ in got] == list(range(30_000)) and [k for _, k in got] == sorted(k for _, k in got)
+        assert windows.numbered(rows, [F.col("k")]).select("row_idx").distinct().count() == 30_000
+        summed = sorted((r.k, r.n, r.upto) for r in windows.running(rows, [F.col("k")], F.col("n")).collect())
+        total = 0
+        for _, n, upto in summed:
+            total += n
+            assert upto == total
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
