@@ -145,25 +145,29 @@ class FamilySplits:
         if self.state.has(name):
             return
         kind = dict(rows.dtypes)[family]
+        first = not self.state.number()
         kept = store.written(rows.filter(F.col(family).isNotNull()).select(F.col(family).alias("node"), F.col(filename).alias("f")).distinct(), "rows")
         tied = store.written(self._bucketed(ties(kept, "node", "f").filter("key IS NOT NULL"), "key"), "ties")
         weights = kept.groupBy("node").agg(F.count("*").alias("weight"))
-        hubs = self._looked_up("keys", tied.select("key", "bucket").distinct(), "key", f"node {kind}, key string").select("node", "key")
-        known = store.written(tied.select("node", "key").unionByName(hubs), "known")  # a key's smallest earlier node stands for all of its nodes
-        nodes = store.written(self._bucketed(known.select("node").union(weights.select("node")).distinct(), "node"), "nodes")
         merges = self.state.read("merges")
-        was = self._looked_up("members", nodes, "node", f"node {kind}, component {kind}")
-        if merges is not None:
-            was = was.join(merges.select(F.col("component").alias("c"), F.col("root").alias("r")), F.col("component") == F.col("c"), "left").select("node", F.coalesce("r", "component").alias("component"))
-        old = nodes.join(was.select("node", F.col("component").alias("had")), "node", "left").select("node", F.coalesce("had", "node").alias("root"), F.col("had").isNull().alias("fresh"))
-        old = store.written(old.join(weights, "node", "left").select("node", "root", "fresh", F.coalesce("weight", F.lit(0)).alias("weight")), "old")
+        if first:
+            known, old = tied.select("node", "key"), weights.select("node", F.col("node").alias("root"), F.lit(True).alias("fresh"), "weight")
+        else:
+            hubs = self._looked_up("keys", tied.select("key", "bucket").distinct(), "key", f"node {kind}, key string").select("node", "key")
+            known = store.written(tied.select("node", "key").unionByName(hubs), "known")  # a key's smallest earlier node stands for all of its nodes
+            nodes = store.written(self._bucketed(known.select("node").union(weights.select("node")).distinct(), "node"), "nodes")
+            was = self._looked_up("members", nodes, "node", f"node {kind}, component {kind}")
+            was = was.join(merges.select(F.col("component").alias("c"), F.col("root").alias("r")), F.col("component") == F.col("c"), "left").select("node", F.coalesce("r", "component").alias("had"))
+            old = nodes.join(was, "node", "left").join(weights, "node", "left").select("node", F.coalesce("had", "node").alias("root"), F.col("had").isNull().alias("fresh"), F.coalesce("weight", F.lit(0)).alias("weight"))
+        old = store.written(old, "old")
         root = lambda end, r: old.select(F.col("node").alias(end), F.col("root").alias(r))
         edges = _hubs(known).join(root("a", "ra"), "a").join(root("b", "rb"), "b")
         moved = roots_of(edges.filter("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct())
         moved = store.written(moved.select(F.col("node").alias("from"), F.col("root").alias("to")), "moved")
         final = lambda some, c: some.join(moved, F.col(c) == F.col("from"), "left").withColumn("to", F.coalesce("to", c)).drop("from")
-        roots = store.written(self._bucketed(old.select("root").distinct(), "root"), "roots")
-        parts = store.written(self._looked_up("components", roots, "root", f"root {kind}, split string, weight bigint"), "parts")
+        nothing = self.spark.createDataFrame([], f"root {kind}, split string, weight bigint")
+        roots = None if first else store.written(self._bucketed(old.select("root").distinct(), "root"), "roots")
+        parts = nothing if first else store.written(self._looked_up("components", roots, "root", f"root {kind}, split string, weight bigint"), "parts")
         coming = old.groupBy("root").agg(F.sum("weight").alias("weight")).select("root", F.lit(None).cast("string").alias("split"), "weight")
         now = final(parts.select("root", "split", "weight").unionByName(coming), "root").groupBy(F.col("to").alias("root")).agg(F.min("split").alias("lo"), F.max("split").alias("hi"), F.sum("weight").alias("weight"))
         now = store.written(now, "now")
@@ -174,9 +178,9 @@ class FamilySplits:
         added = fill_deficits(now.filter("lo IS NULL").select("root", "weight"), held, self.shares)
         placed = stay.unionByName(now.join(added, "root").select("root", "split", "weight"))
         placed = store.written(self._bucketed(placed, "root"), "placed")
-        hit = tuple(sorted({*touched(roots), *touched(placed)}))
-        others = self.state.read("components", hit)
-        if others is not None:
+        hit = tuple(range(self.buckets)) if first else tuple(sorted({*touched(roots), *touched(placed)}))
+        if not first:
+            others = self.state.read("components", hit)
             placed = placed.unionByName(self._bucketed(filtered_by(others, roots.select("root"), "root", present=False), "root"))
         counted = store.written(held.union(now.join(added, "root").select("split", "weight")).groupBy("split").agg(F.sum("weight").alias("weight")), "totals")
         whole = lambda frame: store.Change(frame.withColumn("bucket", F.lit(0)), instead=(0,))
@@ -186,13 +190,13 @@ class FamilySplits:
         if merges is not None:
             gone = final(merges, "root").select("component", F.col("to").alias("root")).unionByName(gone)
         changes["merges"] = whole(gone)
-        keys = tied.select("key", "bucket").distinct()
-        changes["keys"] = store.Change(self._keys(known, keys), instead=touched(keys))
+        hit = tuple(range(self.buckets)) if first else touched(tied)
+        changes["keys"] = store.Change(self._keys(known, hit), instead=hit)
         self.state.commit(changes, name)
 
-    def _keys(self, known: DataFrame, keys: DataFrame) -> DataFrame:
+    def _keys(self, known: DataFrame, buckets: tuple[int, ...]) -> DataFrame:
         """All keys of the parts that have some of the batch's, each with its smallest family."""
-        held = self.state.read("keys", touched(keys))
+        held = self.state.read("keys", buckets)
         every = known.select("node", "key") if held is None else known.select("node", "key").unionByName(held.select("node", "key"))
         return self._bucketed(every.groupBy("key").agg(F.min("node").alias("node")).select("node", "key"), "key")
 
