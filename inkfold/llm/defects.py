@@ -2,140 +2,36 @@
 
 What can be told from counts (blank answers, paths that are missing or cut) is found in Spark's own expressions; only
 answers that hold words go on to alignment, and of those only the words. Prompt and answer tokens are aligned by
-shingle containment and longest common subsequence to find copies, refusal templates by longest common
-subsequence in windows to find refusals; sentences are compared with the prompt's language; prose must come to an end.
+shingle containment and longest common subsequence to find copies, refusal templates of several languages by weighted longest
+common subsequence with gaps to find refusals (``refusals``); the language of sentences, by frequent words or else by character pairs and
+triples, is compared with the prompt's; prose must come to an end.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.llm.overlap import wanted_text
+from inkfold.llm.refusals import refuses
 
 SHINGLE = 3
 CONTAINED = 0.6
 COMMON = 0.8
-ALIGNED = 0.85
+#: Least words for a language to be told by their letters, and by how much it must be before the next.
+GRAM_WORDS, MARGIN = 5, 1.0
 
 # Words that stand for no answer.
 NOTHING = frozenset("null none nil nan n/a na undefined empty no answer no output no response".split()) - {"no", "answer", "output", "response"} | {"no answer", "no output", "no response"}
 # Words put before a repeated prompt.
 ROLES = re.compile(r"^\W*(?:q|question|user|human|prompt|instruction|input|request|you said|you asked|you wrote)\s*:\s*", re.I)
-# Refusal templates, contractions written out.
-REFUSALS = tuple(
-    tuple(line.split())
-    for line in """
-i cannot
-i can not
-i could not
-i may not
-i will not
-i must not
-i am unable to
-i am not able to
-i am not allowed to
-i am not permitted to
-i am not capable of
-i am not in a position to
-i am not comfortable
-i will not be able to
-i will have to decline
-i would not be able to
-i would rather not
-i would prefer not to
-i prefer not to
-i do not have the means to
-i do not have the ability to
-i do not feel comfortable
-i lack the
-i must decline
-i have to decline
-i need to decline
-i decline to
-i respectfully decline
-i have to pass
-i must refuse
-i have to refuse
-i refuse to
-i do not do
-i do not draw
-i do not provide
-we are unable to
-we cannot help
-as a language model
-as an ai
-as an assistant i
-i am just a
-i am only a
-i am sorry but
-i am afraid
-i apologize but
-unfortunately i
-is not something i
-are not something i
-nothing i can take on
-not something i can
-outside of what i can
-beyond what i can
-beyond my abilities
-beyond my capabilities
-against my guidelines
-against my policy
-against my rules
-my instructions do not allow me
-my guidelines do not allow
-my policy does not allow
-does not allow me to
-not allow me to
-no answer will be given
-no answer can be given
-not be appropriate for me
-not appropriate for me to
-request declined
-request denied
-request refused
-this request is declined
-the task is not supported here
-is not supported here
-cannot comply with
-cannot assist with
-cannot help with that
-cannot fulfill
-cannot be fulfilled
-unable to comply
-unable to assist
-unable to help with
-unable to fulfill
-please consult a professional
-please ask a type designer
-please ask someone else
-not possible for me
-i am going to pass
-i am going to skip
-i am going to decline
-i am not going to
-i will pass on
-i will skip this
-i will sit this
-i choose not to
-i would rather pass
-count me out
-""".strip().splitlines()
-)
-# Words of the templates that may be missing or changed; all others decide.
-FILLING = frozenset("am are is be been being a an the to of for on in at will would have that this do does by and so".split())
-# Refusals in other languages.
-REFUSALS_ELSEWHERE = re.compile(
-    r"ich kann\b.{0,60}\bnicht\b|leider (?:kann|bin|darf) ich|tut mir leid|muss ich ablehnen|je ne (?:peux|suis) pas|je dois (?:refuser|décliner)|désolée?\b.{0,40}\bpas\b|no puedo|lo siento|debo rechazar"
-    r"|nie mogę|nie jestem w stanie|przykro mi|muszę odmówić|non posso|mi dispiace|não posso|sinto muito|я не могу|не могу (?:помочь|выполнить|нарисовать)|извините|к сожалению|вынужден отказать"
-    r"|できません|いたしかねます|申し訳|お断り|无法|抱歉|不能(?:提供|完成|回答)|拒绝|không thể|xin lỗi|δεν μπορώ|λυπάμαι",
-    re.I,
-)
 # Frequent words of languages in Latin letters.
 FREQUENT = {
     "en": "the of and to in is it for that with as was on are be this by at from but not have has had or an which their its they them his her you your we our will would can cannot could should may than then there here when where what who how all any some more most other into over under after before about these those so if no yes do does did been being such only also even just very one two per out up off between each follow follows letters answer text reads style wanted weight draw here sure",
@@ -158,7 +54,6 @@ _OWN = {c: lang for lang, letters in OWN_LETTERS.items() for c in letters}
 _QUOTED = re.compile(r"""„[^“”"]*[“”"]|“[^”]*”|«[^»]*»|「[^」]*」|"[^"]*"|‘[^’]*’""")
 _SCRIPTS = (("ja", re.compile(r"[぀-ヿｦ-ﾟ]"), 1), ("ko", re.compile(r"[가-힣]"), 2), ("zh", re.compile(r"[㐀-鿿]"), 2), ("ru", re.compile(r"[Ѐ-ӿ]"), 3), ("el", re.compile(r"[Ͱ-Ͽ]"), 3), ("ar", re.compile(r"[؀-ۿ]"), 3), ("he", re.compile(r"[֐-׿]"), 3), ("th", re.compile(r"[฀-๿]"), 3), ("hi", re.compile(r"[ऀ-ॿ]"), 3))
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_SHORT = (("can't", "cannot"), ("won't", "will not"), ("shan't", "shall not"), ("n't", " not"), ("'m", " am"), ("'re", " are"), ("'d", " would"), ("'ll", " will"), ("'ve", " have"))
 _DANGLING = frozenset("and or the a an of in on to for with by at from as that which is are was than but yet so its their und oder der die das et ou le la les de du y o el los i w na z".split())
 _ENDS = ".!?…。！？｡"
 
@@ -196,31 +91,6 @@ def copies(answer: str, prompt: str) -> bool:
     return lcs(said, asked) / len(said) >= COMMON
 
 
-_BY_FIRST: dict[str, list[tuple[str, ...]]] = {}
-for _t in REFUSALS:
-    _BY_FIRST.setdefault(_t[0], []).append(_t)
-
-
-def refuses(answer: str) -> bool:
-    """Whether a refusal template aligns with some window of the answer, or one of another language is found.
-
-    One word in seven may be missing or changed, and in templates of four words or more one that isn't decisive (``FILLING``),
-    with up to two other words in between."""
-    text = answer.casefold().replace("’", "'")
-    for short, long in _SHORT:
-        text = text.replace(short, long)
-    said = _tokens(text)
-    for k, token in enumerate(said):
-        for template in _BY_FIRST.get(token, ()):
-            window = said[k : k + len(template) + (len(template) > 3)]
-            if lcs(list(template), window) >= ALIGNED * len(template):
-                return True
-            window = said[k : k + len(template) + 2]
-            if len(template) > 3 and lcs(list(template), window) >= len(template) - 1 and lcs(decisive := [w for w in template if w not in FILLING], window) == len(decisive):
-                return True
-    return bool(REFUSALS_ELSEWHERE.search(answer))
-
-
 def language(text: str) -> str | None:
     """The language of a text, None if it can't be told. Two words or signs of it at least must speak for it."""
     for lang, letters, least in _SCRIPTS:
@@ -238,7 +108,32 @@ def language(text: str) -> str | None:
     best = max(score, key=lambda x: (score[x], x == "en"))
     if best != "en" and score[best] <= score["en"]:
         best = "en"
-    return best if score[best] >= 2 else None
+    return best if score[best] >= 2 else by_grams(words)
+
+
+@cache
+def _profiles() -> dict[str, dict[str, float]]:
+    """The log frequencies of each language's character pairs and triples, of its frequent words with their ends."""
+    out = {}
+    for lang, text in FREQUENT.items():
+        grams = Counter(g for w in text.split() for g in _grams(w))
+        total = sum(grams.values()) + 20_000
+        out[lang] = {g: math.log((n + 1) / total) for g, n in grams.items()} | {"": math.log(1 / total)}
+    return out
+
+
+def _grams(word: str) -> list[str]:
+    framed = f" {word} "
+    return [framed[k : k + n] for n in (2, 3) for k in range(len(framed) - n + 1)]
+
+
+def by_grams(words: list[str]) -> str | None:
+    """The language whose character pairs and triples the words are most like, by ``MARGIN`` a word at least before the next; None for few words."""
+    if len(words) < GRAM_WORDS:
+        return None
+    score = {lang: sum(profile.get(g, profile[""]) for w in words for g in _grams(w)) / len(words) for lang, profile in _profiles().items()}
+    first, second = sorted(score, key=score.__getitem__)[:-3:-1]
+    return first if score[first] - score[second] >= MARGIN else None
 
 
 def foreign(answer: str, prompt: str) -> bool:

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from inkfold.llm import defects
+from inkfold.llm import defects, refusals
 
 SCHEMA = "sample_id string, instruction string, predict string, label string, paths int, words string"
 DRAW = "Style wanted: sans-serif\n\nText to draw: a<|SEP|>b\n"
@@ -100,3 +100,113 @@ def test_language(text, lang):
 def test_alignment_decides_refusals(prompt, answer, label, want):
     asked = 2 if prompt == DRAW else None
     assert defects.judge(prompt, answer, 0, asked, False, label) == want
+
+
+# Wordings that no template spells out, in fifteen languages.
+DECLINING = """
+Sorry, I can't help with that.
+I'm afraid I am not able to create these outlines.
+That is something I have decided against answering.
+I have decided not to draw this one.
+We're unable to process the image you sent.
+I must respectfully decline this drawing request.
+This falls outside of what I can do.
+My guidelines do not permit me to produce this.
+It isn't possible for me to view pictures.
+Regrettably, your request cannot be completed.
+I'd prefer not to describe fonts.
+I'm only a text model, so pictures are beyond me.
+Drawing is beyond my capabilities.
+Please contact a professional illustrator instead.
+No drawing can be provided.
+Ich kann dir dabei leider nicht helfen.
+Es tut mir leid, das geht nicht.
+Das muss ich leider ablehnen.
+Je ne peux pas dessiner ces lettres.
+Désolé, ce n'est pas possible.
+No puedo generar ese código.
+Lo siento, no es posible.
+Non posso disegnare queste lettere.
+Mi dispiace, ma non lo faccio.
+Não posso ajudar com isso.
+Nie mogę narysować tych liter.
+Niestety nie jestem w stanie tego opisać.
+Ik kan dit helaas niet tekenen.
+Jag kan tyvärr inte rita detta.
+Bohužel vám s tím nemohu pomoci.
+Üzgünüm, bunu yapamam.
+Xin lỗi, tôi không thể vẽ chữ này.
+Я не могу нарисовать эти буквы.
+К сожалению, я не могу помочь.
+Δεν μπορώ να σχεδιάσω αυτά τα γράμματα.
+申し訳ありませんが、描けません。
+この文字を描くことはできません。
+抱歉,我无法绘制这些字母。
+죄송합니다. 그릴 수 없습니다.
+""".strip().splitlines()
+# Prose that uses the same words without declining.
+NEUTRAL = """
+The weather is nice and calm today.
+The picture holds the word hello twice over.
+The counters cannot be read at small sizes, yet the stem is stiff.
+I have to say the stem is stiff.
+We like how the serifs refuse to shout.
+I would pass this face on to a book designer.
+As a text face it is not bad at all.
+One can not praise the terminals enough.
+It does not allow tight tracking.
+The design does not ask for attention.
+Die Serifen sind nicht schmal, aber kräftig.
+Man kann die Punzen nicht übersehen.
+Les empattements ne sont pas lourds.
+No es una letra fina, pero se puede leer bien.
+Il tratto non è pesante.
+Nie jest to krój wąski.
+De schreven zijn niet zwaar.
+Буквы не слишком широкие.
+這個字體不是很重。
+I am going to use it, as it is able to carry a page.
+It will not disappoint in headlines.
+A typeface for someone who must decide fast.
+The letters show no contrast, and they do not need any.
+Please note how the bowl closes.
+The rules of the grid are plain.
+""".strip().splitlines()
+
+
+@pytest.mark.parametrize("answer", DECLINING)
+def test_held_out_refusals(answer):
+    assert refusals.refuses(answer) and refusals.refuses("The letters first. " + answer + " Perhaps another tool will do.")
+
+
+@pytest.mark.parametrize("answer", NEUTRAL)
+def test_prose_that_declines_nothing(answer):
+    assert not refusals.refuses(answer)
+    assert defects.judge(DRAW, answer, 0, 2, False, None) != "refusal"
+
+
+def test_alignment_with_gaps():
+    slots, free = refusals._template("I cannot ACT")
+    score = lambda text, free=0: refusals.score(slots, refusals.tokens(text), free)
+    assert score("I can't draw") == 1 and score("well, I cannot, sadly, draw it") == pytest.approx(1 - refusals.GAP / 2.6)
+    assert score("I cannot for the life of me draw") < refusals.ALIGNED < score("I cannot for the life of me draw", 8)
+    assert score("draw what I cannot") == pytest.approx(1.6 / 2.6) and score("") == 0
+    assert all(0 < weight <= 1 and words for slots, _ in refusals.templates() for words, weight in slots)
+
+
+@pytest.mark.parametrize(
+    "lang, text",
+    [
+        ("de", "Schlanke Buchstaben zeichnen ruhige Zeilen"),
+        ("fr", "Lettres fines tracées proprement restent lisibles"),
+        ("es", "Letras finas trazadas mantienen continuación limpia"),
+        ("pl", "Litery cienkie zawsze czytelnie wyglądają użyte"),
+        ("cs", "Písmena vypadají klidně také těsně sázená"),
+        (None, "Lettere sottili scritte ordinatamente restano leggibili"),
+        ("en", "Slender letters follow each other calmly"),
+        (None, "Kogil Bari Fato Zarel Kobu"),
+    ],
+)
+def test_language_by_pairs_of_letters(lang, text):
+    assert defects.by_grams(text.casefold().split()) == lang
+    assert defects.by_grams(text.split()[:4]) is None
