@@ -30,6 +30,8 @@ CELLS = 8192
 # Fixed value: how byte_bpe_50k cuts text into words; (?U) lets \s match white space of all scripts.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LAST = 2**31 - 1
+#: Codes of missed words, and bytes of theirs, that may be sent to all tasks; more are joined by a shuffle.
+BROADCAST_CODES, BROADCAST_BYTES = 200_000, 16_000_000
 #: Bytes of a window, twice the bytes from one to the next.
 WINDOW = 256
 
@@ -142,20 +144,28 @@ def encode(rows: DataFrame, key: str, text: str, out: str = "ids", name: str = "
     """
     columns = [c for c in (rows.columns if keep is None else keep) if c != out]
     cut = rows.select(*columns, F.col(key).alias("_inkfold_key"), words_of(F.col(text)).alias("_inkfold_words"))
-    looked = cut.withColumn("_inkfold_ids", F.transform("_inkfold_words", lambda w: rank_of(w, name, folder, words=True)))
-    missed = F.array_distinct(F.filter("_inkfold_words", lambda w, i: F.get("_inkfold_ids", i).isNull()))
-    looked = looked.withColumn("_inkfold_missed", missed)
-    # a missed word's place among the missed ones, as a number below 0, stands for it; stored, so that words are cut and looked up once
-    slot = lambda i, k: F.when(i.isNull(), -F.array_position("_inkfold_missed", F.get("_inkfold_words", k)).cast("int")).otherwise(i)
-    ids = F.when(F.size("_inkfold_missed") == 0, F.col("_inkfold_ids")).otherwise(F.transform("_inkfold_ids", slot))
-    stored = store.written(looked.select(*columns, "_inkfold_key", ids.alias("_inkfold_ids"), "_inkfold_missed"), "pieces")
-    some = stored.filter(F.size("_inkfold_missed") > 0).select("_inkfold_key", F.xxhash64("_inkfold_missed").alias("_inkfold_list"), "_inkfold_missed")
-    rare = some.dropDuplicates(["_inkfold_key", "_inkfold_list"]).select("_inkfold_key", "_inkfold_list", F.posexplode("_inkfold_missed").alias("slot", "word"))
-    codes = store.written(coded(store.written(rare.select("word").distinct(), "words"), name, folder), "codes")
-    known = salted_join(rare, codes, "word", F.xxhash64("_inkfold_key", "slot")).groupBy("_inkfold_key", "_inkfold_list").agg(F.array_sort(F.collect_list(F.struct("slot", "code"))).alias("_inkfold_codes"))
-    known = known.select(F.col("_inkfold_key").alias("_inkfold_known"), F.col("_inkfold_list").alias("_inkfold_same"), F.transform("_inkfold_codes", lambda x: x["code"]).alias("_inkfold_codes"))
+    # a missed word stands in the ids as a number below 0, its hash; where two of a text have one hash, the word's place among the missed ones
+    mark = lambda w: (-1 - F.xxhash64(w).bitwiseAND(F.lit(2**30 - 1))).cast("int")
+    looked = cut.withColumn("_inkfold_ids", F.transform("_inkfold_words", lambda w: F.coalesce(rank_of(w, name, folder, words=True), mark(w))))
+    looked = looked.withColumn("_inkfold_missed", F.array_distinct(F.filter("_inkfold_words", lambda w, i: F.get("_inkfold_ids", i) < 0)))
+    looked = looked.withColumn("_inkfold_placed", F.size(F.array_distinct(F.transform("_inkfold_missed", mark))) < F.size("_inkfold_missed"))
+    place = lambda i, k: F.when(i < 0, -F.array_position("_inkfold_missed", F.get("_inkfold_words", k)).cast("int")).otherwise(i)
+    ids = F.when(F.col("_inkfold_placed"), F.transform("_inkfold_ids", place)).otherwise(F.col("_inkfold_ids"))
+    # stored, so that words are cut and looked up once
+    stored = store.written(looked.select(*columns, "_inkfold_key", ids.alias("_inkfold_ids"), "_inkfold_missed", "_inkfold_placed"), "pieces")
+    some = stored.filter(F.size("_inkfold_missed") > 0).select("_inkfold_key", F.xxhash64("_inkfold_missed").alias("_inkfold_list"), "_inkfold_missed", "_inkfold_placed")
+    rare = some.dropDuplicates(["_inkfold_key", "_inkfold_list"]).select("_inkfold_key", "_inkfold_list", "_inkfold_placed", F.posexplode("_inkfold_missed").alias("slot", "word"))
+    rare = rare.select("_inkfold_key", "_inkfold_list", F.when(F.col("_inkfold_placed"), -1 - F.col("slot")).otherwise(mark(F.col("word"))).alias("slot"), "word")
+    codes = store.written(coded(store.written(some.select(F.explode("_inkfold_missed").alias("word")).distinct(), "words"), name, folder), "codes")
+    size = codes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("word") + 4 * F.size("code")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= BROADCAST_CODES and size["bytes"] <= BROADCAST_BYTES:
+        known = rare.join(F.broadcast(codes), "word")
+    else:
+        known = salted_join(rare, codes, "word", F.xxhash64("_inkfold_key", "slot"))
+    known = known.groupBy("_inkfold_key", "_inkfold_list").agg(F.map_from_entries(F.collect_list(F.struct("slot", "code"))).alias("_inkfold_codes"))
+    known = known.select(F.col("_inkfold_key").alias("_inkfold_known"), F.col("_inkfold_list").alias("_inkfold_same"), "_inkfold_codes")
     joined = stored.join(known, F.col("_inkfold_key").eqNullSafe(F.col("_inkfold_known")) & (F.xxhash64("_inkfold_missed") == F.col("_inkfold_same")), "left")
-    filled = F.flatten(F.transform("_inkfold_ids", lambda i: F.when(i < 0, F.get("_inkfold_codes", -i - 1)).otherwise(F.array(i))))
+    filled = F.flatten(F.transform("_inkfold_ids", lambda i: F.when(i < 0, F.try_element_at("_inkfold_codes", i)).otherwise(F.array(i))))
     done = F.when(F.col("_inkfold_codes").isNull(), F.col("_inkfold_ids")).otherwise(filled)
     return joined.select(*columns, F.coalesce(done, F.array().cast("array<int>")).alias(out))
 

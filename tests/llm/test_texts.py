@@ -35,6 +35,21 @@ def test_ids_are_the_librarys(spark):
     assert tokens.encode(rows.limit(0), "i", "t").count() == 0
 
 
+@VOCABULARY
+@pytest.mark.parametrize("few", [True, False])
+def test_missed_words_of_one_hash(spark, monkeypatch, few):
+    """Words that share their number in a text, and codes that are joined by a shuffle."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    monkeypatch.setattr(tokens, "BROADCAST_CODES", 10**6 if few else 0)
+    plain = F.xxhash64
+    monkeypatch.setattr(tokens.F, "xxhash64", lambda *c: plain(*c) if len(c) > 1 else plain(*c) * 0)
+    texts = ["kogilbari zarelfato kogilbari", "qwxzk vbnmq hello qwxzk", "plain words", "", None, "vbnmq"]
+    got = {r.i: list(r.ids) for r in tokens.encode(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "i", "t").collect()}
+    assert got == {k: library.encode(t, add_special_tokens=False).ids if t else [] for k, t in enumerate(texts)}
+
+
 @VOCABULARY
 def test_decoding_guards(spark):
     rows = spark.createDataFrame([([99_999_999],), (None,), ([0xA0 + 60],), ([],)], "ids array<int>")
