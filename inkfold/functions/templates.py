@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkfold.functions.text import separated, tag_text, title_tag
+from inkfold.functions.text import separated, tag_text
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,10 @@ class Wording:
         "- Each glyph must be a complete, self-contained <path> element, in reading order of the given text.\n"
         "- Terminate each <path> element with a newline character\n- Output ONLY valid SVG <path> elements\n"
     )
+    older_system: str = (
+        "Design SVG code for the given text content, follow the given the font design requirements. "
+        "Do not use <text> element in generated SVG, use <path> instead."
+    )
     ocr_system: str = "You are an OCR engine. Read the image precisely."
     ocr_prompt: str = (
         "Recognize the text in the image. Output exactly the recognized text once. Preserve case and accents as seen. "
@@ -63,9 +67,27 @@ def instruction(tags: Column, content: Column, *, apart: bool = True, wording: W
     return F.when(F.size(tags) > 0, styled).otherwise(line)
 
 
-def titled_instruction(kind: Column, tags: Column, content: Column) -> Column:
-    """The older wording: tags in title case behind a named kind, the content quoted."""
-    return F.concat(F.lit("Category: "), title_tag(kind), F.lit("\nTags: "), F.array_join(F.transform(tags, title_tag), ", "), F.lit("\nText: "), content)
+def titled(text: Column) -> Column:
+    """Every run of letters with its first one in upper case, the others in lower case."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}]+|[^\p{L}]+)")), F.initcap), "")
+
+
+def prefixed_tags(category: Column, classifications: Column, stroke: Column, style: Column, weight: Column, groups: Column, *, compat: bool = False) -> Column:
+    """The older tags: each named by its kind, ``_`` as a blank; paths of free tags as their parts. Missing style and weight give no tag, with
+    ``compat`` they are written out as ``None``."""
+    empty = F.array().cast("array<string>")
+    missing = (lambda c: F.coalesce(c.cast("string"), F.lit("None"))) if compat else (lambda c: c.cast("string"))
+    kind = lambda name, tag: F.concat(F.lit(f"{name} "), F.translate(tag, "_", " "))
+    kinds = F.concat(F.transform(F.coalesce(category, empty), lambda t: kind("Category", t)), F.transform(F.coalesce(classifications, empty), lambda t: kind("Classification", t)))
+    single = _known(kind("Stroke", stroke), F.concat(F.lit("Style "), missing(style)), F.concat(F.lit("Weight "), missing(weight)))
+    free = F.transform(F.coalesce(groups, empty), lambda t: F.replace(F.regexp_replace(t, "^/+|/+$", ""), F.lit("/"), F.lit(" ")))
+    return F.concat(F.array_distinct(kinds), single, free)
+
+
+def titled_instruction(tags: Column, content: Column, wording: Wording = WORDING) -> Column:
+    """The older instruction: all tags in title case on the style line (left out without tags), an empty line, the content as it is."""
+    line = F.concat(F.lit(wording.content), content)
+    return F.when(F.size(tags) > 0, F.concat(F.lit(wording.style), titled(F.array_join(tags, ", ")), F.lit("\n\n"), line)).otherwise(line)
 
 
 def image_instruction(text: Column, images: Column, wording: Wording = WORDING) -> Column:

@@ -17,11 +17,6 @@ def tag_text(tag: Column) -> Column:
     return F.lower(F.translate(tag, "_", "-"))
 
 
-def title_tag(tag: Column) -> Column:
-    """The older form: words in title case, parted by blanks."""
-    return F.initcap(F.translate(tag, "_", " "))
-
-
 def separated(text: Column, separator: str = SEPARATOR) -> Column:
     """``Yes`` -> ``Y<|SEP|>e<|SEP|>s``; empty stays empty."""
     return F.array_join(F.split(text, ""), separator)

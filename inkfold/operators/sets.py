@@ -66,10 +66,14 @@ def alphanumeric_contents(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c,) for c in string.ascii_letters + string.digits + "-'"], "content string")
 
 
-def accented_contents(spark: SparkSession, first: int = 0xC0, last: int = 0x17F) -> DataFrame:
-    """The letters of a block that are a base letter with marks."""
-    found = [chr(n) for n in range(first, last + 1) if unicodedata.decomposition(chr(n)) and unicodedata.category(chr(n))[0] == "L"]
-    return spark.createDataFrame([(c,) for c in found], "content string")
+# Letters of the block that are ligatures or letters of their own, and the one pair from beyond it.
+UNACCENTED, HOOKED = "ÆÐÞßæðþĲĳŊŋŒœſ", "Ƒƒ"
+
+
+def accented_contents(spark: SparkSession) -> DataFrame:
+    """The 178 Latin letters with marks, bars, hooks or without their dot: those of U+00C0 to U+017F that aren't ``UNACCENTED``, and ``HOOKED``."""
+    found = [chr(n) for n in range(0xC0, 0x180) if unicodedata.category(chr(n))[0] == "L" and chr(n) not in UNACCENTED]
+    return spark.createDataFrame([(c,) for c in [*found, *HOOKED]], "content string")
 
 
 def listed_words(rows: DataFrame, text: str) -> DataFrame:

@@ -89,6 +89,19 @@ def sft_instruction(spark, d):
     return fonts.select("identifier", templates.instruction(templates.shuffled(tags, 42, F.col("identifier")), F.lit("GgAa")).alias("instruction"))
 
 
+_KIND = "list_transform(coalesce({0}, []), lambda c: '{1} ' || replace(c, '_', ' '))"
+
+
+@query(rf"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY array_to_string(tags, ',')) AS k FROM font_meta),
+t AS (SELECT identifier, list_concat({_KIND.format("classifications", "Classification")}, list_filter(['Stroke ' || replace(stroke, '_', ' '), 'Style ' || coalesce(style, 'None'), 'Weight ' || coalesce(CAST(weight AS VARCHAR), 'None')], lambda v: v IS NOT NULL)) AS named,
+  list_transform(coalesce(tags, []), lambda v: replace(trim(v, '/'), '/', ' ')) AS free FROM f WHERE k = 1)
+SELECT identifier, 'Font design requirements: ' || array_to_string(list_transform(regexp_extract_all(array_to_string(list_concat(named, free), ', '), '\p{{L}}+|[^\p{{L}}]+'), lambda w: upper(w[1]) || lower(w[2:])), '') || chr(10) || chr(10) || 'Text content: GgAa' AS instruction FROM t""")
+def older_instruction(spark, d):
+    fonts = dedup.keep_first(table(spark, d, "font_meta"), F.col("identifier"), [F.array_join("tags", ",")])
+    tags = templates.prefixed_tags(F.lit(None).cast("array<string>"), F.col("classifications"), F.col("stroke"), F.col("style"), F.col("weight"), F.col("tags"), compat=True)
+    return fonts.select("identifier", templates.titled_instruction(tags, F.lit("GgAa")).alias("instruction"))
+
+
 @query("SELECT row_idx, CAST(CASE WHEN coalesce(system, '') <> '' THEN 2 ELSE 1 END AS BIGINT) AS turns, CASE WHEN coalesce(system, '') <> '' THEN 'system' ELSE 'user' END AS first_role, instruction AS last_content FROM sft WHERE instruction IS NOT NULL")
 def message_builder(spark, d):
     sft = table(spark, d, "sft").filter("instruction IS NOT NULL").select("row_idx", templates.messages(F.col("instruction"), F.col("system")).alias("m"), "instruction")

@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -91,38 +94,108 @@ def arrays(files: DataFrame) -> DataFrame:
     return files.select("path", load("content").alias("a")).select("path", "a.shape", "a.values")
 
 
+def _characters(data: bytes, at: int) -> list[str]:
+    """The characters that a font's character map gives a glyph, of its widest Unicode subtable (formats 0, 4, 6, 12)."""
+    count = struct.unpack(">H", data[at + 2 : at + 4])[0]
+    found = [struct.unpack(">HHI", data[at + 4 + 8 * k : at + 12 + 8 * k]) for k in range(count)]
+    wide = {(3, 10): 3, (0, 6): 3, (0, 4): 3, (3, 1): 2, (0, 3): 2}
+    ranked = sorted(((wide.get((p, e), 1 if p == 0 else 0), at + offset) for p, e, offset in found), reverse=True)
+    if not ranked:
+        return []
+    at = ranked[0][1]
+    kind = struct.unpack(">H", data[at : at + 2])[0]
+    if kind == 0:
+        codes = [k for k in range(256) if data[at + 6 + k]]
+    elif kind == 6:
+        first, n = struct.unpack(">HH", data[at + 6 : at + 10])
+        codes = [first + k for k, g in enumerate(struct.unpack(f">{n}H", data[at + 10 : at + 10 + 2 * n])) if g]
+    elif kind == 4:
+        n = struct.unpack(">H", data[at + 6 : at + 8])[0] // 2
+        rows = np.frombuffer(data, ">u2", 4 * n + 1, at + 14).astype(np.int64)
+        ends, starts, deltas, offsets = rows[:n], rows[n + 1 : 2 * n + 1], rows[2 * n + 1 : 3 * n + 1], rows[3 * n + 1 :]
+        codes = []
+        for k in range(n):
+            span = np.arange(starts[k], min(ends[k], 0xFFFE) + 1)
+            if not len(span):
+                continue
+            glyphs = span
+            if offsets[k]:
+                base = at + 16 + 6 * n + 2 * k + int(offsets[k])
+                glyphs = np.frombuffer(data, ">u2", len(span), base).astype(np.int64)
+            codes += span[(glyphs + np.where(glyphs > 0, deltas[k], 0) if offsets[k] else glyphs + deltas[k]) % 65536 > 0].tolist()
+    elif kind == 12:
+        n = struct.unpack(">I", data[at + 12 : at + 16])[0]
+        groups = np.frombuffer(data, ">u4", 3 * n, at + 16).reshape(n, 3).tolist()
+        codes = [c for first, last, glyph in groups for c in range(first, last + 1) if glyph + c - first]
+    else:
+        raise ValueError(f"character map of format {kind}")
+    return [chr(c) for c in sorted(set(codes)) if not 0xD800 <= c < 0xE000]
+
+
+def _names(data: bytes, at: int) -> dict[int, str]:
+    """The texts of a font's name table by number, the English one of several."""
+    _, count, texts = struct.unpack(">HHH", data[at : at + 6])
+    out: dict[int, tuple[int, str]] = {}
+    for k in range(count):
+        platform, _, language, number, size, start = struct.unpack(">6H", data[at + 6 + 12 * k : at + 18 + 12 * k])
+        raw = data[at + texts + start : at + texts + start + size]
+        text = raw.decode("mac-roman" if platform == 1 else "utf-16-be", "replace")
+        out[number] = max(out.get(number, (-1, "")), ((platform == 3) * 2 + (language in (0, 0x409)), text), key=lambda x: x[0])
+    return {number: text for number, (_, text) in out.items()}
+
+
+_FONT = (
+    "tables array<string>, units_per_em bigint, created bigint, ascender bigint, descender bigint, line_gap bigint, weight_class bigint, "
+    "typo_ascender bigint, typo_descender bigint, typo_line_gap bigint, names map<int, string>, characters array<string>"
+)
+
+
+def _font(data: bytes) -> dict:
+    """What the table directory of a font leads to; OS/2, name and cmap may be missing."""
+    if data[:4] == b"ttcf":
+        start = struct.unpack(">I", data[12:16])[0]
+    elif data[:4] in (b"\0\1\0\0", b"OTTO", b"true"):
+        start = 0
+    else:
+        raise ValueError("not a font")
+    at = {}
+    for k in range(struct.unpack(">H", data[start + 4 : start + 6])[0]):
+        tag, _, place, _ = struct.unpack(">4sIII", data[start + 12 + 16 * k : start + 28 + 16 * k])
+        at[tag.decode("latin-1")] = place
+    number = lambda table, offset, kind: struct.unpack_from(kind, data, at[table] + offset)[0]
+    out = {"tables": sorted(at), "units_per_em": number("head", 18, ">H"), "created": number("head", 20, ">q")}
+    out |= {name: number("hhea", 4 + 2 * k, ">h") for k, name in enumerate(("ascender", "descender", "line_gap"))}
+    if "OS/2" in at:
+        out |= {"weight_class": number("OS/2", 4, ">H")} | {f"typo_{name}": number("OS/2", 68 + 2 * k, ">h") for k, name in enumerate(("ascender", "descender", "line_gap"))}
+    if "name" in at:
+        out["names"] = _names(data, at["name"])
+    if "cmap" in at:
+        out["characters"] = _characters(data, at["cmap"])
+    return out
+
+
 def font_headers(files: DataFrame) -> DataFrame:
-    """``(path, tables, units_per_em, ascender, descender, line_gap, created, error)`` of font files, read from their table directories.
+    """``(path, tables, units_per_em, created, ascender, descender, line_gap, weight_class, typo_*, names, characters, error)`` of font files, read
+    from their table directories; ``characters`` are those that have a glyph, as ``filters.covers`` asks for.
 
-    A file that isn't a font gives its error. No font library is needed; ``created`` counts seconds from 1904.
+    A file that isn't a font gives its error. No font library is needed; ``created`` counts seconds from 1904. Tables that a font lacks give nulls.
     """
+    fields = [part.split()[0] for part in re.split(r",\s(?![^<]*>)", _FONT)]
 
-    def read(data: bytes) -> tuple:
-        if data[:4] == b"ttcf":
-            start = struct.unpack(">I", data[12:16])[0]
-        elif data[:4] in (b"\0\1\0\0", b"OTTO", b"true"):
-            start = 0
-        else:
-            raise ValueError("not a font")
-        tables = {}
-        for k in range(struct.unpack(">H", data[start + 4 : start + 6])[0]):
-            tag, _, at, size = struct.unpack(">4sIII", data[start + 12 + 16 * k : start + 28 + 16 * k])
-            tables[tag.decode("latin-1")] = (at, size)
-        head, hhea = tables["head"][0], tables["hhea"][0]
-        upm, created = struct.unpack(">H", data[head + 18 : head + 20])[0], struct.unpack(">q", data[head + 20 : head + 28])[0]
-        return sorted(tables), upm, *struct.unpack(">hhh", data[hhea + 4 : hhea + 10]), created, None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for path, content in zip(pdf.path, pdf.content, strict=True):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    out.append((path, *read(content)))
+                    out.append({"path": path} | _font(content) | {"error": None})
                 except (ValueError, KeyError, struct.error) as error:
-                    out.append((path, None, None, None, None, None, None, str(error) or "broken"))
-            yield pd.DataFrame(out, columns=["path", "tables", "units_per_em", "ascender", "descender", "line_gap", "created", "error"]).astype({c: "Int64" for c in ("units_per_em", "ascender", "descender", "line_gap", "created")})
+                    out.append({"path": path, "error": str(error) or "broken"})
+            rows = [{f: list(r[f].items()) if f == "names" and r.get(f) is not None else r.get(f) for f in ("path", *fields, "error")} for r in out]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.dropDuplicates(["path"]).select("path", "content").mapInPandas(run, "path string, tables array<string>, units_per_em bigint, ascender bigint, descender bigint, line_gap bigint, created bigint, error string")
+    ddl = f"path string, {_FONT}, error string"
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+    return files.dropDuplicates(["path"]).select("path", "content").mapInArrow(run, ddl)
 
 
 _FIELD = re.compile(r'\s*(?:#[^\n]*\n\s*)*(?:(\w+)\s*:\s*("(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|[^\s{}"\']+)|(\w+)\s*:?\s*\{|(\}))')

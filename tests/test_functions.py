@@ -163,3 +163,11 @@ def test_broken_documents_give_null(spark):
 def test_sound_without_reading_again(parts):
     lines = svg.encode(f'<svg xmlns="{svg.NAMESPACE}">' + "".join(f"<{kind}{attribute}/>" for kind, attribute in parts) + "</svg>")
     assert svg.sound(lines) == (svg.encode(svg._document(svg.repaired(lines))) == lines)
+
+
+def test_older_instruction(spark):
+    row = spark.createDataFrame([(["SANS_SERIF", "SANS_SERIF"], ["HAND_DRAWN"], "slab_serif", None, 400, ["/look/it's-calm", "x"])], "c array<string>, k array<string>, s string, y string, w int, t array<string>")
+    tags = lambda **options: templates.prefixed_tags(*[F.col(c) for c in "cksywt"], **options)
+    got = row.select(templates.titled_instruction(tags(), F.lit("Ab")).alias("a"), tags(compat=True).alias("b"), templates.titled_instruction(F.array().cast("array<string>"), F.lit("Ab")).alias("c")).first()
+    assert got.a == "Font design requirements: Category Sans Serif, Classification Hand Drawn, Stroke Slab Serif, Weight 400, Look It'S-Calm, X\n\nText content: Ab"
+    assert got.b[3:5] == ["Style None", "Weight 400"] and got.c == "Text content: Ab"

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkfold import schemas, store
+from inkfold.operators import filters
 from inkfold.sources import answers, archives, lines, tables
 from inkfold.streaming import requests
 
@@ -279,3 +280,58 @@ def test_shared_folder(spark, monkeypatch):
     for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
         with pytest.raises(ValueError):
             of(master)
+
+
+def a_font(maps, names=(), os2=True):
+    """A font of tables only: head, hhea and, if wanted, OS/2, name and a character map of ``(platform, encoding, subtable)``."""
+    import struct
+
+    tables = {"head": bytes(18) + struct.pack(">Hq", 1000, 3_000_000_000) + bytes(26), "hhea": bytes(4) + struct.pack(">hhh", 900, -200, 10) + bytes(26)}
+    if os2:
+        tables["OS/2"] = bytes(4) + struct.pack(">H", 700) + bytes(62) + struct.pack(">hhh", 800, -150, 50)
+    at, body = 4 + 8 * len(maps), b""
+    if maps:
+        head = struct.pack(">HH", 0, len(maps))
+        for platform, encoding, sub in maps:
+            head += struct.pack(">HHI", platform, encoding, at + len(body))
+            body += sub
+        tables["cmap"] = head + body
+    if names:
+        texts, records = b"", b""
+        for platform, language, number, text in names:
+            raw = text.encode("mac-roman" if platform == 1 else "utf-16-be")
+            records += struct.pack(">6H", platform, 1, language, number, len(raw), len(texts))
+            texts += raw
+        tables["name"] = struct.pack(">HHH", 0, len(names), 6 + len(records)) + records + texts
+    out, place = b"\0\1\0\0" + struct.pack(">HHHH", len(tables), 0, 0, 0), 12 + 16 * len(tables)
+    for tag, data in tables.items():
+        out += struct.pack(">4sIII", tag.encode(), 0, place, len(data))
+        place += len(data)
+    return out + b"".join(tables.values())
+
+
+def test_characters_and_names_of_fonts(spark):
+    import struct
+
+    four = lambda segments: struct.pack(">HHHHHHH", 4, 0, 0, 2 * len(segments), 0, 0, 0) + b"".join(struct.pack(f">{len(segments)}H", *[s[k] % 65536 for s in segments]) + (b"\0\0" if k == 1 else b"") for k in (1, 0, 2, 3))
+    plain = four([(65, 70, -60, 0), (97, 98, -97, 0), (0xFFFF, 0xFFFF, 1, 0)])  # a has glyph 0
+    listed = four([(65, 67, 0, 4), (0xFFFF, 0xFFFF, 1, 0)]) + struct.pack(">HHH", 5, 0, 7)  # glyphs from an array, B has none
+    wide = struct.pack(">HHIIIIIIIII", 12, 0, 0, 0, 2, 65, 66, 1, 0x1F600, 0x1F601, 3)
+    fonts = {
+        "plain": a_font([(3, 1, plain)], [(1, 0, 1, "Caf\u00e9"), (3, 0x409, 1, "Café Sans"), (3, 0x407, 1, "Kaffee"), (3, 0x409, 2, "Bold")]),
+        "listed": a_font([(0, 3, listed)], os2=False),
+        "wide": a_font([(3, 1, plain), (3, 10, wide)]),
+        "bytes": a_font([(1, 0, struct.pack(">HHH", 0, 262, 0) + bytes(65) + b"\1\2" + bytes(189))]),
+        "run": a_font([(0, 3, struct.pack(">HHHHHHH", 6, 0, 0, 48, 2, 9, 0))]),
+        "odd": a_font([(0, 3, struct.pack(">H", 2))]), "none": a_font([]), "no": b"text",
+    }
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in fonts.items()], "path string, content binary")
+    got = {r.path: r for r in archives.font_headers(files).collect()}
+    assert "".join(got["plain"].characters) == "ABCDEFb" and got["plain"].names == {1: "Café Sans", 2: "Bold"}
+    assert "".join(got["listed"].characters) == "AC" and got["listed"].weight_class is None and got["listed"].names is None
+    assert "".join(got["wide"].characters) == "AB😀😁" and "".join(got["bytes"].characters) == "AB" and "".join(got["run"].characters) == "0"
+    assert (got["plain"].units_per_em, got["plain"].ascender, got["plain"].descender, got["plain"].line_gap, got["plain"].weight_class) == (1000, 900, -200, 10, 700)
+    assert (got["plain"].typo_ascender, got["plain"].typo_descender, got["plain"].typo_line_gap) == (800, -150, 50)
+    assert got["none"].characters is None and got["none"].error is None and got["no"].error == "not a font" and "format 2" in got["odd"].error
+    covered = archives.font_headers(files).filter(filters.covers(F.col("characters"), "AB")).select("path").collect()
+    assert {r.path for r in covered} == {"plain", "wide", "bytes"}
