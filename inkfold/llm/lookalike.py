@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ LOOKALIKES = {
     "Greek small letters": ("ονϲϳ", "ovcj"),
     "Greek capital letters": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ABEZHIKMNOPTYXC"),
     "Armenian letters": ("օսհո", "ouhn"),
+    "Coptic letters": ("ⲂⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ", "BHIKMNOoPpCcTYX"),
+    "Cherokee letters": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZVSLCPKB"),
+    "Lisu letters": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
     "hyphens": ("‐‑", "--"),
 }
 # Ranges of code points that show nothing by themselves.
@@ -73,11 +77,9 @@ def _becomes(ch: str, look: dict[str, str]) -> str:
     return unicodedata.normalize("NFD", "".join(look.get(c, c) for c in parts))
 
 
-def mapping(spark: SparkSession) -> DataFrame:
-    """``(cp, parts array<struct<c, k>>)``: what a character becomes, with combining classes; others stay as they are.
-
-    Made from Python's Unicode tables: a row a code point that changes or combines, about 5,000.
-    """
+@cache
+def _changes() -> tuple:
+    """The rows of ``mapping``, made once."""
     look = {a: b for source, target in LOOKALIKES.values() for a, b in zip(source, target, strict=True)}
     rows = []
     for n in range(0x80, sys.maxunicode + 1):
@@ -86,9 +88,18 @@ def mapping(spark: SparkSession) -> DataFrame:
             to = _becomes(ch, look)
             if to != ch or unicodedata.combining(ch):
                 rows.append((ch, [(c, unicodedata.combining(c)) for c in to]))
-    return spark.createDataFrame(rows, "cp string, parts array<struct<c: string, k: int>>")
+    return tuple(rows)
+
+
+def mapping(spark: SparkSession) -> DataFrame:
+    """``(cp, parts array<struct<c, k>>)``: what a character becomes, with combining classes; others stay as they are.
+
+    Made from Python's Unicode tables: a row a code point that changes or combines, about 5,000.
+    """
+    return spark.createDataFrame(_changes(), "cp string, parts array<struct<c: string, k: int>>")
 
 
+@cache
 def compositions() -> dict[str, str]:
     """``{starter + mark: composite}`` of the primary composites (about 940); Hangul is composed by rule."""
     out = {}

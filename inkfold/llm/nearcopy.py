@@ -116,5 +116,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expanded(*near_copies(sft, "row_idx", "output"))
 
 
+#: ``(row, command, k)`` and ``(row, n)``: the commands of each drawing, counted, with their numbers as values.
+COMMANDS_SQL = r"""d AS (SELECT row_idx AS r, unnest(regexp_extract_all(output, '(?is)<path\b[^<>]*?[^\w:-]d\s*=\s*("[^"<>]*|''[^''<>]*)', 1))[2:] AS d FROM sft),
+c AS (SELECT r, unnest(regexp_extract_all(d, '[A-DF-Za-df-z][^A-DF-Za-df-z]*')) AS c FROM d),
+v AS (SELECT r, c[1] || array_to_string(list_transform(regexp_extract_all(c[2:], '[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?'), lambda x: CAST(CAST(x AS DOUBLE) + 0.0 AS VARCHAR)), ' ') AS command FROM c),
+t AS (SELECT r, command, count(*) AS k FROM v GROUP BY 1, 2),
+n AS (SELECT r, CAST(sum(k) AS BIGINT) AS n FROM t GROUP BY 1)"""
+
+P4_SQL = f"""WITH {COMMANDS_SQL},
+o AS (SELECT x.r AS a, y.r AS b, sum(least(x.k, y.k)) AS shared FROM t x JOIN t y ON x.command = y.command AND x.r < y.r GROUP BY 1, 2)
+SELECT a AS row_a, b AS row_b FROM o JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 4 * shared >= 3 * greatest(na.n, nb.n)"""
+
 QUERIES = {"p4_found": p4_found}
-ORACLES: dict[str, str] = {}
+ORACLES = {"p4_found": P4_SQL}

@@ -22,7 +22,7 @@ from inkfold import store
 from inkfold.llm import lists
 from inkfold.llm.drawing import drawings, in_order, mix
 from inkfold.llm.lists import LONG_LIST
-from inkfold.llm.nearcopy import DRAWN, SHARE, may_agree, required
+from inkfold.llm.nearcopy import COMMANDS_SQL, DRAWN, SHARE, may_agree, required
 from inkfold.operators.skew import filtered_by, spread
 
 #: Segments of the wide code of drawings of up to ``FEW`` commands; each further level has ``LEVEL`` times as many, for as many more commands.
@@ -159,5 +159,14 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(sft, "row_idx", "split", "metadata", *cross_split(sft, "row_idx", "split", "instruction", "output"))
 
 
+_OVERLAPS_SQL = rf"""WITH {COMMANDS_SQL},
+s AS (SELECT row_idx AS r, split = 'train' AS train, regexp_replace(replace(regexp_extract(instruction, '(?i)text to draw:([^\r\n]*)', 1), '<|SEP|>', ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS text FROM sft WHERE split IS NOT NULL AND regexp_matches(instruction, '(?i)text to draw:')),
+m AS (SELECT s.*, t.command, t.k FROM s JOIN t USING (r)),
+o AS (SELECT x.r AS a, y.r AS b, sum(least(x.k, y.k)) AS shared FROM m x JOIN m y ON x.text = y.text AND x.command = y.command AND NOT x.train AND y.train GROUP BY 1, 2),
+p AS (SELECT a, b FROM o JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 4 * shared >= 3 * greatest(na.n, nb.n))"""
+P6_SQL = _OVERLAPS_SQL + " SELECT least(a, b) AS row_a, greatest(a, b) AS row_b FROM p"
+P6_REPORT_SQL = _OVERLAPS_SQL + """ SELECT split, (CASE WHEN json_valid(metadata) THEN metadata END)->>'$.source' AS source, count(*) AS records, count(*) FILTER (WHERE row_idx IN (SELECT a FROM p)) AS repeated
+FROM sft WHERE split <> 'train' GROUP BY 1, 2"""
+
 QUERIES = {"p6_found": p6_found, "p6_report": p6_report}
-ORACLES: dict[str, str] = {}
+ORACLES = {"p6_found": P6_SQL, "p6_report": P6_REPORT_SQL}
