@@ -361,7 +361,7 @@ def content_generator(spark, d):
     return sets.alphanumeric_contents(spark)
 
 
-@query()
+@query("SELECT unnest(string_split('" + "".join(sorted({chr(n) for n in [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x180)]} - set(sets.UNACCENTED))) + sets.HOOKED + "', '')) AS content")
 def accented_generator(spark, d):
     return sets.accented_contents(spark)
 
@@ -371,6 +371,43 @@ def listed_words(spark, d):
     return sets.listed_words(table(spark, d, "content"), "content")
 
 
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de', 'pl')")
+def wanted_languages(spark, d):
+    return table(spark, d, "documents").filter(F.col("lang").isin("en", "de", "pl")).select("doc_id", "lang")
+
+
+@query("""WITH g AS (SELECT DISTINCT p_type AS f FROM part), r AS (SELECT f, row_number() OVER (ORDER BY md5('7|' || f), f) - 1 AS r FROM g),
+t AS (SELECT f FROM r WHERE r BETWEEN 2 AND 5), i AS (SELECT f, row_number() OVER (ORDER BY md5('8|' || f), f) AS k FROM t), v AS (SELECT f, row_number() OVER (ORDER BY md5('9|' || f), f) AS k FROM t)
+SELECT f AS p_type, 'ood_test' AS split FROM r WHERE r < 2 UNION ALL SELECT f, 'train' FROM t UNION ALL SELECT f, 'ind_test' FROM i WHERE k <= 2 UNION ALL SELECT f, 'dev' FROM v WHERE k <= 1""")
+def limited_train_split(spark, d):
+    """Splits of given sizes, the train set limited, too."""
+    kinds = table(spark, d, "part").select("p_type").distinct()
+    return splits.drawn(kinds, "p_type", 2, 2, 1, n_train=4, seed=7)
+
+
+@query("""SELECT 'twice' AS pair, (SELECT count(*) FROM nation) = (SELECT count(*) FROM nation) AS equal UNION ALL SELECT 'names', (SELECT count(*) FROM nation) = (SELECT count(*) FROM region) AND NOT EXISTS (SELECT n_name FROM nation EXCEPT SELECT r_name FROM region)""")
+def equal_sets(spark, d):
+    """Whether two datasets are equal as sets."""
+    nations, regions = table(spark, d, "nation"), table(spark, d, "region").withColumnRenamed("r_name", "n_name")
+    told = [("twice", sets.equal_as_sets(nations, nations.orderBy("n_name"), "n_name")), ("names", sets.equal_as_sets(nations, regions, "n_name"))]
+    return spark.createDataFrame(told, "pair string, equal boolean")
+
+
+@query("SELECT split, content FROM (SELECT 'train' AS split, n_name AS content FROM nation UNION ALL SELECT 'train', r_name FROM region UNION ALL SELECT 'dev', c_mktsegment FROM (SELECT DISTINCT c_mktsegment FROM customer) UNION ALL SELECT 'dev', r_name FROM region)")
+def sets_joined_by_split(spark, d):
+    """Datasets behind each other, split by split."""
+    of = lambda name, column: table(spark, d, name).select(F.col(column).alias("content"))
+    both = sets.joined_by_split([{"train": of("nation", "n_name"), "dev": of("customer", "c_mktsegment").distinct()}, {"train": of("region", "r_name"), "dev": of("region", "r_name")}])
+    return both["train"].withColumn("split", F.lit("train")).unionByName(both["dev"].withColumn("split", F.lit("dev")))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY content) - 1 AS BIGINT) AS row_idx, content FROM (SELECT DISTINCT content FROM content WHERE content IS NOT NULL)")
+def sorted_word_list(spark, d):
+    """The distinct words in order."""
+    words = sets.sorted_words(table(spark, d, "content").filter("content IS NOT NULL"), "content")
+    return windows.numbered(words, [F.col("content")])
+
+
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS font_family_dir_name, CAST(p_partkey AS VARCHAR) || '/' || p_name AS identifier, p_type AS first_category, CAST(2 AS BIGINT) AS categories, p_brand = 'Brand#12' AS has_brand FROM part""")
 def rename_json_projection(spark, d):
     part = table(spark, d, "part")

@@ -13,7 +13,7 @@ from inkfold import store
 from inkfold.functions import hashing
 from inkfold.operators import splits
 from inkfold.plans.catalogue import query, table
-from inkfold.sources import archives, lines, tables
+from inkfold.sources import answers, archives, lines, tables
 from inkfold.streaming import requests
 
 
@@ -193,3 +193,81 @@ def stored_tables(spark, d):
     state.commit({"glyphs": store.Change(keyed.filter("bucket < 4"))}, "first")
     state.commit({"glyphs": store.Change(keyed.filter("bucket >= 2"), instead=(2, 3))}, "second")
     return state.read("glyphs").select("identifier", "hash", F.md5("svg").alias("drawing"))
+
+
+@query("""WITH f AS (SELECT DISTINCT name, font_family_dir_name AS path, filename, style, weight FROM font_meta WHERE name IS NOT NULL AND filename IS NOT NULL AND font_family_dir_name IS NOT NULL)
+SELECT path, name, count(*) AS fonts, min(filename) AS first_file, CAST(sum(weight) AS BIGINT) AS weight, CAST(count(style) AS BIGINT) AS styles FROM f GROUP BY 1, 2""")
+def family_messages_read(spark, d):
+    """Family metadata in text form, a message a family, with its fonts nested in it."""
+    fonts = table(spark, d, "font_meta").filter("name IS NOT NULL AND filename IS NOT NULL AND font_family_dir_name IS NOT NULL")
+    fonts = fonts.select("name", F.col("font_family_dir_name").alias("path"), "filename", "style", "weight").distinct()
+    said = lambda c: F.concat(F.lit(f'  {c}: "'), F.regexp_replace(c, r'(["\\\\])', r"\\$1"), F.lit('"\n'))
+    weight = F.coalesce(F.concat(F.lit("  weight: "), F.col("weight").cast("string"), F.lit("\n")), F.lit(""))
+    font = F.concat(F.lit("fonts {\n"), said("name"), said("filename"), F.coalesce(said("style"), F.lit("")), weight, F.lit("}\n"))
+    text = fonts.groupBy("path", "name").agg(F.concat_ws("", F.collect_list(font)).alias("fonts")).select("path", F.encode(F.concat(said("name"), F.lit("# a note\n"), "fonts"), "UTF-8").alias("content"))
+    read = archives.family_messages(text).filter("error IS NULL")
+    return read.select("path", "name", F.explode("fonts").alias("f")).groupBy("path", "name").agg(F.count("*").alias("fonts"), F.min("f.filename").alias("first_file"), F.sum("f.weight").cast("bigint").alias("weight"), F.count("f.style").alias("styles"))
+
+
+@query("SELECT md5(text) AS img_hash, base64(encode(text)) AS img_base64, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_idx FROM documents WHERE text IS NOT NULL")
+def packed_images(spark, d):
+    """Images (here the bytes of texts) packed as JSON lines in their order."""
+    path = store.new_path(spark, "images")
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.encode("text", "UTF-8").alias("image"), F.md5("text").alias("hash"))
+    lines.pack_images(docs, "image", "hash", path, chunk=300, index="doc_id")
+    return lines.json_lines(spark, path, "img_hash string, img_base64 string").select("img_hash", "img_base64", "row_idx")
+
+
+@query("SELECT event_type || '/score_stats.json' AS name, round(avg(value), 6) AS accuracy FROM events GROUP BY 1")
+def accuracy_reports(spark, d):
+    """The accuracy of each score report below a folder."""
+    path = store.new_path(spark, "scores")
+    told = table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("accuracy"))
+    files = told.select("event_type", F.concat("event_type", F.lit("/score_stats")).alias("at"), F.to_json(F.struct("accuracy")).alias("text"))
+    failed = answers.write_each(files.select(F.col("event_type").alias("k"), "text").withColumn("k", F.concat(F.lit("score_stats-"), "k")), "k", "text", _made(spark, path), ".json")
+    found = tables.accuracy_files(spark, path).select(F.concat(F.regexp_extract("path", r"score_stats-([^/]*)\.json$", 1), F.lit("/score_stats.json")).alias("name"), "accuracy")
+    return found.join(failed, found["name"] == failed["k"], "left_anti")
+
+
+def _made(spark, path: str) -> str:
+    """A folder of the shared file system, made."""
+    fs, at = store._fs(spark, path)
+    fs.mkdirs(at(path))
+    return path
+
+
+@query("SELECT l_orderkey AS step, min(l_tax) AS loss FROM lineitem GROUP BY 1")
+def training_curve(spark, d):
+    """The points of a loss curve from a trainer's state file."""
+    path = store.new_path(spark, "trainer")
+    points = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("step")).agg(F.min("l_tax").alias("loss"))
+    logged = points.select(F.pmod("step", F.lit(7)).alias("f"), F.struct("step", "loss").alias("p")).groupBy("f").agg(F.collect_list("p").alias("log_history"))
+    logged.drop("f").write.option("maxRecordsPerFile", 1).json(path)  # a state a file
+    return tables.training_log(spark, path)
+
+
+@query("SELECT sample_id, md5(upper(coalesce(min(instruction), ''))) AS answer FROM prediction WHERE sample_id IS NOT NULL GROUP BY 1 HAVING length(coalesce(min(instruction), '')) % 5 <> 0")
+def answered_with_retries(spark, d):
+    """A service that fails at first, asked again, and requests that it never answers, which give no row."""
+    asked = table(spark, d, "prediction").filter("sample_id IS NOT NULL").groupBy("sample_id").agg(F.coalesce(F.min("instruction"), F.lit("")).alias("ask"))
+
+    def service(text: str) -> str:
+        if len(text) % 5 == 0:
+            raise OSError("busy")
+        return text.upper()
+
+    ask = answers.with_retries(service, tries=2, base=0.0, cap=0.0, sleep=lambda _: None)
+    return answers.answered(asked, "sample_id", "ask", ask).select("sample_id", F.md5("predict").alias("answer"))
+
+
+@query("SELECT filename, font_family_dir_name, CASE WHEN svg = '' THEN md5('blank') ELSE md5(svg) END AS image FROM pangram")
+def rendered_images(spark, d):
+    """Equal drawings are rendered once; those that fail give the blank image."""
+
+    def render(svg: str) -> bytes:
+        if not svg:
+            raise ValueError("nothing drawn")
+        return svg.encode()
+
+    drawn = table(spark, d, "pangram").select("filename", "font_family_dir_name", "svg")
+    return answers.rendered_once(drawn, "svg", render, b"blank").select("filename", "font_family_dir_name", F.md5("image").alias("image"))

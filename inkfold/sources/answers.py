@@ -6,12 +6,14 @@ import random
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from pathlib import Path
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkfold import store
+
 
 def with_retries(ask: Callable[[str], str], tries: int = 3, base: float = 0.5, cap: float = 20.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
     """``ask`` tried again after a growing, jittered pause; the last error is raised."""
@@ -80,17 +82,25 @@ def side_by_side(rows: DataFrame, svg: str, order: str, n: int) -> DataFrame:
     return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, svg))), lambda x: x[svg]), "\n").alias("svg"))
 
 
-def write_each(rows: DataFrame, key: str, content: str, folder: str, suffix: str) -> None:
-    """A file a row, named by its key, in a folder that all executors share. Rows that can't be written are skipped."""
+def write_each(rows: DataFrame, key: str, content: str, folder: str, suffix: str) -> DataFrame:
+    """A file a row, named by its key, in a folder that all machines share, given as a path or a URI of any file system that Arrow knows.
+
+    Gives ``(key, error)`` of the rows that couldn't be written: null contents, names that aren't file names, and what the file system says.
+    """
+    kind = dict(rows.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = fs.FileSystem.from_uri(folder)
         for pdf in batches:
+            failed = []
             for name, data in zip(pdf[key], pdf[content], strict=True):
                 try:
-                    Path(folder, f"{name}{suffix}").write_bytes(data.encode() if isinstance(data, str) else data)
-                except (OSError, AttributeError, TypeError):
-                    continue
-            yield pdf[[key]]
-
-    kind = dict(rows.dtypes)[key]
-    rows.select(key, content).mapInPandas(run, f"`{key}` {kind}").write.format("noop").mode("overwrite").save()
+                    if data is None or name is None or "/" in str(name):
+                        raise ValueError("no content" if data is None else "no file name")
+                    with files.open_output_stream(f"{root}/{name}{suffix}") as out:
+                        out.write(data.encode() if isinstance(data, str) else data)
+                except (OSError, ValueError) as error:
+                    failed.append((name, str(error)))
+            yield pd.DataFrame(failed, columns=[key, "error"])
+
+    return store.written(rows.select(key, content).mapInPandas(run, f"`{key}` {kind}, error string"), "failures")

@@ -53,5 +53,5 @@ def test_filters_reach_the_scan(plans, name, text):
 
 
 def test_no_python_where_spark_has_the_expression(plans):
-    allowed = {"blake2_keys", "tag_word_split", "svg_bbox", "svg_bake", "svg_encode_decode", "arc_length_sampling", "icp_chamfer", "frechet_distance", "ssim", "zip_round_trip", "array_round_trip"}
+    allowed = {"blake2_keys", "tag_word_split", "svg_bbox", "svg_bake", "svg_encode_decode", "arc_length_sampling", "icp_chamfer", "frechet_distance", "ssim", "zip_round_trip", "array_round_trip", "family_messages_read", "answered_with_retries", "rendered_images"}
     assert {n for n, p in plans.items() if re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroupsInPandas|MapInArrow", p)} == allowed
