@@ -6,7 +6,9 @@ by that count, rare ones first, in the same way for all drawings. An element who
 of the cells has a long list: it is never read through, but cut into the lists of that element with each later one of the drawing.
 
 The searches see to it that near copies share two elements at least of those they are put into lists by. Let x and y be the
-first two that are shared. If x isn't long, both are in the list of x; if it is, both are in the list of x with y.
+first two that are shared. If x isn't long, both are in the list of x; if it is, both are in the list of x with y. The lists of two are as many as
+the square of the elements, so drawings of more than ``WIDEST`` of them stay in long lists, and with them those that are just small enough not
+to but may have such a near copy: then both are in the list of x.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ CELL_BITS = 18
 #: Counts are told apart by so many steps for each doubling.
 STEPS = 8
 LONG_LIST = 1000
+#: Elements of a drawing up to which its long lists are cut into lists of two.
+WIDEST = 64
 #: Tokens that a worker holds at once, but for a single longer drawing.
 TOKENS = 200_000
 
@@ -48,12 +52,12 @@ def ranks(sets: DataFrame, long_list: int = LONG_LIST) -> tuple[np.ndarray, int]
     return rank(counts), int(rank(np.array([limit]))[0]) + 1
 
 
-def extended(row: np.ndarray, element: np.ndarray, long_: np.ndarray, also: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists of elements given in order, drawing by drawing: those of elements that aren't long (or of drawings that are
-    ``also`` in long ones), and those of long ones with each later element of the drawing."""
-    alone = ~long_ | also
+def extended(row: np.ndarray, element: np.ndarray, long_: np.ndarray, kept: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of elements given in order, drawing by drawing: those of elements that aren't long, and of long ones (of drawings that
+    are ``kept`` in such) too, and those of long ones (of drawings that are ``cut``) with each later element of the drawing."""
+    alone = ~long_ | kept
     rows, keys = [row[alone]], [element[alone]]
-    first = np.flatnonzero(long_)
+    first = np.flatnonzero(long_ & cut)
     if len(first):
         later = np.searchsorted(row, row[first], side="right") - first - 1
         one = np.repeat(first, later)
@@ -65,6 +69,14 @@ def extended(row: np.ndarray, element: np.ndarray, long_: np.ndarray, also: np.n
     return row[order], key[order]
 
 
+def kept_and_cut(n: np.ndarray, share: float, elements: Callable[[np.ndarray], np.ndarray], widest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which drawings of ``n`` commands stay in long lists, and for which these are cut. ``elements``: how many a drawing is listed by at most,
+    which grows with ``n``. Drawings that near copies may share only one element with are kept, too."""
+    wide = elements(n) > widest
+    may_be = elements(np.floor(np.round(n / share, 9)).astype(np.int64)) > widest
+    return may_be | (required(n, share) < 2), ~wide
+
+
 def _parts(lengths: np.ndarray) -> Iterator[slice]:
     begin, size = 0, 0
     for k, n in enumerate(lengths.tolist()):

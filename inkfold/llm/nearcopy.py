@@ -41,16 +41,21 @@ def may_agree(a: str = "a", b: str = "b") -> Column:
     return (apart <= c("n", a) + c("n", b) - 2 * need) & (F.least(c("n", a), c("n", b)) >= need)
 
 
-def first_tokens(share: float, merged: int = MERGED) -> lists.Keys:
+def first_tokens(share: float, merged: int = MERGED, widest: int = lists.WIDEST) -> lists.Keys:
     """The lists of a drawing's ``n - T + merged`` tokens of the shortest lists."""
 
+    def taken(n: np.ndarray) -> np.ndarray:
+        need = lists.required(n, share)
+        return np.minimum(n - need + np.minimum(merged, need), n)
+
     def keys(offsets: np.ndarray, tokens: np.ndarray, rank: np.ndarray, long_: int) -> tuple[np.ndarray, np.ndarray]:
         n = np.diff(offsets)
         row = np.repeat(np.arange(len(n)), n)
         order = in_order(row, rank, tokens)
-        need = lists.required(n, share)
-        kept = order[np.arange(len(row)) - offsets[:-1][row] < np.minimum(n - need + np.minimum(merged, need), n)[row]]
-        return lists.extended(row[kept], tokens[kept], rank[kept] >= long_, need[row[kept]] < 2)
+        first = order[np.arange(len(row)) - offsets[:-1][row] < taken(n)[row]]
+        kept, cut = lists.kept_and_cut(n, share, taken, widest)
+        of = row[first]
+        return lists.extended(of, tokens[first], rank[first] >= long_, kept[of], cut[of])
 
     return keys
 
@@ -79,7 +84,7 @@ def classes(drawn: DataFrame, row: str) -> DataFrame:
     return drawn.select(F.col(row).alias("row"), "print").join(reps, "print").select("row", "rep")
 
 
-def near_copies(rows: DataFrame, row: str, output: str, share: float = SHARE, long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
+def near_copies(rows: DataFrame, row: str, output: str, share: float = SHARE, long_list: int = LONG_LIST, widest: int = lists.WIDEST) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: ``(row, rep)`` of every drawing, and ``(a, b, overlap)`` of the near copies among the reps.
 
     ``row`` must be unique. Rows with a null or empty text or without a path are in neither. An empty table gives two
@@ -90,7 +95,7 @@ def near_copies(rows: DataFrame, row: str, output: str, share: float = SHARE, lo
     drawn = store.written(drawings(rows.select(F.col(row).alias("row"), F.col(output).alias("output")), "output", ["row"]), "drawings")
     members = store.written(classes(drawn, "row"), "members")
     sets = filtered_by(drawn.select("row", "n", required(F.col("n"), share).alias("need"), "p0", "p1", "tokens"), members.filter("row <> rep").select("row"), "row", present=False)
-    listed = store.written(lists.keyed(sets, [*DRAWN], first_tokens(share), *lists.ranks(sets, long_list)), "lists")
+    listed = store.written(lists.keyed(sets, [*DRAWN], first_tokens(share, widest=widest), *lists.ranks(sets, long_list)), "lists")
     pairs = store.written(candidates(listed), "pairs")
     return members, probed(pairs, sets, share)
 

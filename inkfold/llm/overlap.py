@@ -49,7 +49,7 @@ def _levels(n: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.ceil(np.round(np.log(np.maximum(n, 1) / FEW) / np.log(LEVEL), 9))).astype(np.int64)
 
 
-def code_blocks(share: float) -> lists.Keys:
+def code_blocks(share: float, widest: int = lists.WIDEST) -> lists.Keys:
     """The blocks of a drawing's wide code that it is joined by, a key each, and one key for the drawing as a whole.
 
     The size of a code goes by the number of commands; drawings from whose size a near copy may be at another level have the codes
@@ -60,6 +60,7 @@ def code_blocks(share: float) -> lists.Keys:
         n = np.diff(offsets)
         row = np.repeat(np.arange(len(n)), n)
         spare, need = radius(n, share), lists.required(n, share)
+        stay, cut = lists.kept_and_cut(n, share, lambda m: radius(m, share) + 2, widest)
         code = mix(tokens)
         rows, found = [np.flatnonzero(n)], [salt(np.add.reduceat(salt(tokens, 1), offsets[:-1][n > 0]), 2)]
         low, high = _levels(n), _levels(np.floor(np.round(n / share, 9)))
@@ -81,7 +82,7 @@ def code_blocks(share: float) -> lists.Keys:
             nth = np.arange(len(owner)) - (np.cumsum(many) - many)[owner]
             few = many <= spare + 1
             kept = few[owner] | (nth < spare[owner] + 2)
-            got = lists.extended(owner[kept], block[kept], bound[kept] >= long_, need[owner[kept]] < 2)
+            got = lists.extended(owner[kept], block[kept], bound[kept] >= long_, stay[owner[kept]], cut[owner[kept]])
             rows.append(got[0])
             found.append(got[1])
             thin = few[of]
@@ -90,7 +91,7 @@ def code_blocks(share: float) -> lists.Keys:
                 order = in_order(of, often, token)
                 starts = np.searchsorted(of, of)
                 kept = order[np.arange(len(of)) - starts < np.minimum(n - need + np.minimum(2, need), n)[of]]
-                got = lists.extended(of[kept], salt(token[kept], 4), often[kept] >= long_, need[of[kept]] < 2)
+                got = lists.extended(of[kept], salt(token[kept], 4), often[kept] >= long_, stay[of[kept]], cut[of[kept]])
                 rows.append(got[0])
                 found.append(got[1])
         row, key = np.concatenate(rows), np.concatenate(found)
@@ -100,7 +101,7 @@ def code_blocks(share: float) -> lists.Keys:
     return keys
 
 
-def cross_split(rows: DataFrame, row: str, split: str, instruction: str, output: str, share: float = SHARE, long_list: int = LONG_LIST, marker: str = ASKED) -> tuple[DataFrame, DataFrame]:
+def cross_split(rows: DataFrame, row: str, split: str, instruction: str, output: str, share: float = SHARE, long_list: int = LONG_LIST, widest: int = lists.WIDEST, marker: str = ASKED) -> tuple[DataFrame, DataFrame]:
     """``(members, links)`` over the records with a split, a wanted text and a drawing.
 
     members: ``(row, train, rep)``, rep being the smallest row of the same side, text and drawing. links: ``(a, b)`` of
@@ -115,7 +116,7 @@ def cross_split(rows: DataFrame, row: str, split: str, instruction: str, output:
     reps = drawn.groupBy(*same).agg(F.min("row").alias("rep"))
     members = store.written(drawn.select("row", *same).join(reps, same).select("row", "train", "rep"), "sides")
     sets = filtered_by(drawn.drop("print").withColumn("need", required(F.col("n"), share)), members.filter("row <> rep").select("row"), "row", present=False)
-    coded = lists.keyed(sets, ["train", "text", *DRAWN], code_blocks(share), *lists.ranks(sets, long_list))
+    coded = lists.keyed(sets, ["train", "text", *DRAWN], code_blocks(share, widest), *lists.ranks(sets, long_list))
     coded = store.written(coded, "blocks")
     blocks = coded.select("train", "text", F.explode("keys").alias("key"), *DRAWN).withColumn("key", F.xxhash64("text", "key"))
     side = lambda train, s: blocks.filter(F.col("train") if train else ~F.col("train")).select("key", *[F.col(c).alias(f"{c}_{s}") for c in DRAWN])

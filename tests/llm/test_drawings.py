@@ -64,11 +64,11 @@ def test_tokens_are_multisets():
     assert [int(n) for n in b[0][1:] - b[0][:-1]] == [multiset(t).total() for t in a]
 
 
-@pytest.mark.parametrize("seed, wide, long_list", [(1, 400, 1000), (2, 2, 1000), (3, 2, 4)])
-def test_near_copies_against_brute_force(spark, seed, wide, long_list):
+@pytest.mark.parametrize("seed, wide, long_list, widest", [(1, 400, 1000, 64), (2, 2, 1000, 64), (3, 2, 4, 64), (4, 2, 1, 5), (2, 3, 0, 8)])
+def test_near_copies_against_brute_force(spark, seed, wide, long_list, widest):
     texts = corpus(seed, wide=wide)
     rows = spark.createDataFrame([(k, t, "x", 0) for k, t in enumerate(texts)], "i bigint, t string, tokens string, n int")
-    members, links = nearcopy.near_copies(rows, "i", "t", long_list=long_list)
+    members, links = nearcopy.near_copies(rows, "i", "t", long_list=long_list, widest=widest)
     got = {tuple(r) for r in nearcopy.expanded(members, links).collect()}
     sets = [multiset(t) for t in texts]
     want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if alike(sets[a], sets[b])}
@@ -124,9 +124,9 @@ def test_overlaps_against_brute_force(spark, seed):
     assert sum(r.records for r in told) == sum(r[1] not in ("train", None) for r in rows)
 
 
-@pytest.mark.parametrize("long_list", [1000, 1])
+@pytest.mark.parametrize("long_list, widest", [(1000, 64), (1, 64), (0, 7)])
 @pytest.mark.parametrize("changed", ["full", "short"])
-def test_overlaps_of_mostly_short_commands(spark, changed, long_list):
+def test_overlaps_of_mostly_short_commands(spark, changed, long_list, widest):
     """Drawings of which 20 to 100 % are commands of fewer than two numbers, a quarter of all changed, all among the one kind if possible."""
     rng = random.Random(f"{changed}")
     rows = []
@@ -140,7 +140,7 @@ def test_overlaps_of_mostly_short_commands(spark, changed, long_list):
                 other[k] = f"l{rng.randint(1000, 1999)} 1" if k >= short else f"h{rng.randint(1000, 1999)}"
             for split, body in (("dev", commands), ("train", other), ("train", other[: n - n // 4 - 1])):
                 rows.append((len(rows), split, f"Text to draw: {percent // 40}", '<path d="' + "".join(rng.sample(body, len(body))) + '"/>'))
-    members, links = overlap.cross_split(spark.createDataFrame(rows, "i bigint, split string, ask string, t string"), "i", "split", "ask", "t", long_list=long_list)
+    members, links = overlap.cross_split(spark.createDataFrame(rows, "i bigint, split string, ask string, t string"), "i", "split", "ask", "t", long_list=long_list, widest=widest)
     got = {tuple(r) for r in overlap.cross_pairs(members, links).collect()}
     sets = [multiset(r[3]) for r in rows]
     want = {(a[0], b[0]) for a in rows for b in rows if a[1] == "dev" and b[1] == "train" and a[2] == b[2] and alike(sets[a[0]], sets[b[0]])}
