@@ -69,13 +69,17 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 
 def products(fonts: DataFrame, contents: DataFrame, contents_limit: int = 100_000) -> DataFrame:
-    """Every font with every content, which is the result asked for. ``contents`` must be a list of bounded length.
+    """Every font with every content, which is the result asked for.
 
-    The list is sent to all tasks, so it is checked first.
+    The contents are counted: up to the limit they are sent to all tasks. A longer list is dealt out to parts of half the limit, and each
+    font is joined with each part by its number, so that no task holds the list.
     """
-    if contents.limit(contents_limit + 1).count() > contents_limit:
-        raise ValueError(f"more than {contents_limit} contents: split the list")
-    return fonts.crossJoin(F.broadcast(contents))
+    n = contents.count()
+    if n <= contents_limit:
+        return fonts.crossJoin(F.broadcast(contents))
+    parts = -(-2 * n // contents_limit)
+    dealt = contents.withColumn("_part", F.pmod(F.xxhash64(*contents.columns), F.lit(parts)).cast("int"))
+    return fonts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(dealt, "_part").drop("_part")
 
 
 def decontaminated(candidates: DataFrame, reference: DataFrame, key: Column, reference_key: Column, empty_policy: str = "match") -> DataFrame:

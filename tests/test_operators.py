@@ -267,3 +267,10 @@ def test_numbers_and_sums_over_many_parts(spark):
             assert upto == total
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_products_of_any_list(spark):
+    fonts, contents = frame(spark, [("f",), ("g",), (None,)], "f string"), frame(spark, [(f"c{k}",) for k in range(23)] + [(None,), ("c1",)], "c string")
+    few, many = tuples(joins.products(fonts, contents)), tuples(joins.products(fonts, contents, contents_limit=4))
+    assert sorted(few, key=str) == sorted(many, key=str) and len(many) == 75
+    assert tuples(joins.products(fonts, contents.limit(0))) == []
