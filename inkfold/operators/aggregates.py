@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfold import store
 from inkfold.operators.windows import running
 
 # The quantiles that length reports show.
@@ -55,13 +56,21 @@ def repeated_values(rows: DataFrame, field: str) -> DataFrame:
     return rows.filter(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def exact_quantiles(rows: DataFrame, value: Column, at: tuple[float, ...], by: str = "by") -> DataFrame:
+#: Distinct values that one task may rank.
+FEW_VALUES = 100_000
+
+
+def exact_quantiles(rows: DataFrame, value: Column, at: tuple[float, ...], by: str = "by", few: int = FEW_VALUES) -> DataFrame:
     """``(by, q, value)``: the quantiles of each ``by``, linear between ranks; nulls are left out. ``by`` has few values.
 
-    Equal values are counted before the shuffle, counts are summed up over ranges of values, and each quantile picks the one or two
-    values that hold its ranks: no task holds a column's values.
+    Equal values are counted before the shuffle. Up to ``FEW_VALUES`` distinct ones are ranked at once; more are summed up over ranges of
+    values, and each quantile picks the one or two values that hold its ranks: no task holds a column's values. Either way the result is the same.
     """
     counts = rows.select(F.col(by), value.cast("double").alias("v")).filter("v IS NOT NULL").groupBy(by, "v").agg(F.count("*").alias("n"))
+    counts = store.written(counts, "counts")
+    if counts.count() <= few:
+        found = counts.groupBy(by).agg(F.percentile("v", F.array(*[F.lit(q) for q in at]), F.col("n")).alias("found"))
+        return found.select(by, F.posexplode("found").alias("k", "value")).select(by, F.element_at(F.array(*[F.lit(q) for q in at]), F.col("k") + 1).alias("q"), "value")
     summed = running(counts, [F.col(by), F.col("v")], F.col("n"))
     groups = summed.groupBy(F.col(by).alias("_by")).agg(F.min(F.col("upto") - F.col("n")).alias("first"), F.sum("n").alias("total"))
     place = lambda q: F.lit(q) * (F.col("total") - 1)

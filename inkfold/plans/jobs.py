@@ -9,6 +9,7 @@ from inkfold import store
 from inkfold.functions import hashing, templates
 from inkfold.metrics import ocr
 from inkfold.operators import aggregates, dedup, filters, joins, splits
+from inkfold.operators.skew import spread
 from inkfold.plans.catalogue import query, table
 
 
@@ -61,7 +62,7 @@ def dataset_build(spark, d):
     table; each content goes to both splits, so the product is an equal join."""
     contents = table(spark, d, "content").filter("content IS NOT NULL").select("content").distinct()
     fonts = store.written(splits.hashed(_funnel(spark, d), "font_family_dir_name", {"train": 0.8, "ood_test": 0.2}).select("split", "identifier", "source", "svg"), "fonts")
-    rows = fonts.join(contents.withColumn("split", F.explode(F.array(F.lit("train"), F.lit("ood_test")))), "split")
+    rows = spread(fonts).join(contents.withColumn("split", F.explode(F.array(F.lit("train"), F.lit("ood_test")))), "split")
     record = templates.sft_record(templates.instruction(F.array().cast("array<string>"), F.col("content")), F.col("svg"), [F.col("identifier"), F.col("source")], F.col("content"))
     built = rows.select("split", "identifier", record.alias("r"))
     digest = F.conv(F.substring(F.md5(F.concat("r.instruction", "r.system", "r.output", "r.metadata")), 1, 15), 16, 10).cast("bigint")

@@ -143,7 +143,7 @@ n AS (SELECT filename, list_transform(parts, lambda p: CASE
   WHEN regexp_matches(p, '^\stransform=') THEN NULL ELSE p END) AS parts FROM p)
 SELECT filename, CASE WHEN parts IS NOT NULL THEN regexp_replace(array_to_string(parts, ''), '>\s+<', '><', 'g') END AS svg FROM n""")
 def svg_minify(spark, d):
-    return table(spark, d, "pangram").select("filename", svg.minify(F.col("svg"), 1).alias("svg"))
+    return spread(table(spark, d, "pangram").select("filename", "svg")).select("filename", svg.minify(F.col("svg"), 1).alias("svg"))
 
 
 @query()

@@ -274,3 +274,17 @@ def test_products_of_any_list(spark):
     few, many = tuples(joins.products(fonts, contents)), tuples(joins.products(fonts, contents, contents_limit=4))
     assert sorted(few, key=str) == sorted(many, key=str) and len(many) == 75
     assert tuples(joins.products(fonts, contents.limit(0))) == []
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_quantiles_of_few_and_many_values(spark, few):
+    rows = spark.range(2_000).select((F.col("id") % 2).alias("by"), F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 101).cast("double")).alias("v"))
+    at = (0.0, 0.1, 0.5, 0.937, 1.0)
+    got = {(r.by, r.q): r.value for r in aggregates.exact_quantiles(rows, F.col("v"), at, few=few).collect()}
+    for by in (0, 1):
+        known = sorted(k * 37 % 101 for k in range(2_000) if k % 2 == by and k % 7)
+        for q in at:
+            place = q * (len(known) - 1)
+            low = math.floor(place)
+            assert got[by, q] == pytest.approx(known[low] + (known[min(low + 1, len(known) - 1)] - known[low]) * (place - low))
+    assert aggregates.exact_quantiles(rows.limit(0), F.col("v"), at, few=few).count() == 0
